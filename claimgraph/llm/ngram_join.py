@@ -5,7 +5,8 @@ matrix is one packed row. The column sums of the product's diagonal, how many do
 a partner of a document of n n-grams shares 80 n / 100 of them at least, so a document with too few n-grams of a sum
 over one has no partner and its row is dropped. What is left is collapsed to one row for each distinct set. For those,
 overlap is accumulated over the n-grams of the shortest prefix that any partner must meet, pairs beyond the bounds
-that their sizes set are discarded, and what remains is counted exactly.
+that their sizes set are discarded, and what remains is counted exactly. The column sums are taken again over distinct sets, so
+that copies don't count, and order the n-grams: rare ones come first, and few prefixes hold what many documents share.
 
 Links inside a group of near copies aren't all spelt out: once documents are known to be in one component, pairs
 among them are passed over. Every pair of documents that are linked ends in one component.
@@ -133,22 +134,74 @@ def incidence(docs: DataFrame, p: JoinParams) -> DataFrame:
     return dealt.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_rows(p), SETS)
 
 
+def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    column = table.column("grams").combine_chunks()
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy().view(np.uint64), at
+
+
+def _set_columns(blocks: int):
+    """As ``_columns``, of sets that are known: with how many of the block's sets have each n-gram."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat, at = _lists(table)
+        own, counts = np.unique(flat[at[0] : at[-1]] >> U(64 - FILTER_BITS), return_counts=True)
+        cuts = np.searchsorted(own, (np.arange(blocks + 1, dtype=np.uint64) << U(FILTER_BITS)) // U(blocks))
+        some = np.flatnonzero(np.diff(cuts))
+        return pa.table({"block": some.astype(np.int32), "chunk": np.full(len(some), table.column("chunk")[0].as_py(), np.int32), "cell": pa.array([pack(own[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()), "n": pa.array([np.minimum(counts[cuts[k] : cuts[k + 1]], 2**31 - 1).astype(np.int32).tobytes() for k in some], pa.binary())})
+
+    return run
+
+
+def _set_sums(table: pa.Table) -> pa.Table:
+    """The sums over all sets, as one more than their binary logarithm; 0 for a sum of 1."""
+    cells = [unpack(x) for x in table.column("cell").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("n").to_pylist()])
+    _, inverse = np.unique(np.concatenate(cells), return_inverse=True)
+    level = np.ceil(np.log2(np.bincount(inverse, weights=counts))).astype(np.uint8)[inverse]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in cells])])
+    return pa.table({"chunk": table.column("chunk"), "block": table.column("block"), "level": pa.array([level[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+
+ENTRIES = "key long, id long, n long, at long, kept long"
+
+
 def _prefixes(p: JoinParams):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            ids, lists = part.column("id").to_numpy(), part.column("grams")
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            some = []
-            for i in range(len(ids)):
+    """The prefix of each set in one order of all n-grams, rare ones first; n-grams of no other set meet nothing and are left out."""
+
+    def run(table: pa.Table, sums: pa.Table) -> pa.Table:
+        out = {k.split()[0]: [np.zeros(0, np.int64)] for k in ENTRIES.split(", ")}
+        if table.num_rows:
+            flat, at = _lists(table)
+            own = np.unique(flat[at[0] : at[-1]] >> U(64 - FILTER_BITS))
+            blobs = sums.column("level").to_pylist()
+            levels = np.frombuffer(b"".join(blobs[k] for k in np.argsort(sums.column("block").to_numpy(), kind="stable")), np.uint8)
+            if len(levels) != len(own):
+                raise ValueError("the sums don't belong to these sets")
+            for i, ident in enumerate(table.column("id").to_pylist()):
                 s = flat[at[i] : at[i + 1]]
-                # In the order of a second hash; partners' prefixes meet in any one order.
-                some.append(s[np.argsort(mix(s), kind="stable")[: len(s) - need(len(s), p) + 1]])
-            sizes = [len(s) for s in some]
-            yield pa.RecordBatch.from_pydict({"gram": np.concatenate([*some, np.zeros(0, np.uint64)]).view(np.int64), "id": np.repeat(ids, sizes), "n": np.repeat(np.diff(at).astype(np.int64), sizes)})
+                level = levels[np.searchsorted(own, s >> U(64 - FILTER_BITS))]
+                least = need(len(s), p)
+                if np.count_nonzero(level) < least:
+                    continue
+                size = len(s) - least + 1
+                key = np.sort((level.astype(np.uint64) << U(56)) | (mix(s) >> U(8)))[:size].view(np.int64)
+                key = key[key >= 1 << 56]
+                for k, x in (("key", key), ("id", np.full(len(key), ident)), ("n", np.full(len(key), len(s))), ("at", np.arange(size - len(key), size)), ("kept", np.full(len(key), len(key)))):
+                    out[k].append(x)
+        return pa.table({k: np.concatenate(v) for k, v in out.items()})
 
     return run
 
 
+def prefixes(sets: DataFrame, p: JoinParams) -> DataFrame:
+    blocks = max(12, sets.count() * 4_000 // (p.block_bytes * 2))
+    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    cells = dealt.groupBy("chunk").applyInArrow(_set_columns(2 * blocks), "block int, chunk int, cell binary, n binary")
+    sums = cells.groupBy("block").applyInArrow(_set_sums, "chunk int, block int, level binary")
+    return dealt.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_prefixes(p), ENTRIES)
+
+
 def _overlaps(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         a, b = part.column("ga"), part.column("gb")
@@ -177,21 +230,29 @@ def labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def links(sets: DataFrame, p: JoinParams) -> DataFrame | None:
     """id, label: components among sets (id, n, grams); None if there are no links."""
-    entries = cut(sets.select("id", "grams").mapInArrow(_prefixes(p), "gram long, id long, n long"))
+    entries = cut(prefixes(sets, p))
     edges = labels = None
     for k in range(p.stars + 1):
         now = labelled(entries, labels)
-        top = F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "label") if k else F.struct(F.col("id").alias("h"), "id", "n", "label")
-        least = now.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(top).alias("hub"), F.mode("label").alias("most")).filter("lo != hi")
-        mixed = now.join(least, "gram")
+        top = F.struct(F.xxhash64("id", F.lit(k)).alias("h") if k else F.col("id").alias("h"), "id", "n", "label")
+        groups = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(top).alias("hub"), F.mode("label", True).alias("most")).filter("lo != hi")
+        mixed = now.join(groups, "key")
         if k < p.stars:
-            pairs = mixed.filter((F.col("label") != F.col("hub.label")) & sizes_allow(F.col("n"), F.col("hub.n"), p)).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+            # Whom most of a document's prefix names is tried first. What this leaves, the last round finds.
+            named = mixed.filter((F.col("label") != F.col("hub.label")) & sizes_allow(F.col("n"), F.col("hub.n"), p)).groupBy(F.col("hub.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("kept").alias("kept"))
+            pairs = named.filter("met * 2 >= kept")
         else:
-            rest, every = cut(mixed.filter(F.col("label") != F.col("most")).select("gram", "id", "n", "label")), mixed.select("gram", F.col("id").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = rest.join(every, "gram").filter((F.col("label") != F.col("other")) & sizes_allow(F.col("n"), F.col("m"), p)).select("a", F.col("id").alias("b"))
+            side = lambda x: F.struct("id", "n", "at", "label", (F.col("label") != F.col("most")).alias("minor")).alias(x)
+            rest, every = mixed.filter(F.col("label") != F.col("most")).select("key", side("x")), mixed.select("key", side("y"))
+            nx, ny, ix, iy = F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")
+            least = F.floor(((nx + ny) * p.percent + 99 + p.percent) / float(100 + p.percent))
+            # The first n-gram that linked sets share has, in both, as many n-grams from it on as they must share; and
+            # what stands before it in either bounds the overlap too.
+            bound = (nx - ix >= least) & (ny - iy >= least) & (F.least(ix, iy) + F.least(nx - ix, ny - iy) >= least)
+            pairs = rest.join(every, "key").filter((F.col("x.label") != F.col("y.label")) & (~F.col("y.minor") | (F.col("x.id") < F.col("y.id"))) & bound).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if pairs.isEmpty():
-            break
+            continue
         new = cut(verified(pairs, sets, p))
         if not new.isEmpty():
             edges = new if edges is None else edges.union(new)
