@@ -46,6 +46,11 @@ def fingerprints(ws: Column, k: int = K, window: int = WINDOW) -> Column:
     return let(ws, lambda v: let(grams(v, k), lambda hs: F.when(F.size(hs) >= w, pick(hs)).otherwise(none)))
 
 
+def placed(ws: Column, k: int) -> Column:
+    """array<struct<k, h, p>>: the hashes of all runs of k words."""
+    return F.transform(let(ws, lambda v: grams(v, k)), lambda h, i: F.struct(F.lit(k).alias("k"), h.alias("h"), (i + 1).cast("int").alias("p")))
+
+
 def run_left(ws: Column, iw: Column, p: Column, q: Column, most: int) -> Column:
     """How many words, ``most`` at the most, agree to the left of ws[p] and iw[q] (from 1)."""
     step = lambda acc, j: F.when((acc == j - 1) & (p - j >= 1) & (q - j >= 1) & F.coalesce(F.get(ws, p - j - 1) == F.get(iw, q - j - 1), F.lit(False)), j).otherwise(acc)
@@ -72,7 +77,7 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     own = fingerprints(F.col("w"))
     kept = F.transform(own, lambda f: F.struct(F.lit(K).alias("k"), f["h"].alias("h"), f["p"].alias("p")))
     for k in lengths:  # an item of under WINDOW words is met at any place
-        kept = F.concat(kept, F.transform(let(F.col("w"), lambda v, k=k: grams(v, k)), lambda h, i, k=k: F.struct(F.lit(k).alias("k"), h.alias("h"), (i + 1).cast("int").alias("p"))))
+        kept = F.concat(kept, placed(F.col("w"), k))
     marks = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(kept).alias("f")).select("doc_id", "f.k", "f.h", "f.p")
     met = marks.join(with_broadcast(long.unionByName(short)), ["k", "h"])
     return met.groupBy("doc_id").agg(F.collect_list(F.struct("p", "item_id", "q", "iw")).alias("meets"))
