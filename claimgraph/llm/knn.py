@@ -136,9 +136,13 @@ def search(vectors: DataFrame, queries: DataFrame, p: KnnParams = KnnParams()) -
             yield pa.RecordBatch.from_pydict({"vec_id": part.column("vec_id").filter(pa.array(keep)), "v": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null").mapInArrow(ints, "vec_id long, v binary")
-    picked = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).toPandas()
     n = vectors.count()
+    # About p.sample rows, whatever the number of tasks that read them; of few vectors, all.
+    dealt = F.pmod(F.xxhash64("vec_id", F.lit("pivots")), F.lit(1 << 30)) / float(1 << 30)
+    picked = usable.filter(dealt < min(1.0, p.sample / max(n, 1))).toPandas().sort_values("vec_id", kind="stable")
     pivots = choose_pivots(stack([np.frombuffer(b, np.float64) for b in picked.v]), int(min(p.most_pivots, max(8, n**0.5 / 4))))
+    if not len(pivots) and n > p.sample:  # a sample of rare vectors may miss them all
+        pivots = choose_pivots(stack([np.frombuffer(b, np.float64) for b in usable.limit(p.sample).toPandas().v]), p.most_pivots)
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
