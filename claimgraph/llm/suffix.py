@@ -38,7 +38,7 @@ class SuffixParams:
     #: Bytes of an anchor's string.
     gram: int = 32
     #: Input bytes in a block of documents.
-    block_bytes: int = 6 << 20
+    block_bytes: int = 4 << 20
     #: So many different suffixes of one anchor in one block of documents cut them into windows.
     wide: int = 24
 
@@ -293,7 +293,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]]):
             node >>= 1
 
 
-RANGES = "chunk int, row int, s long, e long"
+RANGES = "chunk int, rows binary, starts binary, ends binary"
 
 
 def _reduce(p: SuffixParams):
@@ -365,7 +365,12 @@ def _reduce(p: SuffixParams):
                 a = b
         c, r, s, e = (np.concatenate([np.asarray(x, np.int64) for x in part]) for part in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
         s, e, both = _joined((c << 32) + r, s, e) if len(c) and int(c.max()) < 1 << 20 else (s, e, (c << 32) + r)
-        return pa.table({"chunk": (both >> 32).astype(np.int32), "row": (both & ((1 << 32) - 1)).astype(np.int32), "s": np.asarray(s, np.int64), "e": np.asarray(e, np.int64)})
+        order = np.argsort(both >> 32, kind="stable")
+        both, s, e = both[order], np.asarray(s, np.int64)[order], np.asarray(e, np.int64)[order]
+        own, at = np.unique(both >> 32, return_index=True)
+        ends = list(zip(at, np.append(at, len(both))[1:], strict=True))
+        rows = (both & ((1 << 32) - 1)).astype(np.int32)
+        return pa.table({"chunk": own.astype(np.int32)} | {k: pa.array([x[i:j].tobytes() for i, j in ends], pa.binary()) for k, x in (("rows", rows), ("starts", s), ("ends", e))})
 
     return run
 
@@ -376,7 +381,8 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 def _cut_out(docs: pa.Table, ranges: pa.Table) -> pa.Table:
     docs = sorted_rows(docs)
     data, offsets = text_bytes(docs.column("text"))
-    s, e, row = _joined(ranges.column("row").to_numpy(), ranges.column("s").to_numpy(), ranges.column("e").to_numpy())
+    row, s, e = (np.frombuffer(b"".join(ranges.column(k).to_pylist()), kind).astype(np.int64) for k, kind in (("rows", np.int32), ("starts", np.int64), ("ends", np.int64)))
+    s, e, row = _joined(row, s, e)
     at = np.searchsorted(row, np.arange(docs.num_rows + 1))
     removed, shas = np.zeros(docs.num_rows, np.int64), []
     for i in range(docs.num_rows):
@@ -391,12 +397,12 @@ def _cut_out(docs: pa.Table, ranges: pa.Table) -> pa.Table:
 
 
 def repeated_ranges(docs: DataFrame, p: SuffixParams = SuffixParams()) -> tuple[DataFrame, DataFrame]:
-    """The documents dealt into blocks (doc_id, text, chunk), and the byte ranges to remove: chunk, row of the block as ``sorted_rows`` has it, s, e."""
+    """The documents dealt into blocks (doc_id, text, chunk), and the byte ranges to remove by block: packed rows of the block as ``sorted_rows`` has it, starts and ends."""
     blocks = blocks_for(docs, p.block_bytes)
     dealt = with_chunk(docs, blocks)
-    counted = dealt.groupBy("chunk").applyInArrow(_count(2 * blocks, p), "block int, chunk int, grams binary, wide binary")
+    counted = dealt.groupBy("chunk").applyInArrow(_count(3 * blocks, p), "block int, chunk int, grams binary, wide binary")
     answers = counted.groupBy("block").applyInArrow(_answer, "chunk int, block int, n int, often binary, wide binary")
-    runs = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_runs(2 * blocks, p), RUNS)
+    runs = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_runs(3 * blocks, p), RUNS)
     return dealt, runs.groupBy("block").applyInArrow(_reduce(p), RANGES)
 
 
