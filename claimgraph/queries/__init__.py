@@ -1,6 +1,6 @@
 """Registry of the engine's queries and their SQL, by family."""
 
-from claimgraph.queries import state_queries, text_queries  # noqa: F401
+from claimgraph.queries import more_queries, state_queries, text_queries  # noqa: F401
 from claimgraph.queries.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
