@@ -221,7 +221,8 @@ def _joined(row: np.ndarray, start: np.ndarray, end: np.ndarray):
         return start, end, row
     order = np.lexsort((start, row))
     row, start, end = row[order], start[order], end[order]
-    shift = row.astype(np.int64) * (int(end.max()) + 2)
+    # Rows by rank, so that the shifts stay small whatever the row numbers are.
+    shift = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]])) * (int(end.max()) + 2)
     reach = np.maximum.accumulate(end + shift)
     new = np.flatnonzero(np.concatenate([[True], start[1:] + shift[1:] > reach[:-1]]))
     return start[new], (reach - shift)[np.append(new[1:], len(row)) - 1], row[new]
@@ -364,7 +365,7 @@ def _reduce(p: SuffixParams):
                     found.append((chunk[q[0]], row[q[0]], s, s + p.length))
                 a = b
         c, r, s, e = (np.concatenate([np.asarray(x, np.int64) for x in part]) for part in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
-        s, e, both = _joined((c << 32) + r, s, e) if len(c) and int(c.max()) < 1 << 20 else (s, e, (c << 32) + r)
+        s, e, both = _joined((c << 32) + r, s, e)
         order = np.argsort(both >> 32, kind="stable")
         both, s, e = both[order], np.asarray(s, np.int64)[order], np.asarray(e, np.int64)[order]
         own, at = np.unique(both >> 32, return_index=True)
