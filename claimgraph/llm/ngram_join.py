@@ -91,6 +91,11 @@ def _sums(table: pa.Table) -> pa.Table:
 SETS = "doc_id long, n_shingles long, k1 long, k2 long, grams array<long>"
 
 
+def precedes(a: int | None, b: int | None) -> bool:
+    """a < b, with nulls last."""
+    return a is not None and (b is None or a < b)
+
+
 def _rows(p: JoinParams):
     def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
         sets = list(shingles(docs.column("text"), p)) if docs.num_rows else []
@@ -113,7 +118,7 @@ def _rows(p: JoinParams):
             if len(s) and shared >= need(len(s), p):
                 key = (len(s), int(a), int(b))
                 last = held.get(key)
-                if last is None or ids[i] < ids[last]:  # one document of each set keeps it
+                if last is None or precedes(ids[i], ids[last]):  # one document of each set keeps it
                     if last is not None:
                         grams[last] = None
                     held[key] = i
@@ -265,8 +270,8 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
 
     A set is the distinct p.n-word shingles of a text; a shorter text is one shingle; null, empty and blank texts have
     none and are linked with nothing. component_id is the smallest doc_id that links reach. Equal sets of one shingle
-    or more are linked, however many there are. doc_id is taken to be an integer that is not null; repeated rows are
-    copies of each other. Other columns of ``docs`` are not read; an empty table gives an empty one.
+    or more are linked, however many there are; repeated rows are copies of each other. A row without a doc_id can't be
+    named by a link: it takes the component of rows with an equal set, or null if none has a doc_id. Other columns of ``docs`` are not read; an empty table gives an empty one.
     """
     rows = cut(incidence(docs, p))
     key = ["n_shingles", "k1", "k2"]
