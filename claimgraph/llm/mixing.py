@@ -45,9 +45,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, default: fl
     Each row is taken X times, X being Poisson with its source's rate, found by inverting the distribution at a uniform
     number that is a digest of seed and doc_id; so a rerun takes the same rows, and repeated rows are taken alike. The
     rows are dealt to partitions by a digest of (seed, doc_id, copy_no) and sorted by it there. Sources of weight 0 are
-    left out. An empty table gives an empty one; text may be null, empty or long. Rates of 700 and more, at which
+    left out. An empty table gives an empty one; text may be null, empty or long; rows without a doc_id are drawn alike.
+    Columns of ``docs`` that are named as the two are replaced. Rates of 700 and more, at which
     exp(-rate) is lost, are drawn in equal parts of less than 500, each with a digest of its own.
     """
+    docs = docs.drop("copy_no", "shuffle_key")
     rate = rates(docs, weights, default, size)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / 500.0)).cast("int")
     table = rate.withColumn("__parts", parts).withColumn("__cdf", cumulative(F.col("rate") / F.col("__parts"))).withColumnRenamed("source", "__source").drop("rate")
