@@ -107,17 +107,18 @@ def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     A word is hit if it lies in an occurrence of a window: WINDOW words in a row of an item, or a whole item of fewer.
     Null and empty texts have no words; items without words are passed over, and with an empty benchmark nothing is
-    hit. Repeated rows are judged alike, a doc_id being taken to name one text. Columns of ``docs`` are kept as they are.
+    hit. Repeated rows are judged alike, and so are rows without a doc_id: a meeting found in one of them is tried on
+    each, and counts only where the words are there. Columns of ``docs`` are kept, but for those named as the results.
     """
     clash = {"n_words", "n_hit", "items", "contaminated"} & set(docs.columns)
-    found = matches(docs, bench).withColumnRenamed("doc_id", "__id")
-    joined = docs.drop(*clash).join(found, docs["doc_id"] == F.col("__id"), "left")
-    judged = F.when(F.col("meets").isNotNull(), F.transform(F.array("__w"), lambda v: spans(v, F.col("meets")))[0])
+    found = matches(docs, bench).withColumnsRenamed({"doc_id": "__id", "meets": "__meets"})
+    joined = docs.drop(*clash).join(found, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
+    judged = F.when(F.col("__meets").isNotNull(), F.transform(F.array("__w"), lambda v: spans(v, F.col("__meets")))[0])
     ws = joined.withColumn("__w", words(F.col("text")))
-    done = ws.withColumn("__s", F.coalesce(judged, F.array().cast("array<struct<item_id:bigint,s:int,e:int>>"))).withColumn("n_words", F.size("__w").cast("long"))
+    done = ws.withColumn("__s", F.coalesce(judged, F.array().cast(f"array<struct<item_id:{bench.schema['item_id'].dataType.simpleString()},s:int,e:int>>"))).withColumn("n_words", F.size("__w").cast("long"))
     ranges = F.transform("__s", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     items = F.array_sort(F.array_distinct(F.transform("__s", lambda x: x["item_id"].cast("string"))))
-    return done.withColumn("n_hit", covered(ranges).cast("long")).withColumn("items", items).withColumn("contaminated", F.size("__s") > 0).drop("__w", "__s", "__id", "meets")
+    return done.withColumn("n_hit", covered(ranges).cast("long")).withColumn("items", items).withColumn("contaminated", F.size("__s") > 0).drop("__w", "__s", "__id", "__meets")
 
 
 def op10(docs: DataFrame, bench: DataFrame) -> DataFrame:
