@@ -126,7 +126,8 @@ def search(vectors: DataFrame, queries: DataFrame, p: KnnParams = KnnParams()) -
 
     Both have vec_id, a long that isn't null, and embedding. A query's own vec_id is no candidate. Vectors that are null
     or hold null or non-finite components take no part; empty vectors score 0, shorter ones count as ended with zeros.
-    Ties go to the smaller vec_id; queries with fewer candidates get all of them. Repeated rows are candidates each.
+    Ties go to the smaller vec_id; queries with fewer candidates get all of them. Repeated rows are candidates each,
+    but a query_id is asked once (of different vectors, with the one that sorts first). Other columns are not read.
     """
     spark = vectors.sparkSession
 
@@ -162,7 +163,7 @@ def search(vectors: DataFrame, queries: DataFrame, p: KnnParams = KnnParams()) -
     blocks = F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(int(first[i])))]), F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(int(parts_of[i])))])
     data = cut(cells.select("vec_id", "v", (blocks[0][F.col("cell")] + F.pmod(F.xxhash64("vec_id"), blocks[1][F.col("cell")])).cast("int").alias("block")))
     valid = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null").mapInArrow(ints, "vec_id long, v binary")
-    asked = cut(valid.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+    asked = cut(valid.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")))
 
     def send(second: bool):
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
