@@ -87,7 +87,7 @@ def q07(t, spark):
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(primary).alias("primary_links"))
 
 
-SENTENCES_SQL = "list_filter(list_transform(string_split(replace(regexp_replace(text, '([.!?])[ \t\r\n]+', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 15)"
+SENTENCES_SQL = f"list_filter(list_transform(string_split(replace(regexp_replace(regexp_replace(text, '{T.WITHOUT_END}', '\\1\\2.' || chr(2), 'g'), '([.!?])[ \t\r\n]+', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda s: trim(replace(s, chr(2), ''))), lambda s: length(s) >= 15)"
 
 
 @query("q08_sentences", f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {SENTENCES_SQL} AS s FROM documents))")

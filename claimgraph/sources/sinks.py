@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,3 +49,49 @@ def keep_last_dates(history: DataFrame, date: str, most: int = 400) -> DataFrame
 
 def newest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__r = 1").drop("__r")
+
+
+# How a priority is shown; other priorities are shown as the last.
+BADGES = ("P1", "P2", "P3", "P4", "P5")
+
+
+def cell(text: Column) -> Column:
+    """A text as a cell of a Markdown table: on one line, pipes replaced."""
+    return F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " "), F.lit("|"), F.lit("/"))
+
+
+def bulletin_rows(alerts: DataFrame, most: int = 50, order: tuple[str, ...] = ("priority", "summary", "url")) -> DataFrame:
+    """place, line: the newest ``most`` alerts (timestamp, priority, source, summary, reference, url) as rows of a Markdown table; alerts of one time stand in the given order."""
+    badge = F.coalesce(F.get(F.array(*map(F.lit, BADGES)), F.col("priority").cast("int") - 1), F.lit(BADGES[-1]))
+    named = F.coalesce(F.nullif("reference", F.lit("")), F.when(F.coalesce("url", F.lit("")) != "", "Link").otherwise("Primary"))
+    link = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("["), cell(named), F.lit("]("), F.col("url"), F.lit(")"))).otherwise(cell(named))
+    line = F.concat(F.lit("| "), F.array_join(F.array(F.coalesce(F.substring(F.col("timestamp").cast("string"), 1, 16), F.lit("")), badge, cell(F.col("source")), cell(F.col("summary")), link), " | "), F.lit(" |"))
+    by = [F.desc_nulls_last("timestamp"), *order]
+    return alerts.orderBy(*by).limit(most).select(F.row_number().over(Window.orderBy(*by)).alias("place"), line.alias("line"))
+
+
+def bulletin(alerts: DataFrame, title: str, most: int = 50) -> str:
+    """The bulletin's text; at most ``most`` rows reach the driver."""
+    rows = [r["line"] for r in bulletin_rows(alerts, most).orderBy("place").collect()]
+    return "\n".join([f"# {title}", "", "| Time | Priority | Source | Finding | Reference |", "|-|-|-|-|-|", *rows])
+
+
+def nominations(rows: DataFrame, section: str, most: int = 50) -> str:
+    """Candidates (name, reason) as a Markdown section; at most ``most`` reach the driver, and their whole number is told."""
+    shown = rows.select(cell(F.col("name")), cell(F.col("reason"))).orderBy("name", "reason").limit(most).collect()
+    return "\n".join([f"## {section} ({rows.count()})", "", *[f"- {name}: {reason}" for name, reason in shown]])
+
+
+def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch is a folder of its own, so a batch that is run again replaces what it wrote."""
+    return lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def notifier(send: Callable[[str, str], None], most: int = 20) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: send(title, source) for urgent new duties (priority 1 or 2), the most urgent first; at most ``most`` of a batch."""
+
+    def run(df: DataFrame, _: int) -> None:
+        for r in df.filter("priority <= 2 and is_duty").orderBy("priority", "title").limit(most).select("title", "source").collect():
+            send(r["title"], r["source"])
+
+    return run

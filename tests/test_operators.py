@@ -1,0 +1,141 @@
+"""Functions and operators that no SQL covers, against Python's own or brute force."""
+
+import html
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimgraph.functions import text as T
+from claimgraph.operators import evaluate as E
+from claimgraph.operators.figures import bare_figures
+from claimgraph.sources import adapters, sinks
+
+
+def column(spark, values):
+    return spark.createDataFrame(list(enumerate(values)), "i int, x string")
+
+
+def by_key(df, *cols):
+    return [tuple(r[c] for c in cols) for r in df.orderBy("i").collect()]
+
+
+def test_unescape(spark):
+    cases = ["a &amp; b", "&#8217;&#x2019;&#X41;", "&amp;lt; &#38;lt; &amp;#38;", "&rsquo;&hellip;&euro; &mdash;", "plain", "", "&#; &#x; &# 12; tail &", "&#128512;&#65;x&#66;", None]
+    assert by_key(column(spark, cases).select("i", T.unescape(F.col("x")).alias("y")), "y") == [(None if c is None else html.unescape(c),) for c in cases]
+    assert by_key(column(spark, ["&#55296; &#1114112;"]).select("i", T.unescape(F.col("x")).alias("y")), "y") == [("&#55296; &#1114112;",)]
+
+
+def split_by_hand(text):
+    out, at = [], 0
+    for line in text.split("\n"):
+        begin = 0
+        for m in [*re.finditer(r"(?<=[.!?])[ \t\r]+", line), None]:
+            if m and re.search(rf"(?i)(?:^|[^A-Za-z0-9_]){T.ABBREVIATION}$", line[begin : m.start()]):
+                continue
+            piece = line[begin : m.start() if m else len(line)]
+            if len(piece.strip()) >= 15:
+                out.append((at + begin + len(piece) - len(piece.lstrip()), piece.strip()))
+            begin = m.end() if m else begin
+        at += len(line) + 1
+    return out
+
+
+def test_sentences(spark):
+    cases = ["Dr. St. John met Mr. Brown in the U.S. today. They spoke for an hour!  Did they?  Yes, for a long while.", "First line of the text\n\n\nSecond line after blanks. Third one is here too.", "  Leading space here, e.g. this one. éCo. is no abbreviation? It may be.", "Ends with Inc.\nNext line begins here.", "", "x" * 5000, "One.  Two.\tThree and some more words.", None]
+    got = column(spark, cases).select("i", T.sentence_spans(F.col("x")).alias("s"), T.sentences(F.col("x")).alias("t")).orderBy("i").collect()
+    for text, row in zip(cases, got, strict=True):
+        if text is None:
+            assert row.s is None and row.t is None
+            continue
+        want = split_by_hand(text)
+        assert [(r.s, r.sentence) for r in row.s] == want
+        assert all(text[a : a + len(b)] == b for a, b in want)
+        assert row.t == [b for _, b in want]
+
+
+def test_bare_figures():
+    text = "In fiscal 2027, some 1,200, or 35 of them."
+    assert bare_figures(text) == [(text.index("1,200"), "1,200"), (text.index("35"), "35")]
+    assert bare_figures("On October 13 - 15 they paid $5 million under section 4.") == []
+
+
+def test_evaluator(spark):
+    rows = column(spark, ["A binding rule. ", "Meeting notice of a rule", None, "broken", "silent"]).withColumn("summary", F.lit("5% more"))
+
+    def answer(prompt):
+        if "broken" in prompt:
+            raise OSError("down")
+        return "no json" if "silent" in prompt else '```json\n{"is_duty": true, "duty_type": "other", "priority": 1}\n```'
+
+    noise = F.col("x").startswith("Meeting")
+    native = E.evaluated(rows, "x", "summary", noise)
+    assert by_key(native.select("i", "finding.*"), "is_duty", "priority", "quantity") == [(True, 2, True), (False, 5, False), (False, 4, True), (False, 4, True), (False, 4, True)]
+    asked = E.evaluated(rows, "x", "summary", noise, answer, tries=2, wait=0.0)
+    assert by_key(asked.select("i", "finding.*"), "duty_type", "priority") == [("other", 1), ("none", 5), ("other", 1), ("none", 4), ("none", 4)]
+    assert asked.columns == native.columns
+    assert E.evaluated(rows.filter("false"), "x", "summary", noise, answer).count() == 0
+
+
+def test_retried():
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 2:
+            raise OSError("down")
+        return "up"
+
+    assert E.retried(flaky, 2, 0.0) == "up" and len(calls) == 2
+    with pytest.raises(OSError):
+        E.retried(lambda: (_ for _ in ()).throw(OSError()), 2, 0.0)
+
+
+class Refused(Exception):
+    def __init__(self, code):
+        self.code = code
+
+
+def test_articles(spark):
+    def transport(url):
+        if url.endswith("404"):
+            raise Refused(404)
+        if url.endswith("slow"):
+            raise TimeoutError
+        return ("application/pdf", b"%PDF") if url.endswith("pdf") else ("text/html; charset=iso-8859-1", b"caf\xe9" + b"x" * 5_000_000)
+
+    urls = spark.createDataFrame([(f"https://{h}.example/{p}",) for h in "ab" for p in ("ok", "404", "slow", "pdf", "private")] + [(None,)], "url string")
+    got = {r.url: (r.status, len(r.html), r.html[:4]) for r in adapters.articles(urls, transport, lambda u: "private" not in u, 0.0).collect()}
+    assert len(got) == 10
+    assert got["https://a.example/ok"] == ("ok", adapters.MOST_BYTES, "café")
+    assert [got[f"https://b.example/{p}"][0] for p in ("404", "slow", "pdf", "private")] == ["http-404", "timeouterror", "not-html", "robots-disallowed"]
+
+
+def test_quotes(spark):
+    def first(symbol):
+        if symbol != "A":
+            raise Refused(429 if symbol == "B" else 500)
+        return 1.5, None, "2024-01-02"
+
+    def second(symbol):
+        if symbol == "C":
+            raise ValueError("empty")
+        return 2.5, 0.1, "2024-01-03"
+
+    df = spark.createDataFrame([("A",), ("A",), ("B",), ("C",), (None,)], "symbol string")
+    got = {r.symbol: (r.value, r.provider, r.error) for r in adapters.quotes(df, first, second, 3, 0.0).collect()}
+    assert got == {"A": (1.5, "primary", ""), "B": (2.5, "fallback", ""), "C": (None, None, "valueerror")}
+
+
+def test_sinks(spark, tmp_path):
+    alerts = spark.createDataFrame([("2024-01-02 10:00:00", 1, "s|t", "a\nb", None, "u", "one", True), ("2024-01-03 10:00:00", 9, "s", None, "Art. 5", None, "two", True), (None, 2, None, "c", None, None, "three", False)], "timestamp string, priority int, source string, summary string, reference string, url string, title string, is_duty boolean")
+    lines = sinks.bulletin(alerts, "Bulletin").split("\n")
+    assert lines[4:] == ["| 2024-01-03 10:00 | P5 | s |  | Art. 5 |", "| 2024-01-02 10:00 | P1 | s/t | a b | [Link](u) |", "|  | P2 |  | c | Primary |"]
+    sent = []
+    sinks.notifier(lambda *x: sent.append(x))(alerts, 0)
+    assert sent == [("one", "s|t")]
+    write = sinks.batch_writer(str(tmp_path / "out"))
+    for number in (0, 1, 1):
+        write(alerts, number)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+    assert sinks.nominations(alerts.select(F.col("title").alias("name"), F.lit("r|s").alias("reason")), "Due").split("\n") == ["## Due (3)", "", "- one: r/s", "- three: r/s", "- two: r/s"]
