@@ -11,6 +11,25 @@ from pyspark.sql.window import Window
 from claimgraph.functions.text import word
 
 
+# Words of a scheduled event, and the forms of a date whose year counts.
+SCHEDULED = r"(?i)\b(expir\w+|deadline|effective date|takes? effect|comes? into force|auction|hearing|ruling|verdict|comment period|consultation closes|moratorium|sunset|lock-?up|due to report|scheduled for)\b"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
+DATED = rf"(?i)\b(?:{MONTHS})\b\s+[0-9]{{1,2}},?\s+(20[0-9]{{2}})|\b[0-9]{{1,2}}\s+(?:{MONTHS})\b\s+(20[0-9]{{2}})|\b(?:by|before|from|in|until|through|starting)\s+(20[0-9]{{2}})\b|\bQ[1-4]\s+(20[0-9]{{2}})\b"
+
+
+def first_scheduled(text: Column, years: Sequence[int], most: int = 400) -> Column:
+    """The first sentence, of at most ``most`` characters, that names a scheduled event and whose first date is in one of the years; null if there is none."""
+    parts = F.split(F.regexp_replace(F.trim(text), r"\s+", " "), r"(?<=[.!?]) ")
+    year = lambda s: F.coalesce(*[F.nullif(F.regexp_extract(s, DATED, g), F.lit("")) for g in (1, 2, 3, 4)])
+    fits = lambda s: (F.length(s) <= most) & s.rlike(SCHEDULED) & F.coalesce(year(s).isin([str(y) for y in years]), F.lit(False))
+    return F.get(F.filter(parts, fits), F.lit(0))
+
+
+def deflation_spans(spans: Column, tier: Column, denominator: Column, most: int = 3) -> Column:
+    """The first spans of a claim by an interested source that states no base; none of others."""
+    return F.when(tier.isin(4, 5) & (denominator == "N"), F.slice(spans, 1, most)).otherwise(F.slice(spans, 1, 0))
+
+
 def topic_scores(df: DataFrame, ident: str, texts: dict[str, tuple[Column, int]], rules: Sequence[tuple[str, str, int]], least: int) -> DataFrame:
     """ident, topic, score: each rule counts once for each class of text, however often it occurs there, times the class's factor; a topic needs ``least``."""
     # One pass with a column expression for each rule, no join: the registry is small, and each text is read where it is.

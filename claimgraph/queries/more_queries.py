@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from claimgraph.functions import dates as D
+from claimgraph.functions import text as T
 from claimgraph.operators import figures
 from claimgraph.queries.common import query
 from claimgraph.queries.text_queries import NOTE_SPARK
@@ -19,14 +20,14 @@ def q12(t, spark):
     return figures.explode_bare(t("orders").select("o_orderkey", F.expr(NOTE_SPARK).alias("note")), "o_orderkey", "note")
 
 
-PRODUCTS = [("Steelworks", "steel"), ("Brassery", "brass"), ("Coppersmith", "copper"), ("Tinker", "tin")]
+PRODUCTS = [("Value line", "economy"), ("Bulk line", "large"), ("Main line", "standard"), ("Mid line", "medium"), ("Compact line", "small")]
+LONGEST_FIRST = sorted(PRODUCTS, key=lambda p: (-len(p[1]), p[1]))
 
 
-@query("q21_entity_product_fallback", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'Eleven' WHEN contains(lower(p_type), 'copper') THEN 'Coppersmith' WHEN contains(lower(p_type), 'brass') THEN 'Brassery' WHEN contains(lower(p_type), 'steel') THEN 'Steelworks' ELSE '' END AS entity FROM part")
+@query("q21_entity_product_fallback", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'Eleven' " + " ".join(f"WHEN {T.word_sql('p_type', form)} THEN '{name}'" for name, form in LONGEST_FIRST) + " ELSE '' END AS entity FROM part")
 def q21(t, spark):
     # The publisher's own tag resolves first; then the longest product named.
-    by_length = sorted(PRODUCTS, key=lambda p: -len(p[1]))[:3]
-    named = F.coalesce(*[F.when(F.lower("p_type").contains(form), name) for name, form in by_length], F.lit(""))
+    named = F.coalesce(*[F.when(T.word(F.col("p_type"), form), name) for name, form in LONGEST_FIRST], F.lit(""))
     return t("part").select("p_partkey", F.when(F.col("p_brand") == "Brand#11", "Eleven").otherwise(named).alias("entity"))
 
 

@@ -11,6 +11,7 @@ from claimgraph.operators import packing, state
 from claimgraph.operators import relational as R
 from claimgraph.operators import rules as L
 from claimgraph.queries.common import query
+from claimgraph.queries.text_queries import NOTE_SPARK, NOTE_SQL
 from claimgraph.sources import readers, sinks
 from claimgraph.streaming import sweep
 
@@ -203,9 +204,17 @@ def q51(t, spark):
     return state.violations(rules, docs.join(often, "h", "left"), "doc_id")
 
 
-@query("q52_nominations", "SELECT o_orderkey, o_orderpriority AS claim, CAST(year(o_orderdate) AS INTEGER) AS due FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('4', '5') AND o_orderstatus = 'O' AND year(o_orderdate) >= 1996")
+#: A first sentence without an event, and a second that names one for some orders; the years are 30 later than the orders'.
+HEARING = "concat('Filed in ', CAST(year(o_orderdate) + 30 AS {s}), '. The ', CASE WHEN o_orderstatus = 'O' THEN 'hearing' ELSE 'meeting' END, ' is on March 5, ', CAST(year(o_orderdate) + 31 AS {s}), '.')"
+
+
+@query("q52_nominations", f"""SELECT o_orderkey, 'deflation' AS kind, unnest(list_transform(regexp_extract_all({NOTE_SQL}, '{T.STRONG}'), lambda x: trim(x))[1:3]) AS span FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('4', '5') AND o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, 'calendar', 'The hearing is on March 5, ' || (year(o_orderdate) + 31) || '.' FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) BETWEEN 1995 AND 1997""")
 def q52(t, spark):
-    return t("orders").filter(F.substring("o_orderpriority", 1, 1).isin("4", "5") & (F.col("o_orderstatus") == "O") & (F.year("o_orderdate") >= 1996)).select("o_orderkey", F.col("o_orderpriority").alias("claim"), F.year("o_orderdate").alias("due"))
+    claims = L.deflation_spans(T.figures(F.expr(NOTE_SPARK)), F.substring("o_orderpriority", 1, 1).cast("int"), F.when(F.col("o_orderstatus") == "F", "N").otherwise("Y"))
+    said = t("orders").select("o_orderkey", claims.alias("claims"), L.first_scheduled(F.expr(HEARING.format(s="STRING")), (2026, 2027, 2028)).alias("event"))
+    both = F.concat(F.transform("claims", lambda x: F.struct(F.lit("deflation").alias("kind"), x.alias("span"))), F.filter(F.array(F.struct(F.lit("calendar").alias("kind"), F.col("event").alias("span"))), lambda x: x["span"].isNotNull()))
+    return said.select("o_orderkey", F.inline(both))
 
 
 @query("q54_model_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 4 <> 3")
