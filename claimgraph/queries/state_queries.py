@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from claimgraph.functions import dates as D
 from claimgraph.functions import text as T
-from claimgraph.operators import packing, state
+from claimgraph.operators import board, packing, state
 from claimgraph.operators import relational as R
 from claimgraph.operators import rules as L
 from claimgraph.queries.common import query
@@ -204,6 +204,43 @@ def q51(t, spark):
     return state.violations(rules, docs.join(often, "h", "left"), "doc_id")
 
 
+#: The rule that the item of a document breaks, by doc_id modulo 20; items of 0, 18 and 19 break none, and 18 has no source.
+BROKEN = ["", "unknown source type", "tier mismatch", "duplicate URL", "invalid coverage", "n/a with spans", "label without article", "partial coverage", "missing content hash", "stale content hash", "missing evidence hash", "stale evidence hash", "unassessed with spans read", "unknown topics", "ambiguous anchor", "anchor not in topics", "unresolved claim tier", "stale evidence tier", "", ""]
+
+
+def derived_board(docs):
+    """items, spans and evidence, one of each for a document, that break BROKEN."""
+    i = F.col("doc_id")
+    k = i % 20
+    by = lambda usual, **other: F.coalesce(*[F.when(k == int(n[1:]), v) for n, v in other.items()], usual)
+    n = (i % 3 + 1).cast("int")
+    url = by(F.concat(F.lit("https://example.com/"), i.cast("string")), _3=F.concat(F.lit("HTTPS://www.Example.com/"), (i - 1).cast("string"), F.lit("/?utm_source=x#top")))
+    tier = by(F.lit(2), _2=F.lit(3))
+    held = F.struct(url.alias("url"), by(F.lit("press"), _1=F.lit("blog")).alias("source_type"), tier.alias("source_tier"))
+    digest = F.md5(i.cast("string"))
+    items = docs.select(
+        "doc_id",
+        F.when(k == 18, F.slice(F.array(held), 1, 0)).otherwise(F.array(held)).alias("sources"),
+        by(F.lit("rule"), _4=F.lit("person"), _5=F.lit("person"), _12=F.lit("unassessed"), _18=F.lit("person")).alias("evidence_method"),
+        by(F.lit("Y"), _5=F.lit("n/a")).alias("denominator_stated"),
+        F.struct(by(n, _4=n + 1, _6=F.lit(0), _7=F.lit(0), _18=F.lit(0)).alias("seen"), by(n, _6=F.lit(0)).alias("total")).alias("evidence_coverage"),
+        by(digest, _8=F.lit("")).alias("content_hash"),
+        by(digest, _10=F.lit("")).alias("evidence_hash"),
+        by(F.array(F.lit("chips")), _13=F.array(F.lit("chips"), F.lit("moon"))).alias("topics"),
+        F.struct(by(F.lit("chips"), _15=F.lit("power")).alias("topic")).alias("anchor"),
+        (k == 14).alias("anchor_ambiguous"),
+    )
+    spans = docs.select(url.alias("url"), by(F.lit("ok"), _6=F.lit("http-404")).alias("fetch"), F.sequence(F.lit(1), n).alias("spans"), by(digest, _9=F.lit("old")).alias("content_hash"), by(digest, _11=F.lit("old")).alias("evidence_hash"))
+    evidence = docs.select(url.alias("url"), F.lit(4).alias("claim_tier"), by(F.lit("stake"), _16=F.lit("unresolved")).alias("claim_relationship"), by(tier, _17=F.lit(5)).alias("source_tier"))
+    return items, spans, evidence
+
+
+@query("q73_board_integrity", f"SELECT doc_id, rule FROM (SELECT doc_id, {BROKEN}[CAST(doc_id % 20 AS INTEGER) + 1] AS rule FROM documents) WHERE rule <> '' AND (rule <> 'duplicate URL' OR doc_id - 1 IN (SELECT doc_id FROM documents))")
+def q73(t, spark):
+    items, spans, evidence = derived_board(t("documents").select("doc_id"))
+    return board.board_violations(items, spans, evidence, ["chips", "power"], {"press": 2}, "doc_id").select("doc_id", "rule")
+
+
 #: A first sentence without an event, and a second that names one for some orders; the years are 30 later than the orders'.
 HEARING = "concat('Filed in ', CAST(year(o_orderdate) + 30 AS {s}), '. The ', CASE WHEN o_orderstatus = 'O' THEN 'hearing' ELSE 'meeting' END, ' is on March 5, ', CAST(year(o_orderdate) + 31 AS {s}), '.')"
 
