@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimgraph.functions.text import unescape
+
 FORMS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM", "MMM yyyy", "yyyy")
+MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+IN_WORDS = rf"(?i)\b{MONTH}\s+[0-9]{{1,2}},\s+[0-9]{{4}}\b"
+ISO = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})(?:[T ](?:[01][0-9]|2[0-3])(?::?[0-5][0-9](?::?[0-5][0-9](?:[.,][0-9]+)?)?)?(?:Z|[+-][0-9]{2}(?::?[0-9]{2}(?::?[0-9]{2})?)?)?)?$"
+# Meta keys that name the day of publication, and the characters around a heading that are searched for it.
+META_KEYS = ("article:published_time", "datepublished", "publishdate")
+NEAR = 1800
 
 
 def parse_date(text: Column) -> Column:
@@ -15,7 +23,45 @@ def parse_date(text: Column) -> Column:
 
 
 def date_in_url(url: Column) -> Column:
-    return F.try_to_timestamp(F.regexp_replace(F.regexp_extract(url, r"/((?:19|20)[0-9]{2}/[0-9]{1,2}/[0-9]{1,2})(?:/|$)", 1), "/", "-"), F.lit("yyyy-M-d")).cast("date")
+    """The date of a path with /2024/03/05 or /2024/Mar/05; null if there is none."""
+    named = F.regexp_extract(url, rf"(?i)/([0-9]{{4}}/{MONTH}/[0-9]{{1,2}})(?:/|$)", 1)
+    in_words = F.concat(F.initcap(F.substring(named, 6, 3)), F.lit(" "), F.regexp_extract(named, "[0-9]+$", 0), F.lit(", "), F.substring(named, 1, 4))
+    numbers = F.try_to_timestamp(F.regexp_replace(F.nullif(F.regexp_extract(url, r"/((?:19|20)[0-9]{2}/[0-9]{1,2}/[0-9]{1,2})(?:/|$)", 1), F.lit("")), "/", "-"), F.lit("yyyy-M-d")).cast("date")
+    return F.coalesce(numbers, F.when(named != "", F.try_to_timestamp(in_words, F.lit("MMM d, yyyy"))).cast("date"))
+
+
+def published(text: Column) -> Column:
+    """The day of an ISO date or date and time, in its own zone, or of 'March 5, 2024' or 'Mar 5, 2024'; else null."""
+    # Parsed only where the form fits: a text that fails to parse costs many times one that does.
+    def parsed(x: Column) -> Column:
+        iso = F.regexp_replace(F.regexp_extract(x, ISO, 1), "-", "")
+        form = F.when(x.rlike("^[A-Za-z]{3} "), "MMM d, yyyy").otherwise("MMMM d, yyyy")
+        return F.when(iso != "", F.try_to_timestamp(iso, F.lit("yyyyMMdd"))).when(x.rlike("^[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}$"), F.try_to_timestamp(F.initcap(x), form)).cast("date")
+
+    plain = F.regexp_replace(F.trim(F.when(text.contains("&"), unescape(text)).otherwise(text)), r"\s+", " ")
+    return F.when(text.rlike("[0-9]"), F.transform(F.array(plain), parsed)[0])
+
+
+def page_date(html: Column) -> Column:
+    """The day a page says it was published: datePublished of its JSON, else its meta tags, else the date in words nearest to the first h1, of those within NEAR characters; of equally near ones the first. Null if there is none."""
+    raw = F.coalesce(html, F.lit(""))
+
+    def of_meta(tag: Column) -> Column:
+        attr = lambda name: F.coalesce(F.try_element_at(F.regexp_extract_all(tag, F.lit(rf"(?i)(?<![:\w-]){name}\s*=\s*[\"']([^\"']*)[\"']"), 1), F.lit(-1)), F.lit(""))
+        key = F.lower(F.coalesce(*[F.nullif(attr(n), F.lit("")) for n in ("property", "name", "itemprop")]))
+        return F.when(key.isin(*META_KEYS), published(attr("content")))
+
+    metas = F.filter(F.transform(F.regexp_extract_all(raw, F.lit(r"(?i)<meta\b[^>]*>"), 0), of_meta), lambda d: d.isNotNull())
+    parts = F.split(raw, r"(?i)<h1\b", 2)
+    at = F.length(F.get(parts, F.lit(0)))
+    begin = F.greatest(at - NEAR, F.lit(0))
+    region = F.substr(raw, begin + 1, at + NEAR - begin)
+    told, between = F.regexp_extract_all(region, F.lit(IN_WORDS), 0), F.split(region, IN_WORDS)
+    # A match begins after the matches before it and the text between them.
+    length = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+    places = F.transform(told, lambda d, i: F.struct(F.abs(begin + length(between, i + 1) + length(told, i) - at).alias("off"), i.alias("i"), d.alias("d")))
+    near = F.when(F.size(parts) > 1, published(F.array_min(places)["d"]))
+    return F.coalesce(published(F.regexp_extract(raw, r"(?i)[\"']datePublished[\"']\s*:\s*[\"']([^\"']+)[\"']", 1)), F.get(metas, F.lit(0)), near)
 
 
 def day_bucket(age: Column) -> Column:

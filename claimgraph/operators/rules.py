@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,3 +81,46 @@ def verdict(readings: Column) -> Column:
     counts = F.transform(F.array_distinct(readings), lambda v: F.size(F.filter(readings, lambda x: x == v)))
     top = F.array_max(counts)
     return F.when(F.size(readings) == 0, "none").when(F.size(readings) == 1, "single").when(F.size(counts) == 1, "unanimous").when(top * 2 > F.size(readings), "majority").when(F.size(F.filter(counts, lambda c: c == top)) > 1, F.when(top == 1, "split").otherwise("tied")).otherwise("split")
+
+
+def phrase(text: Column, words: str) -> Column:
+    """True if the phrase, or its plural, stands in the text between characters that are no ASCII letter or digit."""
+    return text.rlike(rf"(?iu)(?<![a-z0-9]){re.escape(words)}(?:s|es)?(?![a-z0-9])")
+
+
+def topic_candidates(df: DataFrame, ident: str, headline: Column, tags: Column, sentences: Column, registry: Sequence[dict]) -> DataFrame:
+    """ident, topic, score, on_headline, can_anchor: the topics of each item, from a headline and arrays of publisher tags and sentences.
+
+    ``registry`` has dicts of topic, rules (dicts of phrase or regex, and score), and at will topic_min_score (2),
+    anchor_min_score, anchors, exclude and headline_exclude (phrases). A headline with a phrase of headline_exclude has
+    not the topic; a text with one of exclude says nothing for it. A rule counts once for each class of evidence, twice
+    its score on the headline. A topic needs its least score and a rule that holds on the headline or a tag; to anchor,
+    one on the headline, an anchor and anchor_min_score, without which it never anchors. Nulls are empty.
+    """
+    said = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    classes = {"headline": F.array(F.coalesce(headline, F.lit(""))), "tag": said(tags), "sentence": said(sentences)}
+
+    def holds(text: Column, rule: dict) -> Column:
+        return F.coalesce(text.rlike(f"(?iu){rule['regex']}") if rule.get("regex") else phrase(text, rule["phrase"]), F.lit(False))
+
+    def any_of(text: Column, phrases: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a | b, [holds(text, {"phrase": p}) for p in phrases], F.lit(False))
+
+    found = []
+    for spec in registry:
+        usable = {name: F.filter(texts, lambda x: ~any_of(x, spec.get("exclude", []))) for name, texts in classes.items()}  # noqa: B023
+        hits = {name: [F.exists(texts, lambda x: holds(x, rule)).cast("int") * int(rule.get("score", 1)) for rule in spec["rules"]] for name, texts in usable.items()}  # noqa: B023
+        met = {name: [F.exists(texts, lambda x: holds(x, rule)) for rule in spec["rules"]] for name, texts in usable.items()}  # noqa: B023
+        none = F.lit(0)
+        score = sum(hits["headline"], none) * 2 + sum(hits["tag"], none) + sum(hits["sentence"], none)
+        some = lambda names: reduce(lambda a, b: a | b, [m for n in names for m in met[n]], F.lit(False))  # noqa: B023, E731
+        least = spec.get("anchor_min_score") if spec.get("anchors") else None
+        anchor = (score >= least) & some(["headline"]) if least is not None else F.lit(False)
+        fits = (score >= int(spec.get("topic_min_score", 2))) & some(["headline", "tag"]) & ~any_of(classes["headline"][0], spec.get("headline_exclude", []))
+        found.append(F.when(fits, F.struct(F.lit(spec["topic"]).alias("topic"), score.cast("long").alias("score"), some(["headline"]).alias("on_headline"), anchor.alias("can_anchor"))))
+    return df.select(ident, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+
+
+def topic_anchors(candidates: DataFrame, ident: str) -> DataFrame:
+    """Of the topics of each item that can anchor, the best if it is strictly ahead; ties abstain."""
+    return anchors(candidates.filter("can_anchor"), ident)

@@ -44,9 +44,9 @@ def q62(t, spark):
     k, d = F.col("o_orderkey") % 3, F.col("o_orderdate")
     page = F.when(k == 0, F.concat(F.lit('<meta name="date" content="'), F.date_format(d, "yyyy-MM-dd"), F.lit('">'))).otherwise("<p>none</p>")
     url = F.when(k == 1, F.concat(F.lit("https://example.com/"), F.date_format(d, "yyyy/MM/dd"), F.lit("/post"))).otherwise("https://example.com/post")
-    # The page's own date, then the URL's, then the feed's.
+    # The page's own date, then that of a tag the ladder doesn't know, the URL's, and the feed's.
     own = D.parse_date(F.regexp_extract(page, r'<meta name="date" content="([^"]*)"', 1)).cast("date")
-    return t("orders").select("o_orderkey", F.coalesce(own, D.date_in_url(url), F.lit("1990-01-01").cast("date")).cast("string").alias("day"))
+    return t("orders").select("o_orderkey", F.coalesce(D.page_date(page), own, D.date_in_url(url), F.lit("1990-01-01").cast("date")).cast("string").alias("day"))
 
 
 @query("q64_publisher_tags", "SELECT p_partkey, lower(p_brand) || '|' || lower(p_type) AS tags FROM part")
