@@ -15,7 +15,7 @@ K = 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many fingerprints of the benchmark, they are broadcast (under 100 bytes each).
+#: Up to so many fingerprints of the benchmark, they are broadcast; each carries 14 words at the most.
 MOST_BROADCAST = 200_000
 
 
@@ -69,10 +69,11 @@ def with_broadcast(df: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """doc_id, meets array<struct<p, item_id, q, iw>>: of each document with a fingerprint of the benchmark, where the two meet."""
+    """doc_id, meets array<struct<p, item_id, q, size, iw>>: of each document with a fingerprint of the benchmark, where the two meet; iw are the words around it, q is the place in them, and ``size`` words make a window."""
+    before = WINDOW - K  # with WINDOW words from the fingerprint on, all that ``spans`` looks at, however long the item is
     items = bench.select("item_id", words(F.col("text")).alias("iw")).filter(F.size("iw") > 0)
-    long = items.filter(F.size("iw") >= WINDOW).select("item_id", "iw", F.explode(fingerprints(F.col("iw"))).alias("f")).select(F.lit(K).alias("k"), F.col("f.h").alias("h"), "item_id", F.col("f.p").alias("q"), "iw")
-    short = items.filter(F.size("iw") < WINDOW).select(F.size("iw").alias("k"), F.xxhash64("iw").alias("h"), "item_id", F.lit(1).alias("q"), "iw")
+    long = items.filter(F.size("iw") >= WINDOW).select("item_id", "iw", F.explode(fingerprints(F.col("iw"))).alias("f")).select(F.lit(K).alias("k"), F.col("f.h").alias("h"), "item_id", F.least(F.col("f.p"), F.lit(before + 1)).alias("q"), F.lit(WINDOW).alias("size"), F.slice("iw", F.greatest(F.col("f.p") - before, F.lit(1)), F.least(F.col("f.p") - 1, F.lit(before)) + WINDOW).alias("iw"))
+    short = items.filter(F.size("iw") < WINDOW).select(F.size("iw").alias("k"), F.xxhash64("iw").alias("h"), "item_id", F.lit(1).alias("q"), F.size("iw").alias("size"), "iw")
     lengths = [r["k"] for r in short.select("k").distinct().collect()]  # 1 to 9
     own = fingerprints(F.col("w"))
     kept = F.transform(own, lambda f: F.struct(F.lit(K).alias("k"), f["h"].alias("h"), f["p"].alias("p")))
@@ -80,18 +81,15 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
         kept = F.concat(kept, placed(F.col("w"), k))
     marks = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(kept).alias("f")).select("doc_id", "f.k", "f.h", "f.p")
     met = marks.join(with_broadcast(long.unionByName(short)), ["k", "h"])
-    return met.groupBy("doc_id").agg(F.collect_list(F.struct("p", "item_id", "q", "iw")).alias("meets"))
+    return met.groupBy("doc_id").agg(F.collect_list(F.struct("p", "item_id", "q", "size", "iw")).alias("meets"))
 
 
 def spans(ws: Column, meets: Column) -> Column:
     """array<struct<item_id, s, e>>: the spans, from word s to before e (from 1), that repeat a whole window of an item around a meeting."""
-    whole = F.size
-
     def extend(m: Column) -> Column:
-        size = F.least(whole(m["iw"]), F.lit(WINDOW))
         left = run_left(ws, m["iw"], m["p"], m["q"], WINDOW - K)
         right = run_right(ws, m["iw"], m["p"], m["q"], WINDOW)
-        return F.struct(m["item_id"].alias("item_id"), (m["p"] - left).alias("s"), (m["p"] + right).alias("e"), (left + right >= size).alias("ok"))
+        return F.struct(m["item_id"].alias("item_id"), (m["p"] - left).alias("s"), (m["p"] + right).alias("e"), (left + right >= m["size"]).alias("ok"))
 
     return F.transform(F.filter(F.transform(meets, extend), lambda x: x["ok"]), lambda x: F.struct(x["item_id"].alias("item_id"), x["s"].alias("s"), x["e"].alias("e")))
 
