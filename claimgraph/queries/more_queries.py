@@ -12,7 +12,7 @@ from claimgraph.operators import figures
 from claimgraph.queries.common import query
 from claimgraph.queries.text_queries import NOTE_SPARK
 from claimgraph.sources import sinks
-from claimgraph.streaming.sweep import shared_folder
+from claimgraph.storage import shared_folder
 
 
 @query("q12_bare_figures")

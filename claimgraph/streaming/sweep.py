@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimgraph.storage import shared_folder
+
 
 def digest(*parts: str | Column) -> Column:
     return F.sha2(F.concat_ws("_", *parts), 256)
@@ -18,10 +19,6 @@ def unseen(stream: DataFrame, key: Column) -> DataFrame:
     return stream.withColumn("hash", key).dropDuplicates(["hash"])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-
-
 def drain(stream: DataFrame, name: str = "sweep") -> DataFrame:
     """One sweep: all there is now, written to the shared folder, exactly once by the checkpoint; read back."""
     spark = stream.sparkSession
