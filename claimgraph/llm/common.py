@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimgraph.storage import stored
+
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
 #: One random 64-bit value for each byte value, and an odd multiplier with its inverse modulo 2**64.
@@ -18,34 +17,39 @@ MULT = 0x9E3779B97F4A7C15
 MULT_INV = pow(MULT, -1, 2**64)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Lineage is cut in the folder that the cluster names in spark.checkpoint.dir; a folder of our own is set only where none is (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/claimgraph-{uuid.uuid4().hex}")
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` by way of a table in the shared folder."""
+    return stored(df)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def whole(df: DataFrame, *names: str) -> Column:
+    """All columns of a row as one struct, so that no name of an operator's own can clash with theirs."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns if c not in names])
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with ``value`` worked out once and not again for each use inside a lambda."""
+    return F.transform(F.array(value), body)[0]
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``: for file scans, the size of the files, without a job. Where the plan knows no size, the texts are measured."""
-    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if guess < 1 << 50:
-        return guess
+    """The UTF-8 bytes of all texts: files may be packed many times smaller than what a task has to hold."""
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def blocks_for(df: DataFrame, block_bytes: int, least: int = 12) -> int:
-    """How many blocks of about ``block_bytes`` the input makes; grows with it without a ceiling but Int's."""
-    return int(min(max(least, -(-input_bytes(df) // block_bytes)), 2**30))
+def blocks_for(size: int, block_bytes: int, least: int = 12) -> int:
+    """How many blocks of about ``block_bytes`` ``size`` bytes make; grows with it without a ceiling but Int's."""
+    return int(min(max(least, -(-size // block_bytes)), 2**30))
 
 
 def with_chunk(docs: DataFrame, chunks: int) -> DataFrame:
-    """(doc_id, text, chunk): rows dealt by a hash of their id, a null id counting as one value."""
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    """(doc_id, text, chunk): rows dealt by a hash of id and text, so that rows without an id, or of one id, don't gather in one block."""
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

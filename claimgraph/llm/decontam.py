@@ -2,7 +2,9 @@
 
 Of each ``WINDOW - K + 1`` consecutive K-word hashes, the smallest is kept as a fingerprint. Two texts that share
 WINDOW words in a row share those hashes, so both keep the same one of them: joining the fingerprints meets every
-such span. Each meeting is then extended word by word, which also sorts out hashes that agree by chance.
+such span. Each place of a met fingerprint is then extended word by word, which also sorts out hashes that agree by chance.
+
+Only fingerprints travel, and of the few texts that meet the benchmark the text; all others stay where they are.
 """
 
 from __future__ import annotations
@@ -10,18 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimgraph.llm.common import let, whole
+from claimgraph.storage import stored
+
 WINDOW = 10
 K = 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many fingerprints of the benchmark, they are broadcast; each carries 14 words at the most.
-MOST_BROADCAST = 200_000
-
-
-def let(value: Column, body) -> Column:
-    """body(value), with ``value`` worked out once and not again for each use inside a lambda."""
-    return F.transform(F.array(value), body)[0]
+#: Up to so many distinct fingerprints of the benchmark, a long each, they are broadcast: some 20 MB.
+MOST_BROADCAST = 500_000
+BEFORE = WINDOW - K
 
 
 def words(text: Column) -> Column:
@@ -29,26 +30,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), lambda w: w != "")
 
 
-def grams(ws: Column, k: int) -> Column:
-    """Hashes of all runs of k words, in order."""
-    return F.when(F.size(ws) >= k, F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.xxhash64(F.slice(ws, i + 1, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
+def each(n: Column, body) -> Column:
+    """[body(1), ..., body(n)]; empty if n is below 1."""
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), body)).otherwise(F.array().cast("array<bigint>"))
+
+
+def grams(hashes: Column, k: int) -> Column:
+    """Hashes of all runs of k words, in order, from the words' own; with k, so that runs of other lengths differ."""
+    return each(F.size(hashes) - (k - 1), lambda i: F.xxhash64(F.lit(k), *[F.element_at(hashes, i + j) for j in range(k)]))
 
 
-def fingerprints(ws: Column, k: int = K, window: int = WINDOW) -> Column:
-    """array<struct<h, p>>: the winnowed k-gram hashes of the words and where they begin (from 1); the first of equal ones in a window."""
-    w = window - k + 1
+def word_hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
-    def pick(hs: Column) -> Column:
-        at = F.transform(F.sequence(F.lit(1), F.size(hs) - (w - 1)), lambda i: let(F.slice(hs, i, F.lit(w)), lambda s: (i + F.array_position(s, F.array_min(s)) - 1).cast("int")))
-        return F.transform(F.array_distinct(at), lambda p: F.struct(F.element_at(hs, p).alias("h"), p.alias("p")))
 
-    none = F.array().cast("array<struct<h:bigint,p:int>>")
-    return let(ws, lambda v: let(grams(v, k), lambda hs: F.when(F.size(hs) >= w, pick(hs)).otherwise(none)))
+def lowest(hs: Column, w: int) -> Column:
+    """The smallest of each w values in a row, by doubling."""
+    if w == 1:
+        return hs
+    half = w // 2
+    step = lambda v: each(F.size(v) - half, lambda i: F.least(F.element_at(v, i), F.element_at(v, i + half)))
+    return let(lowest(hs, w - half) if w - half != half else lowest(hs, half), step)
 
 
-def placed(ws: Column, k: int) -> Column:
-    """array<struct<k, h, p>>: the hashes of all runs of k words."""
-    return F.transform(let(ws, lambda v: grams(v, k)), lambda h, i: F.struct(F.lit(k).alias("k"), h.alias("h"), (i + 1).cast("int").alias("p")))
+def fingerprints(hashes: Column, k: int = K, window: int = WINDOW) -> Column:
+    """The distinct winnowed k-gram hashes of words given by their hashes."""
+    return F.array_distinct(lowest(grams(hashes, k), window - k + 1))
 
 
 def run_left(ws: Column, iw: Column, p: Column, q: Column, most: int) -> Column:
@@ -63,35 +70,49 @@ def run_right(ws: Column, iw: Column, p: Column, q: Column, most: int) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.lit(0), step)
 
 
-def with_broadcast(df: DataFrame) -> DataFrame:
-    """``df`` for broadcasting if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
-def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """doc_id, meets array<struct<p, item_id, q, size, iw>>: of each document with a fingerprint of the benchmark, where the two meet; iw are the words around it, q is the place in them, and ``size`` words make a window."""
-    before = WINDOW - K  # with WINDOW words from the fingerprint on, all that ``spans`` looks at, however long the item is
-    items = bench.select("item_id", words(F.col("text")).alias("iw")).filter(F.size("iw") > 0)
-    long = items.filter(F.size("iw") >= WINDOW).select("item_id", "iw", F.explode(fingerprints(F.col("iw"))).alias("f")).select(F.lit(K).alias("k"), F.col("f.h").alias("h"), "item_id", F.least(F.col("f.p"), F.lit(before + 1)).alias("q"), F.lit(WINDOW).alias("size"), F.slice("iw", F.greatest(F.col("f.p") - before, F.lit(1)), F.least(F.col("f.p") - 1, F.lit(before)) + WINDOW).alias("iw"))
-    short = items.filter(F.size("iw") < WINDOW).select(F.size("iw").alias("k"), F.xxhash64("iw").alias("h"), "item_id", F.lit(1).alias("q"), F.size("iw").alias("size"), "iw")
-    lengths = [r["k"] for r in short.select("k").distinct().collect()]  # 1 to 9
-    own = fingerprints(F.col("w"))
-    kept = F.transform(own, lambda f: F.struct(F.lit(K).alias("k"), f["h"].alias("h"), f["p"].alias("p")))
-    for k in lengths:  # an item of under WINDOW words is met at any place
-        kept = F.concat(kept, placed(F.col("w"), k))
-    marks = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(kept).alias("f")).select("doc_id", "f.k", "f.h", "f.p")
-    met = marks.join(with_broadcast(long.unionByName(short)), ["k", "h"])
-    return met.groupBy("doc_id").agg(F.collect_list(F.struct("p", "item_id", "q", "size", "iw")).alias("meets"))
-
-
-def spans(ws: Column, meets: Column) -> Column:
-    """array<struct<item_id, s, e>>: the spans, from word s to before e (from 1), that repeat a whole window of an item around a meeting."""
-    def extend(m: Column) -> Column:
-        left = run_left(ws, m["iw"], m["p"], m["q"], WINDOW - K)
-        right = run_right(ws, m["iw"], m["p"], m["q"], WINDOW)
-        return F.struct(m["item_id"].alias("item_id"), (m["p"] - left).alias("s"), (m["p"] + right).alias("e"), (left + right >= m["size"]).alias("ok"))
-
-    return F.transform(F.filter(F.transform(meets, extend), lambda x: x["ok"]), lambda x: F.struct(x["item_id"].alias("item_id"), x["s"].alias("s"), x["e"].alias("e")))
+def placed(ws: Column, hashes: Column, k: int, wanted: Column | None) -> Column:
+    """array<struct<h, p, q, near>>: the runs of k words, those of the wanted hashes if named; where they begin, and the words around: run number q of ``near``."""
+    runs = F.transform(grams(hashes, k), lambda h, i: F.struct(h.alias("h"), (i + 1).cast("int").alias("p")))
+    some = runs if wanted is None else F.filter(runs, lambda x: F.array_contains(wanted, x["h"]))
+    around = lambda p: F.slice(ws, F.greatest(p - BEFORE, F.lit(1)), F.least(p - 1, F.lit(BEFORE)) + WINDOW)
+    return F.transform(some, lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"), F.least(x["p"], F.lit(BEFORE + 1)).alias("q"), around(x["p"]).alias("near")))
+
+
+def items_of(bench: DataFrame) -> DataFrame:
+    """h, item_id, iq, iw, least: each fingerprint of an item, the words around it, and how many of them make a window."""
+    items = bench.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    long = items.filter(F.size("w") >= WINDOW).select("item_id", let(word_hashes(F.col("w")), lambda v: let(fingerprints(v), lambda own: placed(F.col("w"), v, K, own))).alias("f")).select("item_id", F.inline("f"))
+    short = items.filter(F.size("w") < WINDOW).select("item_id", "w", word_hashes(F.col("w")).alias("v"))
+    own = F.coalesce(*[F.when(F.size("v") == k, F.element_at(grams(F.col("v"), k), 1)) for k in range(1, WINDOW)])
+    return long.select("h", "item_id", F.col("q").alias("iq"), F.col("near").alias("iw"), F.lit(WINDOW).alias("least")).union(short.select(own.alias("h"), "item_id", F.lit(1).alias("iq"), F.col("w").alias("iw"), F.size("w").alias("least")))
+
+
+def text_key() -> Column:
+    """What names a text: rows of one text are judged together, whatever their ids."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
+
+
+def judged(docs: DataFrame, bench: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """t, hits, items for each distinct text of ``docs`` that repeats a window of an item: the number of its words that do, and the item_ids, distinct and sorted as strings."""
+    items = stored(items_of(bench))
+    # Only the lengths that there are of items of fewer than WINDOW words: 1 to 9.
+    lengths = sorted(r["least"] for r in items.filter(F.col("least") < WINDOW).select("least").distinct().collect())
+    keys = items.select("h").distinct()
+    if keys.limit(most_broadcast + 1).count() <= most_broadcast:
+        keys = F.broadcast(keys)
+    marks = let(word_hashes(words(F.col("text"))), lambda v: F.concat(fingerprints(v), *[F.array_distinct(grams(v, k)) for k in lengths]))
+    met = stored(docs.select(text_key(), F.explode(marks).alias("h")).join(keys, "h", "left_semi").groupBy("t").agg(F.collect_set("h").alias("hs")))
+    # The texts that meet the benchmark, once each, and where they do.
+    texts = docs.select(text_key(), "text").join(met, "t").groupBy("t").agg(F.first("text").alias("text"), F.first("hs").alias("hs"))
+    ws = texts.select("t", "hs", words(F.col("text")).alias("w")).withColumn("v", word_hashes(F.col("w")))
+    places = ws.select("t", F.inline(F.concat(*[placed(F.col("w"), F.col("v"), k, F.col("hs")) for k in sorted({K, *lengths})])))
+    both = places.join(items, "h")
+    left, right = run_left(F.col("near"), F.col("iw"), F.col("q"), F.col("iq"), BEFORE), run_right(F.col("near"), F.col("iw"), F.col("q"), F.col("iq"), WINDOW)
+    found = both.select("t", "item_id", "p", "least", left.alias("left"), right.alias("right")).filter("`left` + `right` >= least")
+    # Of the spans that begin at one word, the longest; so there is one for each word at the most.
+    longest = found.groupBy("t", (F.col("p") - F.col("left")).alias("s")).agg(F.max(F.col("p") + F.col("right")).alias("e")).groupBy("t").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    names = found.select("t", F.col("item_id").cast("string").alias("item")).distinct().groupBy("t").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return longest.join(names, "t").select("t", covered(F.col("ranges")).cast("long").alias("hits"), "items")
 
 
 def covered(ranges: Column) -> Column:
@@ -100,28 +121,26 @@ def covered(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step)["n"]
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``docs`` and n_words, n_hit (long), items (array of the item_ids met, distinct and sorted as strings), contaminated.
 
     A word is hit if it lies in an occurrence of a window: WINDOW words in a row of an item, or a whole item of fewer.
     Null and empty texts have no words; items without words are passed over, and with an empty benchmark nothing is
-    hit. Repeated rows are judged alike, and so are rows without a doc_id: a meeting found in one of them is tried on
-    each, and counts only where the words are there. Columns of ``docs`` are kept, but for those named as the results.
+    hit. Rows are judged by their text, so repeated rows and rows without a doc_id are judged as any others. Columns of
+    ``docs`` are kept, but for those named as the results; any other names will do. An empty table gives an empty one.
     """
     clash = {"n_words", "n_hit", "items", "contaminated"} & set(docs.columns)
-    found = matches(docs, bench).withColumnsRenamed({"doc_id": "__id", "meets": "__meets"})
-    joined = docs.drop(*clash).join(found, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    judged = F.when(F.col("__meets").isNotNull(), F.transform(F.array("__w"), lambda v: spans(v, F.col("__meets")))[0])
-    ws = joined.withColumn("__w", words(F.col("text")))
-    done = ws.withColumn("__s", F.coalesce(judged, F.array().cast(f"array<struct<item_id:{bench.schema['item_id'].dataType.simpleString()},s:int,e:int>>"))).withColumn("n_words", F.size("__w").cast("long"))
-    ranges = F.transform("__s", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    items = F.array_sort(F.array_distinct(F.transform("__s", lambda x: x["item_id"].cast("string"))))
-    return done.withColumn("n_hit", covered(ranges).cast("long")).withColumn("items", items).withColumn("contaminated", F.size("__s") > 0).drop("__w", "__s", "__id", "__meets")
+    done = stored(judged(docs.select("text"), bench, most_broadcast))  # its size is known from here on: small, it is broadcast
+    rows = docs.select(text_key(), whole(docs, *clash).alias("row"), F.size(words(F.col("text"))).cast("long").alias("n_words")).join(done, "t", "left")
+    return rows.select("row.*", "n_words", F.coalesce("hits", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("hits").isNotNull().alias("contaminated"))
 
 
 def op10(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    done = decontaminate(docs.select("doc_id", "text"), bench)
-    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    """The columns of the contract."""
+    done = stored(judged(docs.select("text"), bench))
+    rows = docs.select(text_key(), "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(done, "t", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select("doc_id", "n_words", F.coalesce("hits", F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), F.col("hits").isNotNull().alias("contaminated"))
 
 
 #: DuckDB: all windows of the items against all runs of as many words of the documents.

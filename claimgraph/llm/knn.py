@@ -1,8 +1,12 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Vectors are grouped by their nearest pivot. A group's summary (count, radius) bounds each score in it:
-q.p - |q| r <= q.x <= q.p + |q| r. Each query is first solved in its most promising groups, as many as hold k vectors;
-the k-th score found there is a floor, and the query is then sent only to those groups whose upper bound reaches it.
+Lifting makes the largest inner products the smallest distances: a vector x gets the further coordinate
+sqrt(M - |x|^2), M being the largest |x|^2 of all, a query q gets 0, and |q' - x'|^2 = |q|^2 + M - 2 q.x. In that space
+data and queries are grouped by their nearest pivot. What each group's summary says (how many there are, the least and
+largest distance to the pivot, and of data the nearest distances) bounds, for a whole group of queries, how far its k-th
+neighbour can be: theta. By the triangle inequality a query within ``reach`` of its pivot can have x of another cell
+among its k best only if | d(pivot, pivot') - d(x', pivot') | <= reach + theta; only such vectors are replicated to the
+group of queries, and it is solved there.
 """
 
 from __future__ import annotations
@@ -23,27 +27,28 @@ from claimgraph.llm.common import cut
 class KnnParams:
     k: int = 20
     scale: int = 64
-    #: Rows from which the pivots are chosen, and the most pivots: their table stays under some MB.
+    #: Rows from which the pivots are chosen, and the most pivots: their tables stay under some MB.
     sample: int = 4_000
     most_pivots: int = 1_024
-    #: Vectors of a group that are solved together; larger groups are split.
-    block_rows: int = 4_096
+    #: Queries of a group, and vectors of a task: cells of more queries are split, cells of fewer share a group.
+    query_rows: int = 4_096
+    block_rows: int = 8_192
 
 
 def to_ints(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Which vectors take part, and their floor(scale * x) as floats."""
-    keep, out = np.zeros(len(column), bool), []
-    for i, v in enumerate(column):
-        if v.is_valid and v.values.null_count == 0:
-            x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
-            if np.isfinite(x).all():
-                keep[i] = True
-                out.append(np.floor(scale * x))
-    return keep, out
+    at = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become nan
+    ints = np.floor(scale * flat)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(ints))])
+    keep = column.is_valid().to_numpy(zero_copy_only=False) & (bad[at[1:]] == bad[at[:-1]])
+    return keep, [ints[a:b] for a, b in zip(at[:-1][keep], at[1:][keep], strict=True)]
 
 
 def stack(rows: list[np.ndarray]) -> np.ndarray:
     """Vectors as rows; shorter ones end in zeros, which add nothing to an inner product."""
+    if rows and len({len(r) for r in rows}) == 1:
+        return np.stack(rows)
     out = np.zeros((len(rows), max(map(len, rows), default=0)))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
@@ -58,10 +63,15 @@ def unblob(column) -> np.ndarray:
     return stack([np.frombuffer(b, np.float64) for b in column.to_pylist()])
 
 
+def lifted(x: np.ndarray, d: int, most: float | None) -> np.ndarray:
+    """The vectors in the space of distances: ``most`` for data, None for queries."""
+    x = widen(x, d)
+    last = np.zeros((len(x), 1)) if most is None else np.sqrt(np.maximum(most - (x**2).sum(1), 0))[:, None]
+    return np.concatenate([x, last], axis=1)
+
+
 def choose_pivots(x: np.ndarray, k: int) -> np.ndarray:
     """A few rounds of k-means over the sample."""
-    if not len(x):
-        return x
     p = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
     for _ in range(6):
         near = nearest(x, p)[0]
@@ -72,31 +82,30 @@ def choose_pivots(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = max(x.shape[1], p.shape[1])
-    x, p = widen(x, d), widen(p, d)
     near = ((p**2).sum(1)[None, :] - 2 * x @ p.T).argmin(1)
     return near, np.sqrt(((x - p[near]) ** 2).sum(1))
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; in floats where those are exact."""
+    """Exact integer inner products, held at the ends of long; in floats where those are exact."""
     d = max(q.shape[1], x.shape[1])
     q, x = widen(q, d), widen(x, d)
     if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(d, 1) < 2**53:
         return (q @ x.T).astype(np.int64)
     whole = np.frompyfunc(int, 1, 1)
-    return (whole(q).astype(object) @ whole(x).astype(object).T).astype(np.int64)
+    wide = whole(q).astype(object) @ whole(x).astype(object).T
+    return np.minimum(np.maximum(wide, -(2**63)), 2**63 - 1).astype(np.int64)
 
 
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids; ids ascend."""
     if len(scores) <= k:
-        return np.argsort(-scores, kind="stable")
+        return np.argsort(~scores, kind="stable")  # ~ turns the order round, without overflow
     floor = np.partition(scores, len(scores) - k)[len(scores) - k]
     above = np.flatnonzero(scores > floor)
     level = np.flatnonzero(scores == floor)[: k - len(above)]
     at = np.concatenate([above, level])
-    return at[np.lexsort((ids[at], -scores[at]))]
+    return at[np.lexsort((ids[at], ~scores[at]))]
 
 
 def _solve(p: KnnParams):
@@ -109,8 +118,8 @@ def _solve(p: KnnParams):
             q_ids, q = queries.column("query_id").to_numpy(), unblob(queries.column("q"))
             for i in range(0, len(q), 256):
                 for own, row in zip(q_ids[i : i + 256], products(q[i : i + 256], x), strict=True):
-                    other = ids != own
-                    at = top(row, ids, p.k) if other.all() else np.flatnonzero(other)[top(row[other], ids[other], p.k)]
+                    a, b = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+                    at = top(row, ids, p.k) if a == b else (lambda other: other[top(row[other], ids[other], p.k)])(np.concatenate([np.arange(a), np.arange(b, len(ids))]))
                     q_out.append(np.full(len(at), own)), v_out.append(ids[at]), s_out.append(row[at])
         join = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)
         return pa.table({"query_id": join(q_out), "vec_id": join(v_out), "score": join(s_out)})
@@ -121,83 +130,157 @@ def _solve(p: KnnParams):
 FOUND = "query_id long, vec_id long, score long"
 
 
-def search(vectors: DataFrame, queries: DataFrame, p: KnnParams = KnnParams()) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the p.k highest inner products of floor(scale * x) for each of ``queries``.
-
-    Both have vec_id, a long that isn't null, and embedding. A query's own vec_id is no candidate. Vectors that are null
-    or hold null or non-finite components take no part; empty vectors score 0, shorter ones count as ended with zeros.
-    Ties go to the smaller vec_id; queries with fewer candidates get all of them. Repeated rows are candidates each,
-    but a query_id is asked once (of different vectors, with the one that sorts first). Other columns are not read.
-    """
+@dataclass(frozen=True)
+class Plan:
+    """For each group of queries, from which cells it needs vectors at which distances, and into how many tasks they are dealt. As large as pivots x pivots."""
+
+    #: Of each cell of queries, the first of its groups and how many it has.
+    first: np.ndarray
+    groups: np.ndarray
+    #: cells of queries x cells of data
+    low: np.ndarray
+    high: np.ndarray
+    #: Of each group, the first of its tasks and how many it has.
+    task: np.ndarray
+    tasks: np.ndarray
+
+
+def planned(pivots: np.ndarray, asked: dict, held: dict, near: list[tuple[int, float, int]], p: KnnParams) -> Plan:
+    """From the summaries: asked[cell] = (queries, largest distance), held[cell] = (vectors, least, largest distance), near = (cell, distance, vec_id) of each cell's nearest."""
+    c = len(pivots)
+    gap = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2), 0))
+    reach, theta = np.zeros(c), np.full(c, np.inf)
+    cell, far, own = (np.array([x[i] for x in near]) for i in range(3))
+    for i, (_, widest) in asked.items():
+        reach[i] = widest
+        bound = widest + gap[i, cell] + far
+        order = np.argsort(bound, kind="stable")
+        # The k-th other vector is at most so far; the query's own may be one of them, or several.
+        _, at = np.unique(own[order], return_index=True)
+        if len(at) > p.k:
+            theta[i] = bound[order][np.sort(at)[p.k]]
+    width = (reach + theta) * (1 + 1e-9) + 1e-6
+    low, high = gap - width[:, None], gap + width[:, None]
+    # Cells of few queries share a group with others near them.
+    first, groups, left, order = np.zeros(c, np.int64), np.zeros(c, np.int64), set(asked), []
+    at = min(left, default=None)
+    while left:
+        order.append(at)
+        left.discard(at)
+        at = min(left, key=lambda j: gap[at, j], default=None)
+    n, room = 0, 0
+    for i in order:
+        size = asked[i][0]
+        if size > p.query_rows:
+            first[i], groups[i], room = n, -(-size // p.query_rows), 0
+            n += groups[i]
+        else:
+            if size > room:
+                n, room = n + 1, p.query_rows
+            first[i], groups[i], room = n - 1, 1, room - size
+    need = np.zeros(max(n, 1))
+    for i in order:
+        some = sum(m for j, (m, a, b) in held.items() if not (b < low[i, j] or a > high[i, j]))
+        need[first[i] : first[i] + groups[i]] = np.maximum(need[first[i] : first[i] + groups[i]], some)
+    tasks = np.maximum(1, -(-need // p.block_rows)).astype(np.int64)
+    return Plan(first, groups, low, high, np.concatenate([[0], np.cumsum(tasks)[:-1]]), tasks)
+
+
+def dealt(vectors: DataFrame, queries: DataFrame, p: KnnParams) -> tuple[DataFrame, DataFrame] | None:
+    """(task, query_id, q) and (task, vec_id, v): each query in all tasks of its group, and to each group what it needs. None without vectors."""
     spark = vectors.sparkSession
 
     def ints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             keep, rows = to_ints(part.column("embedding"), p.scale)
-            yield pa.RecordBatch.from_pydict({"vec_id": part.column("vec_id").filter(pa.array(keep)), "v": pa.array([r.tobytes() for r in rows], pa.binary())})
-
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null").mapInArrow(ints, "vec_id long, v binary")
-    n = vectors.count()
+            sizes = [min(float(r @ r), 1e300) for r in rows]
+            yield pa.RecordBatch.from_pydict({"vec_id": part.column("vec_id").filter(pa.array(keep)), "v": pa.array([r.tobytes() for r in rows], pa.binary()), "size": pa.array(sizes, pa.float64()), "d": pa.array([len(r) for r in rows], pa.int32())})
+
+    whole = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null").mapInArrow(ints, "vec_id long, v binary, size double, d int")
+    usable = cut(whole(vectors))
+    valid = cut(whole(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")))
+    n, most, d = usable.agg(F.count(F.lit(1)), F.max("size"), F.max("d")).first()
+    if not n or valid.isEmpty():
+        return None
+    d = max(d, valid.agg(F.max(F.length("q"))).first()[0] // 8)
     # About p.sample rows, whatever the number of tasks that read them; of few vectors, all.
-    dealt = F.pmod(F.xxhash64("vec_id", F.lit("pivots")), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.filter(dealt < min(1.0, p.sample / max(n, 1))).toPandas().sort_values("vec_id", kind="stable")
-    pivots = choose_pivots(stack([np.frombuffer(b, np.float64) for b in picked.v]), int(min(p.most_pivots, max(8, n**0.5 / 4))))
-    if not len(pivots) and n > p.sample:  # a sample of rare vectors may miss them all
-        pivots = choose_pivots(stack([np.frombuffer(b, np.float64) for b in usable.limit(p.sample).toPandas().v]), p.most_pivots)
-    if not len(pivots):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows:
-                near, far = nearest(unblob(part.column("v")), pivots)
-                yield pa.RecordBatch.from_pydict({"vec_id": part.column("vec_id"), "v": part.column("v"), "cell": near.astype(np.int32), "far": far})
-
-    cells = cut(usable.mapInArrow(assign, "vec_id long, v binary, cell int, far double"))
-    summary = {r["cell"]: (r["n"], r["r"]) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect()}
-    own = np.array(sorted(summary), np.int64)
-    size, radius = np.array([summary[c][0] for c in own]), np.array([summary[c][1] for c in own])
-    parts_of = -(-size // p.block_rows)
-    first = np.concatenate([[0], np.cumsum(parts_of)])
-    place = {int(c): i for i, c in enumerate(own)}
-    blocks = F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(int(first[i])))]), F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(int(parts_of[i])))])
-    data = cut(cells.select("vec_id", "v", (blocks[0][F.col("cell")] + F.pmod(F.xxhash64("vec_id"), blocks[1][F.col("cell")])).cast("int").alias("block")))
-    valid = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null").mapInArrow(ints, "vec_id long, v binary")
-    asked = cut(valid.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")))
-
-    def send(second: bool):
+    dealt_out = F.pmod(F.xxhash64("vec_id", "v", F.lit("pivots")), F.lit(1 << 30)) / float(1 << 30)
+    picked = usable.filter(dealt_out < min(1.0, p.sample / n)).select("vec_id", "v").toPandas().sort_values(["vec_id", "v"], kind="stable")
+    if not len(picked):
+        picked = usable.select("vec_id", "v").orderBy("vec_id", "v").limit(p.sample).toPandas()
+    pivots = choose_pivots(lifted(stack([np.frombuffer(b, np.float64) for b in picked.v]), d, most), int(min(p.most_pivots, max(8, n**0.5 / 4))))
+
+    def assign(blob: str, ident: str, largest: float | None):
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                if not part.num_rows:
-                    continue
-                q = unblob(part.column("q"))
-                d = max(q.shape[1], pivots.shape[1])
-                mid = widen(q, d) @ widen(pivots[own], d).T
-                slack = np.sqrt((q**2).sum(1))[:, None] * radius[None, :]
-                slack = slack + 1e-9 * (np.abs(mid) + slack) + 1e-6
-                order = np.argsort(-(mid + slack), axis=1, kind="stable")
-                # The best groups until k others are in them.
-                enough = np.cumsum(size[order], axis=1) - size[order] < p.k + 1
-                early = np.zeros(mid.shape, bool)
-                np.put_along_axis(early, order, enough, axis=1)
-                want = early if not second else ~early & (mid + slack >= part.column("floor").to_numpy(zero_copy_only=False)[:, None])
-                who, cell = np.nonzero(want)
-                rep = parts_of[cell]
-                who, block = np.repeat(who, rep), np.repeat(first[cell], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
-                for i in range(0, len(who), 8192):
-                    yield pa.RecordBatch.from_pydict({"query_id": part.column("query_id").take(pa.array(who[i : i + 8192])), "q": part.column("q").take(pa.array(who[i : i + 8192])), "block": block[i : i + 8192].astype(np.int32)})
+                if part.num_rows:
+                    near, far = nearest(lifted(unblob(part.column(blob)), d, largest), pivots)
+                    yield pa.RecordBatch.from_pydict({ident: part.column(ident), blob: part.column(blob), "cell": near.astype(np.int32), "far": far})
 
         return run
 
-    def solved(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("block").cogroup(data.groupBy("block")).applyInArrow(_solve(p), FOUND)
+    cells = cut(usable.select("vec_id", "v").mapInArrow(assign("v", "vec_id", most), "vec_id long, v binary, cell int, far double"))
+    own = cut(valid.mapInArrow(assign("q", "query_id", None), "query_id long, q binary, cell int, far double"))
+    count = F.count(F.lit(1)).alias("n")
+    held = {r["cell"]: (r["n"], r["a"], r["b"]) for r in cells.groupBy("cell").agg(count, F.min("far").alias("a"), F.max("far").alias("b")).collect()}
+    asked = {r["cell"]: (r["n"], r["b"]) for r in own.groupBy("cell").agg(count, F.max("far").alias("b")).collect()}
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("far", "vec_id"))
+    near = [(r["cell"], r["far"], r["vec_id"]) for r in cells.select("cell", "far", "vec_id").withColumn("r", rank).filter(F.col("r") <= p.k + 1).collect()]
+    plan = planned(pivots, asked, held, near, p)
+    wanted = sorted(asked)
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            cell, ids = part.column("cell").to_numpy(), part.column("query_id").to_numpy()
+            group = plan.first[cell] + np.abs(ids) % np.maximum(plan.groups[cell], 1)
+            yield from spread(part, "query_id", "q", np.arange(part.num_rows), group, None)
+
+    def give(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(0, part.num_rows, 2048):
+                some = part.slice(i, 2048)
+                cell, far = some.column("cell").to_numpy(), some.column("far").to_numpy()
+                # What is not known to be too far, such as distances beyond all numbers, is needed.
+                away = (far[None, :] < plan.low[wanted][:, cell]) | (far[None, :] > plan.high[wanted][:, cell])
+                which, row = np.nonzero(~away)
+                which = np.array(wanted)[which]
+                rep = plan.groups[which]
+                group = np.repeat(plan.first[which], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
+                both = np.unique(np.repeat(row, rep) * (1 << 32) + group)
+                yield from spread(some, "vec_id", "v", both >> 32, both & ((1 << 32) - 1), some.column("vec_id").to_numpy())
+
+    def spread(part, ident: str, blob: str, row: np.ndarray, group: np.ndarray, ids: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """The rows for their groups: queries (ids None) to all tasks of the group, data to one."""
+        if ids is None:
+            rep = plan.tasks[group]
+            task = np.repeat(plan.task[group], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
+            row = np.repeat(row, rep)
+        else:
+            mixed = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            task = plan.task[group] + (mixed % plan.tasks[group].astype(np.uint64)).astype(np.int64)
+        for i in range(0, len(row), 4096):
+            at = pa.array(row[i : i + 4096])
+            yield pa.RecordBatch.from_pydict({"task": task[i : i + 4096], ident: part.column(ident).take(at), blob: part.column(blob).take(at)})
+
+    return own.mapInArrow(ask, "task long, query_id long, q binary"), cells.mapInArrow(give, "task long, vec_id long, v binary")
+
 
+def search(vectors: DataFrame, queries: DataFrame, p: KnnParams = KnnParams()) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the p.k highest inner products of floor(scale * x) for each of ``queries``.
+
+    Both have vec_id, a long that isn't null, and embedding. A query's own vec_id is no candidate. Vectors that are null
+    or hold null or non-finite components take no part; empty vectors score 0, shorter ones count as ended with zeros.
+    Scores beyond long's range are held at its ends. Ties go to the smaller vec_id; queries with fewer candidates get all
+    of them. Repeated rows are candidates each, but a query_id is asked once (of different vectors, with the one that
+    sorts first). Other columns are not read; an empty table gives an empty one.
+    """
+    sent = dealt(vectors, queries, p)
+    if sent is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked, data = sent
+    found = asked.groupBy("task").cogroup(data.groupBy("task")).applyInArrow(_solve(p), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = cut(solved(asked.mapInArrow(send(False), "query_id long, q binary, block int")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= p.k).drop("rank"))
-    floors = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= p.k, F.min("score")).alias("floor"))
-    again = asked.join(floors, "query_id", "left").select("query_id", "q", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
-    rest = solved(again.mapInArrow(send(True), "query_id long, q binary, block int"))
-    return near.union(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= p.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= p.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2(embeddings: DataFrame, p: KnnParams = KnnParams()) -> DataFrame:

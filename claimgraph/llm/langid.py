@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import batches, mix, text_bytes
+from claimgraph.llm.common import batches, cut, mix, text_bytes
 
 U = np.uint64
 UND = "und"
@@ -25,14 +25,13 @@ class LangParams:
     n: tuple[int, ...] = (3, 4)
     #: Bound of the documents learnt from, by language.
     sample_docs: int = 1500
-    #: Slots of the filter; with a word of languages each.
+    #: Slots of the filter, each with a bit for every language; and how many slots an n-gram sets.
     slots: int = 1 << 20
     probes: int = 3
-    #: An n-gram belongs to a language that has it at least so often, relative to the language where it is most frequent.
-    share: float = 0.5
-    least_count: int = 3
-    #: Bound of the n-grams held for a language: the most frequent.
-    most_ngrams: int = 60_000
+    #: An n-gram is in a language's first filter if the language has it at all, in the others if so many of the language's n-grams are this one.
+    levels: tuple[float, ...] = (0.0, 1e-4, 1e-3)
+    #: A text is of a learnt language only if that language has so much of its n-grams, chance taken off.
+    least_cover: float = 0.35
 
 
 def _alphabet() -> np.ndarray:
@@ -87,19 +86,44 @@ def ngrams(chars: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), at
 
 
-def count_ngrams(params: LangParams):
+def slots_of(grams: np.ndarray, probe: int, params: LangParams) -> np.ndarray:
+    return (mix(grams + U((probe * 0x632BE59BD9B4E019) % 2**64)) % U(params.slots)).astype(np.int64)
+
+
+def count_ngrams(langs: list[str], params: LangParams):
+    place = {x: i for i, x in enumerate(langs)}
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            langs = part.column("lang").to_pylist()
-            texts = part.column("text")
-            for lang in sorted(set(langs)):
-                own = texts.filter(pa.array([x == lang for x in langs]))
-                _, offsets = text_bytes(own)
-                for i, j in batches(offsets, 1 << 20):
+            named, texts = part.column("lang").to_pylist(), part.column("text")
+            for lang in sorted(set(named)):
+                own = texts.filter(pa.array([x == lang for x in named]))
+                for i, j in batches(text_bytes(own)[1], 1 << 20):
                     chars, _, _ = letters(own.slice(i, j - i))
                     for n in params.n:
                         values, counts = np.unique(ngrams(chars, n)[0], return_counts=True)
-                        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(values), pa.string()), "n": pa.array(np.full(len(values), n, np.int32)), "gram": values.astype(np.int64), "seen": counts.astype(np.int64)})
+                        yield pa.RecordBatch.from_pydict({"lang": np.full(len(values), place[lang], np.int32), "gram": values.view(np.int64), "seen": counts.astype(np.int64)})
+
+    return run
+
+
+def fill(totals: np.ndarray, params: LangParams):
+    """(slot, word, mask) rows: the bits that a task's n-grams set. What a task holds is as large as the filter, however many n-grams there are."""
+    words = -(-len(totals) // 64)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((params.slots, len(params.levels) * words), np.uint64)
+        for part in parts:
+            lang, gram, seen = (part.column(c).to_numpy() for c in ("lang", "gram", "seen"))
+            rate, mask = seen / totals[lang], U(1) << (lang % 64).astype(np.uint64)
+            for level, least in enumerate(params.levels):
+                held = rate >= least
+                for probe in range(params.probes):
+                    np.bitwise_or.at(bits, (slots_of(gram[held].view(np.uint64), probe, params), level * words + lang[held] // 64), mask[held])
+        slot, word = np.nonzero(bits)
+        for i in range(0, len(slot), 1 << 16):
+            at = slot[i : i + (1 << 16)], word[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"slot": at[0].astype(np.int32), "word": at[1].astype(np.int32), "mask": bits[at].view(np.int64)})
 
     return run
 
@@ -108,74 +132,86 @@ def count_ngrams(params: LangParams):
 class LangModel:
     params: LangParams
     langs: list[str]
-    #: slots x words of 64 languages
+    #: slots x (levels x words of 64 languages)
     bits: np.ndarray
-    #: By language, the chance that an n-gram that it lacks passes all probes.
+    #: levels x languages: the chance that an n-gram that a filter lacks passes all probes.
     false_rate: np.ndarray
 
+    def bit(self, masks: np.ndarray, level: int, lang: int) -> np.ndarray:
+        """1 for the n-grams that the language has at the level."""
+        return (masks[:, level * -(-len(self.langs) // 64) + lang // 64] >> U(lang % 64)) & U(1)
+
     def masks(self, grams: np.ndarray) -> np.ndarray:
+        """The languages that contain each n-gram, as bits: all of them, and by chance some more."""
         out = None
-        for i in range(self.params.probes):
-            slot = (mix(grams + U((i * 0x632BE59BD9B4E019) % 2**64)) % U(self.params.slots)).astype(np.int64)
-            out = self.bits[slot] if out is None else out & self.bits[slot]
+        for probe in range(self.params.probes):
+            row = self.bits[slots_of(grams, probe, self.params)]
+            out = row if out is None else out & row
         return out
 
-    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: popcounts by language of the masks of its n-grams, less what chance adds."""
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and cover of each text: popcounts by language of the masks of its n-grams, less what chance adds.
+
+        The counts of all levels decide: languages that merely contain each other's n-grams, as in quoted passages, are
+        told apart by how common they are. The score is the best language's share of all corrected counts; the cover is
+        how much of the text's n-grams it contains at all.
+        """
         chars, doc, counts = letters(column)
         n, k = len(column), len(self.langs)
-        hits, total = np.zeros((n, k)), np.zeros(n)
+        hits, total = np.zeros((len(self.params.levels), n, k)), np.zeros(n)
         for size in self.params.n:
             grams, at = ngrams(chars, size)
             if not len(grams):
                 continue
             masks, own = self.masks(grams), doc[at]
             total += np.bincount(own, minlength=n)[:n]
-            for i in range(k):
-                bit = (masks[:, i // 64] >> U(i % 64)) & U(1)
-                hits[:, i] += np.bincount(own, weights=bit, minlength=n)[:n]
-        right = np.clip((hits - self.false_rate * total[:, None]) / (1 - self.false_rate), 0, None)
-        best = right.argmax(axis=1) if k else np.zeros(n, int)
-        score = np.where(right.sum(axis=1) > 0, right.max(axis=1, initial=0) / np.maximum(right.sum(axis=1), 1e-9), 0.0) if k else np.zeros(n)
-        return [self.langs[b] if k and c else UND for b, c in zip(best, counts, strict=True)], np.where(counts > 0, np.clip(score, 0, 1), 0.0)
+            for level in range(len(hits)):
+                for i in range(k):
+                    hits[level, :, i] += np.bincount(own[self.bit(masks, level, i) > 0], minlength=n)[:n]
+        false = self.false_rate[:, None, :]
+        right = np.clip((hits - false * total[:, None]) / np.maximum(1 - false, 1e-9), 0, None)
+        whole = right.sum(axis=0)
+        best = whole.argmax(axis=1) if k else np.zeros(n, int)
+        most = whole.max(axis=1, initial=0)
+        named = (counts > 0) & bool(k)
+        score = np.where(named & (most > 0), most / np.maximum(whole.sum(axis=1), 1e-9), 0.0)
+        cover = np.where(named, right[0, np.arange(n), best] / np.maximum(total, 1), 0.0) if k else np.zeros(n)
+        return [self.langs[b] if x else UND for b, x in zip(best, named, strict=True)], np.clip(score, 0, 1), np.clip(cover, 0, 1)
 
 
 def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
     """Learns from (text, lang, doc_id) rows; rows without text or lang are passed over.
 
-    At most about ``sample_docs`` documents of each language are read for it, chosen by a hash of their id, so the
-    counts that reach the driver are bounded whatever the size of the input.
+    At most about ``sample_docs`` documents of each language are read for it, whole, chosen by a hash of id and text.
+    The filter is put together on the executors; the driver gets it alone, slots x languages in bits, and a count for
+    each language, never the n-grams. No n-gram is left out, be it rare or shared by all languages.
     """
-    known = docs.filter("text is not null and lang is not null")
-    rows = known.groupBy("lang").count().collect()
-    langs = sorted(r["lang"] for r in rows)
-    if not langs:
-        return LangModel(params, [], np.zeros((params.slots, 1), np.uint64), np.zeros(0))
-    chance = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, params.sample_docs / r["count"]))) for r in rows])
-    dealt = (F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    counted = known.filter(dealt < chance).select("text", "lang").mapInArrow(count_ngrams(params), "lang string, n int, gram long, seen long")
-    table = counted.groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= params.least_count).toPandas()
+    known = docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs, levels = sorted(sizes), len(params.levels)
     words = -(-len(langs) // 64)
-    bits, sizes = np.zeros((params.slots, words), np.uint64), np.zeros(len(langs))
-    table["rate"] = table.seen / table.groupby(["lang", "n"]).seen.transform("sum")
-    table["top"] = table.groupby(["n", "gram"]).rate.transform("max")
-    held = table[table.rate >= params.share * table.top].sort_values(["seen", "gram"], ascending=[False, True]).groupby("lang").head(params.most_ngrams)
-    for i, lang in enumerate(langs):
-        grams = held.gram[held.lang == lang].to_numpy().astype(np.uint64)
-        sizes[i] = len(grams)
-        for p in range(params.probes):
-            slot = (mix(grams + U((p * 0x632BE59BD9B4E019) % 2**64)) % U(params.slots)).astype(np.int64)
-            np.bitwise_or.at(bits[:, i // 64], slot, U(1) << U(i % 64))
-    filled = np.array([np.count_nonzero((bits[:, i // 64] >> U(i % 64)) & U(1)) for i in range(len(langs))]) / params.slots
-    return LangModel(params, langs, bits, filled**params.probes)
+    if not langs:
+        return LangModel(params, [], np.zeros((params.slots, levels), np.uint64), np.zeros((levels, 0)))
+    chance = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, params.sample_docs / n))])
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    each = known.filter(dealt < chance[F.col("lang")]).select("text", "lang").mapInArrow(count_ngrams(langs, params), "lang int, gram long, seen long")
+    counted = cut(each.groupBy("lang", "gram").agg(F.sum("seen").alias("seen")))
+    totals = np.ones(len(langs))
+    for r in counted.groupBy("lang").agg(F.sum("seen").alias("n")).collect():
+        totals[r["lang"]] = r["n"]
+    table = counted.mapInArrow(fill(totals, params), "slot int, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    bits = np.zeros((params.slots, levels * words), np.uint64)
+    bits[table.slot.to_numpy(), table.word.to_numpy()] = table["mask"].to_numpy(np.int64).view(np.uint64)
+    filled = [[np.count_nonzero((bits[:, level * words + i // 64] >> U(i % 64)) & U(1)) / params.slots for i in range(len(langs))] for level in range(levels)]
+    return LangModel(params, langs, bits, np.array(filled) ** params.probes)
 
 
 def identify(docs: DataFrame, model: LangModel) -> DataFrame:
-    """doc_id, lang_pred, score for each row of ``docs``.
+    """doc_id, lang_pred, score, cover for each row of ``docs``.
 
     Null texts and texts without a letter get 'und' and score 0, so do all if there was nothing to learn from. Ties go
     to the language that sorts first. Repeated rows are scored alike; other columns of ``docs`` are not read. Long
-    texts are read whole.
+    texts are read whole; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots x languages: a fixed size
 
@@ -185,25 +221,32 @@ def identify(docs: DataFrame, model: LangModel) -> DataFrame:
             texts = part.column("text")
             _, offsets = text_bytes(texts)
             for i, j in batches(offsets, 1 << 19):
-                lang, score = m.predict(texts.slice(i, j - i))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").slice(i, j - i), "lang_pred": lang, "score": score})
+                lang, score, cover = m.predict(texts.slice(i, j - i))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").slice(i, j - i), "lang_pred": lang, "score": score, "cover": cover})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, cover double")
 
 
 def keep_identified(docs: DataFrame, model: LangModel) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language; 'und' goes."""
+    """The rows of ``docs``, all columns as they are, whose text is in a learnt language.
+
+    Rejected are texts of 'und' (null, empty, without a letter, or nothing learnt), and those whose predicted language has
+    less than ``least_cover`` of their n-grams, as it has of other languages, codes and noise. Repeated rows are judged
+    alike, long texts whole, columns other than text pass unread, whatever their names; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    least, at = model.params.least_cover, docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column("text")
+            texts = part.column(at)
             _, offsets = text_bytes(texts)
             for i, j in batches(offsets, 1 << 19):
-                lang, _ = shared.value.predict(texts.slice(i, j - i))
-                yield part.slice(i, j - i).filter(pa.array([x != UND for x in lang], pa.bool_()))
+                lang, _, cover = shared.value.predict(texts.slice(i, j - i))
+                yield part.slice(i, j - i).filter(pa.array([x != UND and c >= least for x, c in zip(lang, cover, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(doc_id="doc_id", parts: int = 4, out: int = 2):
@@ -214,4 +257,4 @@ def held_out(doc_id="doc_id", parts: int = 4, out: int = 2):
 def op8(docs: DataFrame, params: LangParams = LangParams()) -> DataFrame:
     """Predicts all documents with a model of those that are not held out."""
     model = train(docs.filter(~F.coalesce(held_out(), F.lit(False))), params)
-    return identify(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "cover")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import U, batches, blocks_for, cut, mix, pack, text_bytes, unpack, with_chunk, words_of
+from claimgraph.llm.common import U, batches, blocks_for, cut, input_bytes, mix, pack, text_bytes, unpack, with_chunk, words_of
 from claimgraph.llm.components import components
 
 #: Odd multipliers of the words of a shingle, by place.
@@ -38,9 +38,11 @@ class JoinParams:
     #: 100 * intersection >= percent * union
     percent: int = 80
     #: Input bytes in a block of documents.
-    block_bytes: int = 6 << 20
+    block_bytes: int = 10 << 20
     #: Rounds in which each n-gram's documents are tried against one of them, before the rest.
     stars: int = 2
+    #: Sets of a column of the product that one task multiplies with the column; columns of more are split.
+    column_rows: int = 1_024
 
 
 def shingles(column: pa.ChunkedArray, p: JoinParams) -> Iterator[np.ndarray]:
@@ -132,7 +134,7 @@ def _rows(p: JoinParams):
 
 def incidence(docs: DataFrame, p: JoinParams) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (a digest of the set) for all documents; grams for those that may have a partner, of one of each set in a block at least."""
-    blocks = blocks_for(docs, p.block_bytes)
+    blocks = blocks_for(input_bytes(docs), p.block_bytes)
     dealt = with_chunk(docs, blocks)
     cells = dealt.groupBy("chunk").applyInArrow(_columns(2 * blocks, p), "block int, chunk int, cell binary")
     sums = cells.groupBy("block").applyInArrow(_sums, "chunk int, block int, often binary, n int")
@@ -233,6 +235,32 @@ def labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
+def product(entries: DataFrame, p: JoinParams) -> DataFrame:
+    """a, b: the cells of the product over the prefix columns that may still be links.
+
+    ``entries``: key, id, n, at, label, most, m: a column's sets, the label that most of them have, and their number. A
+    column is multiplied in parts of p.column_rows sets. Overlaps are accumulated over all columns; a cell is dropped when
+    its sizes differ too much, when too few n-grams stand from its first common one on, and, once accumulated, when what
+    both have behind their last common one doesn't make up for what is missing. Sets of one label aren't multiplied.
+    """
+    parts = F.ceil(F.col("m") / p.column_rows).cast("int")
+    side = F.struct("id", "n", "at", "label", (F.col("label") != F.col("most")).alias("minor"))
+    rest = entries.filter("label <> most").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), side.alias("x"))
+    every = entries.select("key", side.alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    nx, ny, ix, iy = F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")
+    least = lambda a, b: F.floor(((a + b) * p.percent + 99 + p.percent) / float(100 + p.percent))
+    # The first n-gram that linked sets share has, in both, as many n-grams from it on as they must share; and what
+    # stands before it in either bounds the overlap too.
+    bound = F.least(ix, iy) + F.least(nx - ix, ny - iy) >= least(nx, ny)
+    met = rest.join(every, ["key", "part"]).filter((F.col("x.label") != F.col("y.label")) & (~F.col("y.minor") | (F.col("x.id") < F.col("y.id"))) & sizes_allow(nx, ny, p) & bound)
+    swap = F.col("x.id") > F.col("y.id")
+    of = lambda f, first: F.when(swap == F.lit(not first), F.col(f"x.{f}")).otherwise(F.col(f"y.{f}"))
+    cells = met.select(*[of(f, first).alias(f"{f}_{'a' if first else 'b'}") for f in ("id", "n", "at") for first in (True, False)])
+    sums = cells.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("overlap"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"), F.max("at_a").alias("ia"), F.max("at_b").alias("ib"))
+    most = F.col("overlap") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    return sums.filter(most >= least(F.col("na"), F.col("nb"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def links(sets: DataFrame, p: JoinParams) -> DataFrame | None:
     """id, label: components among sets (id, n, grams); None if there are no links."""
     entries = cut(prefixes(sets, p))
@@ -240,21 +268,14 @@ def links(sets: DataFrame, p: JoinParams) -> DataFrame | None:
     for k in range(p.stars + 1):
         now = labelled(entries, labels)
         top = F.struct(F.xxhash64("id", F.lit(k)).alias("h") if k else F.col("id").alias("h"), "id", "n", "label")
-        groups = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(top).alias("hub"), F.mode("label", True).alias("most")).filter("lo != hi")
+        groups = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(top).alias("hub"), F.mode("label", True).alias("most"), F.count(F.lit(1)).alias("m")).filter("lo != hi")
         mixed = now.join(groups, "key")
         if k < p.stars:
             # Whom most of a document's prefix names is tried first. What this leaves, the last round finds.
             named = mixed.filter((F.col("label") != F.col("hub.label")) & sizes_allow(F.col("n"), F.col("hub.n"), p)).groupBy(F.col("hub.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("kept").alias("kept"))
             pairs = named.filter("met * 2 >= kept")
         else:
-            side = lambda x: F.struct("id", "n", "at", "label", (F.col("label") != F.col("most")).alias("minor")).alias(x)
-            rest, every = mixed.filter(F.col("label") != F.col("most")).select("key", side("x")), mixed.select("key", side("y"))
-            nx, ny, ix, iy = F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")
-            least = F.floor(((nx + ny) * p.percent + 99 + p.percent) / float(100 + p.percent))
-            # The first n-gram that linked sets share has, in both, as many n-grams from it on as they must share; and
-            # what stands before it in either bounds the overlap too.
-            bound = (nx - ix >= least) & (ny - iy >= least) & (F.least(ix, iy) + F.least(nx - ix, ny - iy) >= least)
-            pairs = rest.join(every, "key").filter((F.col("x.label") != F.col("y.label")) & (~F.col("y.minor") | (F.col("x.id") < F.col("y.id"))) & bound).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            pairs = product(mixed, p)
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if pairs.isEmpty():
             continue

@@ -9,13 +9,12 @@ labels, and adds the candidates that it accepts.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.decontam import let
+from claimgraph.llm.common import let, whole
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -34,9 +33,15 @@ SPELT_EMAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-
 ID_NUMBER = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PLAIN_CARD = r"(?<![0-9-])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9-])"
 
-#: Words before a span that speak for its kind, and signs of other uses of numbers.
-GAZETTEER = {"email": r"e-?mail|mail|contact|write|correo|courriel|schreib", "ip": r"\bip\b|host|server|address|login", "card": r"card|visa|credit|carte|karte|tarjeta|payment|iban", "phone": r"phone|tel|call|mobile|fax|contact|sms|whatsapp|anruf|appel", "id": r"ssn|social|passport|identity|ausweis|dni|insee|tax"}
-AGAINST = r"(?:[#=/:_]|\bno\.|\bid|version|token|key|isbn|issn|order|invoice|page|sha|hash)\s*$"
+#: Words before a span that name its kind, in the corpus's languages; and signs of other uses of numbers.
+GAZETTEER = {
+    "email": r"e-?mail|mail|contact|write|reply|correo|escribe|courriel|[e\u00e9]cri|schreib|kontakt",
+    "ip": r"\bip\b|host|server|address|login|dns|router|servidor|serveur|adresse|direcci[o\u00f3]n",
+    "card": r"card|visa|mastercard|amex|credit|carte|karte|tarjeta|payment|iban|pago|paiement|zahlung",
+    "phone": r"phone|\btel\b|call|mobile|cell|fax|contact|sms|whatsapp|anruf|ruf|appel|t[e\u00e9]l[e\u00e9]|m[o\u00f3]vil|llam",
+    "id": r"ssn|social|passport|identity|ausweis|dni|nif|insee|tax|steuer|pasaporte|passeport",
+}
+AGAINST = r"(?:[#=/:_]|\bno\.|\bid|version|token|key|isbn|issn|order|invoice|page|sha|hash|part|serial|model)\s*$"
 
 
 def text_of(text: Column) -> Column:
@@ -117,94 +122,140 @@ def apart(spans: Column, others: Column) -> Column:
     return F.filter(spans, lambda x: ~F.exists(others, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
 
 
-LABELERS = ("check", "format", "gazetteer", "against", "company")
+LABELERS = ("check", "format", "gazetteer", "other", "company")
 
 
 def described(text: Column, spans: Column, base: Column, is_base: bool) -> Column:
-    """array<struct<kind, s, e, pattern>>; pattern: kind, votes of LABELERS (+, -, 0), digits and separators."""
+    """array<struct<kind, s, e, pattern>>; pattern: kind, votes of LABELERS (+ for, - against, 0 none), digits and separators.
+
+    check: the digits' own check holds or fails. format: one separator throughout, or several. gazetteer: a word before
+    the span names its kind, or only another one. other: what stands right before it speaks of another use. company: a
+    base span is near.
+    """
 
     def one(x: Column) -> Column:
         before = F.lower(F.substring(text_of(text), F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40))))
         n = F.length(digits(x["m"]))
-        check = F.lit("+") if is_base else F.when((x["kind"] == "card") & let(digits(x["m"]), luhn), "+").when(x["kind"] == "card", "-").otherwise("0")
+        check = F.lit("+") if is_base else F.when(x["kind"] == "card", F.when(let(digits(x["m"]), luhn), "+").otherwise("-")).otherwise("0")
         form = F.when(x["m"].rlike(r"^[0-9]+$"), "0").when(F.size(F.array_distinct(F.split(F.regexp_replace(x["m"], r"[A-Za-z0-9()+@\[\]]", ""), ""))) <= 2, "+").otherwise("-")
-        words = F.coalesce(*[F.when((x["kind"] == k) & before.rlike(f"(?:{v})[^.!?\n]*$"), "+") for k, v in GAZETTEER.items()], F.lit("0"))
-        against = F.when(before.rlike(AGAINST), "-").otherwise("0")
+        said = lambda v: before.rlike(f"(?:{v})[^.!?\n]*$")
+        own = F.coalesce(*[F.when((x["kind"] == k) & said(v), "+") for k, v in GAZETTEER.items()])
+        words = F.coalesce(own, F.when(said("|".join(GAZETTEER.values())), "-"), F.lit("0"))
+        other = F.when(before.rlike(AGAINST), "-").otherwise("0")
         company = F.when(F.exists(base, lambda y: (y["s"] != x["s"]) & (F.abs(y["s"] - x["s"]) < 200)), "+").otherwise("0")
         shape = F.concat(F.least(n / 4, F.lit(5)).cast("int").cast("string"), F.when(x["m"].rlike(" "), "s").otherwise("_"), F.when(x["m"].rlike("-"), "d").otherwise("_"))
-        return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.concat(x["kind"], F.lit("|"), check, form, words, against, company, F.lit("|"), shape).alias("pattern"))
+        return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.concat(x["kind"], F.lit("|"), check, form, words, other, company, F.lit("|"), shape).alias("pattern"))
 
     return F.transform(spans, one)
 
 
+def features(pattern: str) -> list[str]:
+    """What the classifier sees of a pattern: its kind, its shape and each vote."""
+    kind, votes, shape = pattern.split("|")
+    return [f"kind {kind}", f"shape {shape}", *[f"{name} {vote}" for name, vote in zip(LABELERS, votes, strict=True)]]
+
+
 @dataclass(frozen=True)
 class SpanModel:
-    #: By labeler and vote, its chance for private and for other spans.
+    #: (labeler, vote, class): the chance of the vote for private (1) and for other (0) spans.
     reliabilities: dict
-    #: The patterns that the classifier accepts.
-    accepted: tuple[str, ...]
+    #: The share of private spans.
+    prior: float
+    #: The classifier: a weight for each feature, and the rest. Features that no span showed have none.
+    weights: dict
+    bias: float
+
+    def odds(self, pattern: str) -> float:
+        return self.bias + sum(self.weights.get(f, 0.0) for f in features(pattern))
 
 
-def fit(counts: dict[str, int], rounds: int = 25) -> SpanModel:
-    """EM over the counts of patterns (a bounded table: kinds, votes and shapes), then the span classifier."""
+def reliabilities(rows: list[tuple[str, int]], rounds: int = 50) -> tuple[dict, float, list[float]]:
+    """Expectation-maximisation over (votes, count): the labelers' chances, the prior, and how likely each row is private.
+
+    It starts from the labelers' plain majority; from then on only their estimated chances decide.
+    """
+    soft = [0.5 + 0.4 * (v.count("+") - v.count("-")) / max(1, len(v) - v.count("0")) for v, _ in rows]
+    chance: dict = {}
+    prior = 0.5
+    for _ in range(rounds):
+        chance = {}
+        mass = [sum(n * (1 - q) for (_, n), q in zip(rows, soft, strict=True)), sum(n * q for (_, n), q in zip(rows, soft, strict=True))]
+        for i, name in enumerate(LABELERS):
+            for vote in "+-0":
+                held = [(n, q) for (v, n), q in zip(rows, soft, strict=True) if v[i] == vote]
+                for y, own in ((0, sum(n * (1 - q) for n, q in held)), (1, sum(n * q for n, q in held))):
+                    chance[name, vote, y] = (own + 1) / (mass[y] + 3)
+        prior = (mass[1] + 1) / (mass[0] + mass[1] + 2)
+        odds = lambda v: math.log(prior / (1 - prior)) + sum(math.log(chance[name, v[i], 1] / chance[name, v[i], 0]) for i, name in enumerate(LABELERS))  # noqa: B023, E731
+        soft = [1 / (1 + math.exp(-max(-30.0, min(30.0, odds(v))))) for v, _ in rows]
+    return chance, prior, soft
+
+
+def fit(counts: dict[str, int], rounds: int = 300) -> SpanModel:
+    """EM over the counts of patterns (a bounded table: kinds, votes and shapes), then a logistic classifier on its soft labels."""
     if not counts:
-        return SpanModel({}, ())
-    rows = [(p.split("|")[1], p, n) for p, n in sorted(counts.items())]
-    # The start: what passes a check is likely private, what is voted against is not.
-    soft = [0.9 if v[0] == "+" else 0.2 if "-" in v else 0.5 for v, _, _ in rows]
-    table: dict = {}
+        return SpanModel({}, 0.5, {}, -1.0)
+    rows = sorted(counts.items())
+    chance, prior, soft = reliabilities([(p.split("|")[1], n) for p, n in rows])
+    seen = [features(p) for p, _ in rows]
+    # Counts by their square root, so that one frequent pattern doesn't outweigh all others.
+    mass = [math.sqrt(n) for _, n in rows]
+    weights = dict.fromkeys(sorted({f for own in seen for f in own}), 0.0)
+    bias, rate, whole = 0.0, 0.5, sum(mass)
     for _ in range(rounds):
-        table = {}
-        for y in (0, 1):
-            mass = sum(n * (q if y else 1 - q) for (_, _, n), q in zip(rows, soft, strict=True))
-            for i, name in enumerate(LABELERS):
-                for vote in "+-0":
-                    own = sum(n * (q if y else 1 - q) for (v, _, n), q in zip(rows, soft, strict=True) if v[i] == vote)
-                    table[name, vote, y] = (own + 1) / (mass + 3)
-            table["prior", y] = mass + 1
-        soft = []
-        for v, _, _ in rows:
-            odds = math.log(table["prior", 1] / table["prior", 0]) + sum(math.log(table[name, v[i], 1] / table[name, v[i], 0]) for i, name in enumerate(LABELERS))
-            # labelers that can vote one way only keep that way
-            odds += 2.0 * (v[0] == "+") - 2.0 * ("-" in v)
-            soft.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
-    # The classifier sees kind, shape and votes, and is fitted to the soft labels.
-    seen: dict = defaultdict(float)
-    mass = [1.0, 1.0]
-    features = lambda p: [f"{i}{x}" for i, x in enumerate([p.split("|")[0], p.split("|")[2], *p.split("|")[1]])]
-    for (_, p, n), q in zip(rows, soft, strict=True):
-        for y, w in ((0, 1 - q), (1, q)):
-            mass[y] += n * w
-            for f in features(p):
-                seen[f, y] += n * w
-    score = lambda p: math.log(mass[1] / mass[0]) + sum(math.log((seen[f, 1] + 0.5) / (mass[1] + 1)) - math.log((seen[f, 0] + 0.5) / (mass[0] + 1)) for f in features(p))
-    return SpanModel(table, tuple(p for _, p, _ in rows if score(p) > 0))
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with __base, the base spans, and __loose, the looser candidates that overlap none of them."""
-    spans = docs.withColumn("__base", base_spans(F.col("text")))
-    return spans.withColumn("__loose", apart(loose_spans(F.col("text")), F.col("__base")))
+        pull, up = dict.fromkeys(weights, 0.0), 0.0
+        for own, q, n in zip(seen, soft, mass, strict=True):
+            z = bias + sum(weights[f] for f in own)
+            d = n * (q - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) / whole
+            up += d
+            for f in own:
+                pull[f] += d
+        bias += rate * up
+        for f in weights:
+            weights[f] += rate * (pull[f] - 0.001 * weights[f])
+    return SpanModel(chance, prior, weights, bias)
+
+
+SPANS = "array<struct<kind:string,s:int,e:int>>"
+
+
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns), text, base (the base spans) and loose (the looser candidates that overlap none of them)."""
+    spans = docs.select(whole(docs).alias("row"), "text").withColumn("base", base_spans(F.col("text")))
+    return spans.withColumn("loose", apart(loose_spans(F.col("text")), F.col("base")))
 
 
 def train(docs: DataFrame) -> SpanModel:
-    """Votes over all documents; what reaches the driver is one row for each distinct pattern of votes."""
-    few = docs.select("text").filter(F.col("text").rlike(r"[0-9]{2}|@|[(\[]at[)\]]"))
-    both = F.concat(described(F.col("text"), F.col("__base"), F.col("__base"), True), described(F.col("text"), F.col("__loose"), F.col("__base"), False))
-    rows = candidates(few).select(F.explode(both["pattern"]).alias("pattern"))
+    """Votes over the candidates of all documents; what reaches the driver is one row for each distinct pattern of votes.
+
+    Texts that can't hold a candidate are passed over: each has two digits next to each other or with one character
+    between, a plus before a digit, an '@' or a spelt-out one.
+    """
+    few = docs.select("text").filter(F.col("text").rlike(r"[0-9][ .()-]?[0-9]|\+[0-9]|@|[(\[]at[)\]]"))
+    both = F.concat(described(F.col("text"), F.col("base"), F.col("base"), True), described(F.col("text"), F.col("loose"), F.col("base"), False))
+    rows = with_candidates(few).select(F.explode(both["pattern"]).alias("pattern"))
     return fit({r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()})
 
 
+def accepted(model: SpanModel, pattern: Column) -> Column:
+    """True if the classifier's score of the pattern is above 0."""
+    kind, votes, shape = F.split_part(pattern, F.lit("|"), F.lit(1)), F.split_part(pattern, F.lit("|"), F.lit(2)), F.split_part(pattern, F.lit("|"), F.lit(3))
+    told = [F.concat(F.lit("kind "), kind), F.concat(F.lit("shape "), shape), *[F.concat(F.lit(f"{name} "), F.substring(votes, i + 1, 1)) for i, name in enumerate(LABELERS)]]
+    weights = F.create_map(*[F.lit(x) for pair in model.weights.items() for x in pair])
+    return sum([F.coalesce(F.try_element_at(weights, f), F.lit(0.0)) for f in told], F.lit(float(model.bias))) > 0
+
+
 def detect(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """``docs`` with __base and __added: array<struct<kind, s, e>> each.
+    """row (a struct of all columns of ``docs``), text, base and added: array<struct<kind, s, e>> each.
 
     Null and empty texts have no spans. Whole texts are searched, whatever their length; repeated rows are treated
-    alike, and columns other than text are passed on unread. Added spans never overlap base spans.
+    alike, and columns other than text are passed on unread, whatever their names. Added spans never overlap base spans.
+    An empty table gives an empty one.
     """
     plain = lambda spans: F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    no = F.array().cast("array<struct<kind:string,s:int,e:int,pattern:string>>")
-    more = F.when(F.size("__loose") > 0, F.filter(described(F.col("text"), F.col("__loose"), F.col("__base"), False), lambda x: x["pattern"].isin(list(model.accepted)))).otherwise(no) if model.accepted else no
-    return candidates(docs).withColumn("__added", plain(more)).withColumn("__base", plain("__base")).drop("__loose")
+    told = F.filter(described(F.col("text"), F.col("loose"), F.col("base"), False), lambda x: accepted(model, x["pattern"]))
+    more = F.when(F.size("loose") > 0, plain(told)).otherwise(F.array().cast(SPANS)) if model.weights else F.array().cast(SPANS)
+    return with_candidates(docs).select("row", "text", plain(F.col("base")).alias("base"), more.alias("added"))
 
 
 def spelled(spans: Column) -> Column:
@@ -233,12 +284,20 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def op1(docs: DataFrame) -> DataFrame:
+    """The columns of the contract, and n_added. Null texts are empty ones; repeated rows are answered each."""
     done = detect(docs.select("doc_id", "text"), train(docs))
-    n = lambda k: F.size(F.filter("__base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return done.select("doc_id", *[n(k) for k in KINDS], F.sha2(spelled(F.col("__base")), 256).alias("base_sha256"), spelled(in_order(F.concat("__base", "__added"))).alias("spans"), F.size("__added").cast("long").alias("n_added"))
+    n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return done.select("row.doc_id", *[n(k) for k in KINDS], F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(in_order(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def redacted(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """``docs`` with each span in text replaced by its kind; n_chars, where there is one, follows."""
-    done = detect(docs, model).withColumn("text", redact(F.col("text"), F.concat("__base", "__added"))).drop("__base", "__added")
-    return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else done.select(docs.columns)
+    """``docs`` with each span in text replaced by its kind in brackets, [EMAIL]; n_chars, where there is one, follows.
+
+    Rows, their order of columns and all other values stay; null and empty texts, and texts without spans, stay as they
+    are. Repeated rows are treated alike, whatever other columns are named; an empty table gives an empty one.
+    """
+    done = detect(docs, model).select("row", redact(F.col("text"), F.concat("base", "added")).alias("clean"))
+    row = F.col("row").withField("text", F.col("clean"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("clean").isNull(), F.col("row.n_chars")).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType))
+    return done.select(row.alias("row")).select("row.*")

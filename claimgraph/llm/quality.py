@@ -19,14 +19,13 @@ from claimgraph.llm.common import batches, text_bytes
 
 @dataclass(frozen=True)
 class NetParams:
-    #: Bound of the labelled documents learnt from, and of the chunks of each.
-    sample_docs: int = 2_500
-    sample_chunks: int = 6
+    #: Bound of the labelled documents learnt from, each with its whole text.
+    sample_docs: int = 1_000
     chunk: int = 256
     width: int = 5
     filters: int = 12
     dims: int = 6
-    epochs: int = 10
+    epochs: int = 8
     rate: float = 0.01
     seed: int = 7
     threshold: float = 0.3
@@ -44,26 +43,12 @@ class Net:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         p = self.params
-        data, offsets = text_bytes(column)
-        size = np.diff(offsets)
-        done = np.full(len(size), 1 / (1 + np.exp(-self.out_bias)))
-        if not len(data):
+        padded, chunks = chunked(column, p)
+        done = np.full(len(chunks), 1 / (1 + np.exp(-self.out_bias)))
+        if not chunks.sum():
             return done
-        # Each text is followed by width - 1 zeros or more, up to the next step, so no window sees two texts. Chunks of one text overlap by width - 1 bytes.
-        step = p.chunk - p.width + 1
-        chunks = np.where(size > 0, -(-(size + p.width - 1) // step), 0)
-        to = np.concatenate([[0], np.cumsum(chunks * step)])
-        padded = np.zeros(to[-1] + p.width - 1, np.uint8)
-        padded[np.arange(len(data)) + np.repeat(to[:-1] - offsets[:-1], size)] = data
-        pooled = np.empty((int(chunks.sum()), p.filters), np.float32)
-        for i in range(0, len(pooled), 128):
-            part = padded[i * step : min(i + 128, len(pooled)) * step + p.width - 1]
-            n = len(part) - p.width + 1
-            act = self.table[0][part[:n]]
-            for j in range(1, p.width):
-                act += self.table[j][part[j : j + n]]
-            pooled[i : i + 128] = act.reshape(-1, step, p.filters).max(axis=1)
-        pooled = np.maximum(pooled + self.bias, 0)
+        top, _ = best_windows(padded, self.table, p)
+        pooled = np.maximum(top + self.bias, 0)
         first = np.concatenate([[0], np.cumsum(chunks)])[:-1]
         some = chunks > 0
         mean = np.add.reduceat(pooled, first[some], axis=0) / chunks[some][:, None]
@@ -72,27 +57,62 @@ class Net:
         return done
 
 
-def fit(chunks: list[np.ndarray], labels: np.ndarray, p: NetParams) -> Net:
-    """Adam on the log loss; ``chunks`` has an array (chunks x p.chunk bytes) for each document."""
-    rng = np.random.default_rng(p.seed)
+def chunked(column: pa.Array, p: NetParams) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after the other, and how many chunks each has.
+
+    Each text is followed by p.width - 1 zeros or more, up to the next step, so no window sees two texts. Chunks of one
+    text overlap by p.width - 1 bytes and cover the whole of it.
+    """
+    data, offsets = text_bytes(column)
+    size = np.diff(offsets)
     step = p.chunk - p.width + 1
+    chunks = np.where(size > 0, -(-(size + p.width - 1) // step), 0)
+    to = np.concatenate([[0], np.cumsum(chunks * step)])
+    padded = np.zeros(to[-1] + p.width - 1, np.uint8)
+    padded[np.arange(len(data)) + np.repeat(to[:-1] - offsets[:-1], size)] = data
+    return padded, chunks
+
+
+def best_windows(padded: np.ndarray, table: np.ndarray, p: NetParams, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """chunks x filters: each filter's largest response in each chunk, and at which byte of ``padded``, if asked for."""
+    step = p.chunk - p.width + 1
+    many = (len(padded) - p.width + 1) // step
+    top = np.empty((many, p.filters), np.float32)
+    at = np.empty((many, p.filters), np.int64) if places else None
+    for i in range(0, many, 128):
+        part = padded[i * step : min(i + 128, many) * step + p.width - 1]
+        n = len(part) - p.width + 1
+        act = table[0][part[:n]]
+        for j in range(1, p.width):
+            act += table[j][part[j : j + n]]
+        act = act.reshape(-1, step, p.filters)
+        if places:
+            best = act.argmax(axis=1)
+            top[i : i + 128] = np.take_along_axis(act, best[:, None, :], 1)[:, 0]
+            at[i : i + 128] = best + (np.arange(len(best)) + i)[:, None] * step
+        else:
+            top[i : i + 128] = act.max(axis=1)
+    return top, at
+
+
+def fit(texts: pa.Array, labels: np.ndarray, p: NetParams) -> Net:
+    """Adam on the log loss over whole texts."""
+    rng = np.random.default_rng(p.seed)
     w = {"embed": rng.normal(0, 0.5, (256, p.dims)), "filter": rng.normal(0, (p.width * p.dims) ** -0.5, (p.width * p.dims, p.filters)), "bias": np.zeros(p.filters), "out": rng.normal(0, 0.3, (2, p.filters)), "out_bias": np.zeros(1)}
     w = {k: v.astype(np.float32) for k, v in w.items()}
     m, v, t = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
-    for _ in range(p.epochs if len(chunks) else 0):
-        order = rng.permutation(len(chunks))
+    for _ in range(p.epochs if len(texts) else 0):
+        order = rng.permutation(len(texts))
         for i in range(0, len(order), 32):
             own = order[i : i + 32]
-            x = np.concatenate([chunks[k] for k in own])
-            n = np.array([len(chunks[k]) for k in own])
+            padded, n = chunked(texts.take(pa.array(own)), p)
+            own, n = own[n > 0], n[n > 0]
+            if not len(own):
+                continue
             first = np.concatenate([[0], np.cumsum(n)])[:-1]
-            e = w["embed"][x]  # chunks x bytes x dims
             table = np.einsum("bd,jdf->jbf", w["embed"], w["filter"].reshape(p.width, p.dims, p.filters))
-            act = table[0][x[:, :step]]
-            for j in range(1, p.width):
-                act += table[j][x[:, j : j + step]]
-            best = act.argmax(axis=1)  # chunks x filters
-            top = np.take_along_axis(act, best[:, None, :], 1)[:, 0] + w["bias"]
+            top, at = best_windows(padded, table, p, True)
+            top = top + w["bias"]
             pooled = np.maximum(top, 0)
             mean, high = np.add.reduceat(pooled, first) / n[:, None], np.maximum.reduceat(pooled, first)
             z = mean @ w["out"][0] + high @ w["out"][1] + w["out_bias"]
@@ -102,13 +122,14 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray, p: NetParams) -> Net:
             dp = d[of][:, None] * (w["out"][0] / n[of][:, None] + w["out"][1] * (pooled == high[of]))
             dp *= top > 0
             g["bias"] = dp.sum(0)
-            rows = np.arange(len(x))[:, None]
             g["filter"], g["embed"] = np.zeros_like(w["filter"]), np.zeros_like(w["embed"])
             for j in range(p.width):
-                byte = x[rows, best + j]  # chunks x filters
-                at = slice(j * p.dims, (j + 1) * p.dims)
-                g["filter"][at] = np.einsum("cfd,cf->df", e[rows, best + j], dp)
-                np.add.at(g["embed"], byte, dp[:, :, None] * w["filter"][at].T[None])
+                byte = padded[at + j]  # chunks x filters
+                own_part = slice(j * p.dims, (j + 1) * p.dims)
+                g["filter"][own_part] = np.einsum("cfd,cf->df", w["embed"][byte], dp)
+                # How much each byte value is asked to change, by filter, then by dimension.
+                pull = np.bincount((byte.astype(np.int64) * p.filters + np.arange(p.filters)).ravel(), weights=dp.ravel(), minlength=256 * p.filters).reshape(256, p.filters)
+                g["embed"] += pull @ w["filter"][own_part].T
             t += 1
             for k in w:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -124,29 +145,15 @@ def held_out(parts: int = 5):
 
 
 def train(docs: DataFrame, labels: DataFrame, p: NetParams = NetParams()) -> Net:
-    """Learns labels.quality of at most about p.sample_docs documents, chosen by a hash of their id; of each, p.sample_chunks chunks spread over the whole text."""
-    known = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
-    n = known.count()
-    chance = min(1.0, p.sample_docs / max(n, 1))
-    # A binomial draw; the limit is 1.5 times the sample, and holds the bound of what is broadcast.
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 30)) < int(chance * (1 << 30))).limit(p.sample_docs * 3 // 2)
-
-    def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            data, offsets = text_bytes(part.column("text"))
-            out = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                k = max(1, min(p.sample_chunks, -(-int(b - a) // p.chunk)))
-                own = np.zeros((k, p.chunk), np.uint8)
-                for i, at in enumerate(np.linspace(a, max(a, b - p.chunk), k).astype(int)):
-                    piece = data[at : min(b, at + p.chunk)]
-                    own[i, : len(piece)] = piece
-                out.append(own.tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "quality": part.column("quality"), "piece": pa.array(out, pa.binary())})
-
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(pieces, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, piece binary").toPandas().sort_values("doc_id", kind="stable")
-    chunks = [np.frombuffer(b, np.uint8).reshape(-1, p.chunk) for b in rows.piece]
-    return fit(chunks, rows.quality.to_numpy(np.float32), p)
+    """Learns labels.quality of at most p.sample_docs documents, the first by a hash of their id, from their whole texts.
+
+    Of several labels of a doc_id the largest counts. Labels without a value or a doc_id, of held-out documents, and of
+    documents without text, teach nothing; without any, all texts get one score.
+    """
+    known = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit("quality sample")), "doc_id").limit(p.sample_docs)
+    rows = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    return fit(pa.array(rows.text, pa.string()), rows.quality.to_numpy(np.float32), p)
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:

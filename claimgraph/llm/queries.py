@@ -26,6 +26,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_topk_search": knn.ORACLE,
+    "op4_lm_scores": lm.ORACLE,
     "op6_ngram_join": ngram_join.ORACLE,
     "op7_mixing": mixing.oracle(),
     "op10_decontam": decontam.ORACLE,

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from claimgraph.llm.common import BYTE_HASH, MULT, MULT_INV, U, batches, blocks_for, mix, pack, power_table, prefix_hash, range_hash, text_bytes, unpack, with_chunk
+from claimgraph.llm.common import BYTE_HASH, MULT, MULT_INV, U, batches, blocks_for, input_bytes, mix, pack, power_table, prefix_hash, range_hash, text_bytes, unpack, with_chunk
 
 BITS = 40
 PLACE = U((1 << 20) - 1)
@@ -38,7 +38,7 @@ class SuffixParams:
     #: Bytes of an anchor's string.
     gram: int = 32
     #: Input bytes in a block of documents.
-    block_bytes: int = 4 << 20
+    block_bytes: int = 6 << 20
     #: So many different suffixes of one anchor in one block of documents cut them into windows.
     wide: int = 24
 
@@ -132,11 +132,11 @@ RUNS = "block int, chunk int, n int, shared binary, sizes binary, rest binary, g
 
 
 def strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """A row of bytes for each string, zeros after its end, and its size in the last column."""
+    """A row of bytes for each string, zeros after its end, and its size in the last two columns."""
     cols = np.arange(width)
     out = data[np.minimum(start[:, None] + cols[None, :], len(data) - 1)]
     out[cols[None, :] >= size[:, None]] = 0
-    return np.concatenate([out, size[:, None].astype(np.uint8)], axis=1)
+    return np.concatenate([out, (size >> 8)[:, None].astype(np.uint8), (size & 255)[:, None].astype(np.uint8)], axis=1)
 
 
 def _runs(blocks: int, p: SuffixParams):
@@ -200,7 +200,7 @@ def _runs(blocks: int, p: SuffixParams):
             for k in np.unique(block):
                 part = go[block == k]
                 text = strings(data, start[part], size[part], width)
-                order = np.argsort(np.ascontiguousarray(text).view(f"S{width + 1}").ravel(), kind="stable")
+                order = np.argsort(np.ascontiguousarray(text).view(f"S{width + 2}").ravel(), kind="stable")
                 text, part = text[order, :width], part[order]
                 shared = np.zeros(len(part), np.int64)
                 differ = text[1:] != text[:-1]
@@ -208,7 +208,7 @@ def _runs(blocks: int, p: SuffixParams):
                 shared[1:] = np.minimum(shared[1:], np.minimum(size[part][1:], size[part][:-1]))
                 cols = np.arange(width)[None, :]
                 rest = text[(cols >= shared[:, None]) & (cols < size[part][:, None])]
-                put(block=int(k), chunk=chunk, n=len(part), shared=shared.astype(np.uint8).tobytes(), sizes=size[part].astype(np.uint8).tobytes(), rest=rest.tobytes(), grams=gram[part].tobytes(), ids=ids[row[part]].astype(np.int64).tobytes(), rows=row[part].astype(np.int32).tobytes(), starts=(start[part] - offsets[row[part]]).astype(np.int64).tobytes())
+                put(block=int(k), chunk=chunk, n=len(part), shared=shared.astype(np.uint16).tobytes(), sizes=size[part].astype(np.uint16).tobytes(), rest=rest.tobytes(), grams=gram[part].tobytes(), ids=ids[row[part]].astype(np.int64).tobytes(), rows=row[part].astype(np.int32).tobytes(), starts=(start[part] - offsets[row[part]]).astype(np.int64).tobytes())
         kinds = {"block": pa.int32(), "chunk": pa.int32(), "n": pa.int32()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
@@ -308,7 +308,7 @@ def _reduce(p: SuffixParams):
                 row = np.frombuffer(r["rows"], np.int32)
                 found.append((np.full(len(row), r["chunk"]), row, np.frombuffer(r["starts"], np.int64), np.frombuffer(r["ends"], np.int64)))
                 continue
-            shared, size, rest = list(r["shared"]), list(r["sizes"]), r["rest"]
+            shared, size, rest = (*(np.frombuffer(r[k], np.uint16).tolist() for k in ("shared", "sizes")), r["rest"])
             own, at, last = [], 0, b""
             for s, n in zip(shared, size, strict=True):
                 last = last[:s] + rest[at : at + n - s]
@@ -399,7 +399,7 @@ def _cut_out(docs: pa.Table, ranges: pa.Table) -> pa.Table:
 
 def repeated_ranges(docs: DataFrame, p: SuffixParams = SuffixParams()) -> tuple[DataFrame, DataFrame]:
     """The documents dealt into blocks (doc_id, text, chunk), and the byte ranges to remove by block: packed rows of the block as ``sorted_rows`` has it, starts and ends."""
-    blocks = blocks_for(docs, p.block_bytes)
+    blocks = blocks_for(input_bytes(docs), p.block_bytes)
     dealt = with_chunk(docs, blocks)
     counted = dealt.groupBy("chunk").applyInArrow(_count(3 * blocks, p), "block int, chunk int, grams binary, wide binary")
     answers = counted.groupBy("block").applyInArrow(_answer, "chunk int, block int, n int, often binary, wide binary")

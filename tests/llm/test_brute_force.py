@@ -74,9 +74,9 @@ def test_tokens(docs, rows, empty):
     tokenizer = tokens.load(tokens.TOKENIZER)
     want = Counter((i, len(tokenizer.encode(t, add_special_tokens=False).ids), len(t.encode())) for i, t in rows)
     assert Counter((r.doc_id, r.n_tokens, r.n_bytes) for r in tokens.op3(docs).collect()) == want
-    small = tokens.TokenParams(chunk=200, overlap=8)
-    for t in [*(t for _, t in rows if len(t) < 20_000), "a<|endoftext|> b" * 200]:
-        assert tokens.spliced(tokenizer, t, small) == len(tokenizer.encode(t, add_special_tokens=False).ids)
+    small, safe = tokens.TokenParams(chunk=300, overlap=16), tokens.margin(tokens.TOKENIZER)
+    for t in [*(t for _, t in rows if len(t) < 20_000), "a<|endoftext|> b" * 200, "don't  we'll\n\n " * 90, "x" * 3000, " " * 2000, "漢字" * 900, "'ll" * 700, "a  <|endof" * 200]:
+        assert tokens.spliced(tokenizer, t, small, safe) == len(tokenizer.encode(t, add_special_tokens=False).ids)
     assert tokens.op3(empty).count() == 0
 
 

@@ -12,5 +12,6 @@ def test_long_items(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "a b c")], "item_id long, text string")
     got = {r.doc_id: r.n_hit for r in decontam.op10(docs, bench).collect()}
     assert got == {i: b - a if b - a >= 10 else 0 for i, (a, b) in enumerate(cuts)}
-    meets = decontam.matches(docs, bench).select(F.explode("meets").alias("m"))
-    assert meets.agg(F.max(F.size("m.iw"))).first()[0] <= 14
+    assert decontam.items_of(bench).agg(F.max(F.size("iw"))).first()[0] <= 14
+    apart = decontam.decontaminate(docs, bench, most_broadcast=0)  # fingerprints that are too many to broadcast
+    assert {r.doc_id: r.n_hit for r in apart.collect()} == got

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.llm import decontam, knn, langid, lm, mixing, ngram_join, pii, quality, suffix, tokens
 
-CLASHES = ["chunk", "block", "key", "id", "n", "label", "meets", "items", "spans", "score", "copy_no", "shuffle_key", "rate", "weight", "grams", "k1", "w", "lang_pred", "held_out", "n_words", "contaminated", "component_id"]
+CLASHES = ["a.b", "row", "base", "added", "loose", "t", "h", "hs", "hits", "from", "ident", "cdf", "parts", "__cdf", "__w", "__meets", "__base", "chunk", "block", "key", "id", "n", "label", "meets", "items", "spans", "score", "copy_no", "shuffle_key", "rate", "weight", "grams", "k1", "w", "lang_pred", "held_out", "n_words", "contaminated", "component_id"]
 PASSAGE = " ".join(f"word{i}" for i in range(40)) + " mail a@b.co now "
 ROWS = [(None, PASSAGE, None, None, None), (None, PASSAGE, "en", "s", 1), (None, None, None, None, None), (1, PASSAGE, "en", None, None), (2, PASSAGE + " tail", "en", "s", 3), (2, PASSAGE + " tail", "en", "s", 3), (3, None, "en", "s", 0), (4, "", None, "s", 0), (5, "é" * 5000, "fr", "s", 5000), (6, " ".join(f"word{i}" for i in range(14)), "en", "t", 1)]
 
