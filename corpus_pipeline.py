@@ -13,7 +13,11 @@ from claimgraph.storage import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go. The model learns from the documents that have one named and are not held out."""
+    """Documents that aren't in a learnt language go; the model learns from those that have one named and are not held out.
+
+    Rejected are null and empty texts, texts without a letter, and texts of whose n-grams their predicted language has too
+    few. Repeated rows stay or go together; long texts are read whole; without any named language, and of an empty table, nothing stays.
+    """
     return langid.keep_identified(docs, langid.train(docs.filter(~langid.held_out())))
 
 
@@ -41,18 +45,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat a window of a benchmark item go."""
+    """Documents that repeat a window of a benchmark item go.
+
+    Rows are judged by their text alone, so repeated rows and rows without an id go or stay together; null and empty texts
+    stay, as they repeat nothing. With an empty benchmark all stay; an empty table gives an empty one.
+    """
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.decontaminate(docs, bench).filter("not contaminated").select(docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; every document stays."""
+    """Personal data is replaced by its kind in brackets, and n_chars follows; every row stays, repeated ones too.
+
+    Null and empty texts and texts without personal data stay as they are; an empty table gives an empty one.
+    """
     return pii.redacted(docs, pii.train(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in equal shares, as many rows as there are on average, shuffled."""
+    """Sources in equal shares, as many rows as there are on average, shuffled.
+
+    Each row is taken a number of times drawn from a digest of its id, so repeated rows, and rows without an id, are taken
+    alike; a null source is one of its own, and texts are not looked at. An empty table gives an empty one.
+    """
     return mixing.mix(docs)
 
 
