@@ -249,9 +249,10 @@ def product(entries: DataFrame, p: JoinParams) -> DataFrame:
     every = entries.select("key", side.alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     nx, ny, ix, iy = F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")
     least = lambda a, b: F.floor(((a + b) * p.percent + 99 + p.percent) / float(100 + p.percent))
-    # The first n-gram that linked sets share has, in both, as many n-grams from it on as they must share; and what
-    # stands before it in either bounds the overlap too.
-    bound = F.least(ix, iy) + F.least(nx - ix, ny - iy) >= least(nx, ny)
+    # The first n-gram that linked sets share has, in both, as many n-grams from it on as they must share: common ones
+    # further on in either aren't looked at, and all of them stand behind those that are. What stands before an n-gram
+    # in either bounds the overlap too.
+    bound = (nx - ix >= least(nx, ny)) & (ny - iy >= least(nx, ny)) & (F.least(ix, iy) + F.least(nx - ix, ny - iy) >= least(nx, ny))
     met = rest.join(every, ["key", "part"]).filter((F.col("x.label") != F.col("y.label")) & (~F.col("y.minor") | (F.col("x.id") < F.col("y.id"))) & sizes_allow(nx, ny, p) & bound)
     swap = F.col("x.id") > F.col("y.id")
     of = lambda f, first: F.when(swap == F.lit(not first), F.col(f"x.{f}")).otherwise(F.col(f"y.{f}"))
