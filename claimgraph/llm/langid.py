@@ -26,7 +26,7 @@ class LangParams:
     #: Bound of the documents learnt from, by language.
     sample_docs: int = 1500
     #: Slots of the filter, each with a bit for every language; and how many slots an n-gram sets.
-    slots: int = 1 << 20
+    slots: int = 1 << 19
     probes: int = 3
     #: An n-gram is in a language's first filter if the language has it at all, in the others if so many of the language's n-grams are this one.
     levels: tuple[float, ...] = (0.0, 1e-4, 1e-3)
