@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimgraph.functions.text import unescape
 
-FORMS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM", "MMM yyyy", "yyyy")
+# Shapes of dates, and the form that reads each: only one is tried, since a text that fails to parse costs many times one that does.
+DAY = r"[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}"
+FORMS = {
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[+-][0-9]{4}": "yyyy-MM-dd'T'HH:mm:ssZ",
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}": "yyyy-MM-dd'T'HH:mm:ss",
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}[+-][0-9]{4}": "yyyy-MM-dd'T'HH:mmZ",
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}": "yyyy-MM-dd'T'HH:mm",
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}": "yyyy-MM-dd",
+    DAY + r" [0-9]{1,2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}": "d MMM yyyy H:mm:ss Z",
+    DAY + r" [0-9]{1,2}:[0-9]{2} [+-][0-9]{4}": "d MMM yyyy H:mm Z",
+    DAY + r" [0-9]{1,2}:[0-9]{2}:[0-9]{2}": "d MMM yyyy H:mm:ss",
+    DAY + r" [0-9]{1,2}:[0-9]{2}": "d MMM yyyy H:mm",
+    DAY: "d MMM yyyy",
+    r"[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}": "MMM d, yyyy",
+    r"[0-9]{4}-[0-9]{2}": "yyyy-MM",
+    r"[A-Z][a-z]{2} [0-9]{4}": "MMM yyyy",
+    r"[0-9]{4}": "yyyy",
+}
+# Names of zones in mail dates.
+ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 IN_WORDS = rf"(?i)\b{MONTH}\s+[0-9]{{1,2}},\s+[0-9]{{4}}\b"
 ISO = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8})(?:[T ](?:[01][0-9]|2[0-3])(?::?[0-5][0-9](?::?[0-5][0-9](?:[.,][0-9]+)?)?)?(?:Z|[+-][0-9]{2}(?::?[0-9]{2}(?::?[0-9]{2})?)?)?)?$"
@@ -17,9 +37,40 @@ NEAR = 1800
 
 
 def parse_date(text: Column) -> Column:
-    """The first form that reads the text, as a timestamp in UTC; null if none does. A weekday in front is passed over."""
-    plain = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in FORMS])
+    """A date, or date and time, in any of FORMS, as a timestamp in UTC; null if none fits.
+
+    A weekday in front, fractions of a second and the rest of a month's name are passed over; zones may be names of ZONES,
+    Z, or hours with or without a colon; without one, UTC.
+    """
+    plain = F.regexp_replace(F.trim(text), r"\s+", " ")
+    plain = F.regexp_replace(plain, r"^[A-Za-z]{3,9},\s*", "")
+    plain = F.regexp_replace(plain, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?", "$1")
+    for name in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"):
+        plain = F.regexp_replace(plain, rf"(?i)\b{name}\b", name)
+    plain = F.regexp_replace(plain, r"([0-9]{2}:[0-9]{2}:[0-9]{2})[.,][0-9]+", "$1")
+    plain = F.regexp_replace(plain, r"(?<=[0-9]{2}) ?Z$", "+0000")
+    plain = F.regexp_replace(plain, r"([+-][0-9]{2}):([0-9]{2})$", "$1$2")
+    plain = F.regexp_replace(plain, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:)", "$1T$2")
+    plain = F.regexp_replace(plain, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T\S+) ([+-])", "$1$2")
+    for name, zone in ZONES.items():
+        plain = F.regexp_replace(plain, rf" {name}$", f" {zone}")
+    plain = F.regexp_replace(plain, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T\S+) ([+-])", "$1$2")
+
+    def read(x: Column) -> Column:
+        out = F
+        for shape, form in FORMS.items():
+            out = out.when(x.rlike(f"^{shape}$"), F.try_to_timestamp(x, F.lit(form)))
+        return out
+
+    return F.transform(F.array(plain), read)[0]
+
+
+def freshness(text: Column) -> Column:
+    """An ISO time in UTC of '2024-03-05 10:00 UTC', '2024-03-05 10:00', '2024-03-05T10:00:00+00:00' or '2024-03-05', the last with '|dateonly' behind; else null. No age is told."""
+    t = F.trim(text)
+    minute, stamp = t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}( UTC)?$"), t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    day = t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return F.when(minute | stamp | day, F.concat(F.date_format(parse_date(t), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.when(day, "|dateonly").otherwise("")))
 
 
 def date_in_url(url: Column) -> Column:
@@ -66,9 +117,14 @@ def page_date(html: Column) -> Column:
 
 def day_bucket(age: Column) -> Column:
     """Heading of an age in days."""
-    return F.when(age.isNull(), "Undated").when(age <= 0, "Today").when(age == 1, "Yesterday").when(age < 7, "This week").when(age < 31, "This month").otherwise("Older")
+    return F.when(age.isNull(), "Date not stated").when(age <= 0, "Today").when(age == 1, "Yesterday").when(age < 7, "Earlier this week").when(age < 31, "Earlier this month").otherwise("Older")
 
 
 def too_old(age: Column, limit: Column) -> Column:
     """Strictly older than the limit; what has no date is never too old."""
     return F.coalesce(age > limit, F.lit(False))
+
+
+def opens_bucket(bucket: Column, *order: Column) -> Column:
+    """True on the first row of each run of rows of one bucket, in the given order: where a heading stands."""
+    return ~bucket.eqNullSafe(F.lag(bucket).over(Window.orderBy(*order))) | (F.row_number().over(Window.orderBy(*order)) == 1)

@@ -7,32 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.functions import urls as U
+from claimgraph.functions.urls import canonical_url
 from claimgraph.operators import state
 
 # Methods of a label that a machine gave.
 MACHINE_METHODS = ("rule", "local-model")
 
 
-def identity(url: Column) -> Column:
-    """What a URL names: as ``canonical_url``, but hosts without port and 'www.', and queries compared decoded."""
-    u = F.trim(F.coalesce(url, F.lit("")))
-    scheme, net, path = F.lower(F.regexp_extract(u, U.SHAPE, 1)), F.regexp_extract(u, U.SHAPE, 2), F.regexp_extract(u, U.SHAPE, 3)
-    host = U.hostname(u)
-    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
-    split = F.transform(F.filter(F.split(F.substring(F.regexp_extract(u, U.SHAPE, 4), 2, 1 << 20), "&"), lambda p: p != ""), lambda p: F.split(p, "=", 2))
-    pairs = F.transform(split, lambda s: F.struct(plain(F.get(s, F.lit(0))).alias("k"), plain(F.coalesce(F.get(s, F.lit(1)), F.lit(""))).alias("v")))
-    kept = F.filter(pairs, lambda p: ~(F.lower(p["k"]).startswith("utm_") | F.lower(p["k"]).isin(*U.TRACKING_KEYS)))
-    one = lambda v: F.filter(F.array(F.struct(F.lit("v").alias("k"), v.alias("v"))), lambda p: p["v"] != "")
-    short, tube = host == "youtu.be", host.isin("youtube.com", "m.youtube.com")
-    clip = tube & path.startswith("/shorts/")
-    query = F.when(short, one(F.regexp_extract(path, "^/*([^/]*)", 1))).when(clip, F.array(F.struct(F.lit("v").alias("k"), F.regexp_extract(path, "^/shorts/([^/]*)", 1).alias("v")))).when(tube & (path == "/watch"), F.filter(pairs, lambda p: p["k"] == "v")).otherwise(kept)
-    bare = F.when(short | clip, "/watch").otherwise(F.regexp_replace(path, "/+$", ""))
-    told = F.array_join(F.transform(F.array_sort(query), lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
-    whole = F.concat(scheme, F.lit("://"), F.when(short | tube, "youtube.com").otherwise(host), F.when(bare == "", "/").otherwise(bare), F.when(told == "", "").otherwise(F.concat(F.lit("?"), told)))
-    return F.when((scheme == "") | (net == ""), u).otherwise(whole)
-
-
 def board_violations(items: DataFrame, spans: DataFrame, evidence: DataFrame, topics: Sequence[str], source_types: dict[str, int], ident: str) -> DataFrame:
     """ident, rule, detail: a row for each of the 17 rules that an item breaks; the source rules give one for each source.
 
@@ -48,7 +29,7 @@ def board_violations(items: DataFrame, spans: DataFrame, evidence: DataFrame, to
     url = F.get(F.filter(F.transform(sources, lambda s: s["url"]), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0))
     # Items without a url get keys of their own, so that the joins don't deal them all to one task.
     alone = F.concat(F.lit("\0"), F.coalesce(F.col(ident).cast("string"), F.lit("")))
-    rows = items.withColumn("__found", url).withColumn("__url", F.coalesce("__found", alone)).withColumn("__same", F.when(F.col("__found").isNotNull(), identity(F.col("__found"))).otherwise(alone))
+    rows = items.withColumn("__found", url).withColumn("__url", F.coalesce("__found", alone)).withColumn("__same", F.when(F.col("__found").isNotNull(), canonical_url(F.col("__found"))).otherwise(alone))
     first = rows.filter("__found is not null").groupBy("__same").agg(F.min(ident).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__same", "__first")
     recs = spans.filter("url <> ''").select(F.col("url").alias("__url"), F.struct("fetch", F.size(F.coalesce("spans", none.cast(spans.schema["spans"].dataType))).alias("n"), "content_hash", "evidence_hash").alias("__rec"))
     evs = evidence.filter("url <> ''").select(F.col("url").alias("__url"), F.struct("claim_tier", "claim_relationship", "source_tier").alias("__ev"))

@@ -76,11 +76,24 @@ def market_band(change: Column) -> Column:
     return F.when(change >= 10, "breakout").when(change >= 5, "surge").when(change <= -5, "critical").when(change <= -3, "warning")
 
 
+# How much a verdict asks for a person, most first.
+VERDICTS = ("split", "tied", "majority", "unanimous", "single")
+
+
 def verdict(readings: Column) -> Column:
-    """Of an array of readings: none, single, unanimous, majority, tied or split."""
-    counts = F.transform(F.array_distinct(readings), lambda v: F.size(F.filter(readings, lambda x: x == v)))
-    top = F.array_max(counts)
-    return F.when(F.size(readings) == 0, "none").when(F.size(readings) == 1, "single").when(F.size(counts) == 1, "unanimous").when(top * 2 > F.size(readings), "majority").when(F.size(F.filter(counts, lambda c: c == top)) > 1, F.when(top == 1, "split").otherwise("tied")).otherwise("split")
+    """Of an array of readings: single (one or none), unanimous, split (all differ), majority (one has most), or tied."""
+    counts = F.array_sort(F.transform(F.array_distinct(readings), lambda v: -F.size(F.filter(readings, lambda x: x.eqNullSafe(v)))))
+    return F.when(F.size(readings) < 2, "single").when(F.size(counts) == 1, "unanimous").when(F.size(counts) == F.size(readings), "split").when(F.get(counts, F.lit(0)) < F.get(counts, F.lit(1)), "majority").otherwise("tied")
+
+
+def severity(said: Column) -> Column:
+    """The place of a verdict in VERDICTS, from 0."""
+    return F.array_position(F.array(*map(F.lit, VERDICTS)), said).cast("int") - 1
+
+
+def macro_move(change: Column) -> Column:
+    """True of an index that moved by 3 percent or more, up or down; false without a change."""
+    return F.coalesce(F.abs(change) >= 3, F.lit(False))
 
 
 def phrase(text: Column, words: str) -> Column:

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions import dates as D
 from claimgraph.functions import text as T
-from claimgraph.operators import figures
 from claimgraph.queries.common import query
 from claimgraph.queries.text_queries import NOTE_SPARK
 from claimgraph.sources import sinks
 from claimgraph.storage import shared_folder
 
 
-@query("q12_bare_figures")
+@query("q12_bare_figures", f"SELECT o_orderkey, 6 AS s, CAST(o_orderkey AS VARCHAR) AS figure FROM orders WHERE NOT regexp_matches(CAST(o_orderkey AS VARCHAR), '^(19|20)[0-9][0-9]$') AND o_orderkey % 4 <> 0")
 def q12(t, spark):
-    return figures.explode_bare(t("orders").select("o_orderkey", F.expr(NOTE_SPARK).alias("note")), "o_orderkey", "note")
+    # A count, beside strong figures; a year is none, nor what stands near the name of a section.
+    note = F.expr(NOTE_SPARK)
+    told = F.when(F.col("o_orderkey") % 4 == 0, F.replace(note, F.lit("Order "), F.lit("Section "))).otherwise(note)
+    found = F.filter(T.figure_spans(told), lambda x: ~x["strong"])
+    return t("orders").select("o_orderkey", F.inline(found)).select("o_orderkey", "s", "figure")
 
 
 PRODUCTS = [("Value line", "economy"), ("Bulk line", "large"), ("Main line", "standard"), ("Mid line", "medium"), ("Compact line", "small")]

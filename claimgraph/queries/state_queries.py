@@ -105,18 +105,18 @@ def q36(t, spark):
     return R.upsert(old, new, "k", ["first_seen"], ["status", "claim"], F.col("o.reviewed"), ["claim"]).withColumn("first_seen", F.col("first_seen").cast("string"))
 
 
-CLAIMS = "CASE o_orderstatus WHEN 'F' THEN 'shipped' WHEN 'O' THEN 'forecast' ELSE 'unclassified' END"
+CLAIMS = "CASE o_orderstatus WHEN 'F' THEN 'announced' WHEN 'O' THEN 'target' ELSE 'unclassified' END"
 TODAY = "(SELECT max(CAST(o_orderdate AS DATE)) FROM orders)"
 
 
 def claims(t):
     o = t("orders")
     today = o.agg(F.max(F.col("o_orderdate").cast("date"))).scalar()
-    claim = F.when(F.col("o_orderstatus") == "F", "shipped").when(F.col("o_orderstatus") == "O", "forecast").otherwise("unclassified")
+    claim = F.when(F.col("o_orderstatus") == "F", "announced").when(F.col("o_orderstatus") == "O", "target").otherwise("unclassified")
     return o.select("o_orderkey", claim.alias("claim"), F.datediff(today, F.col("o_orderdate").cast("date")).alias("days"), F.when(F.col("o_orderkey") % 4 == 0, "kept").otherwise("").alias("outcome"), (F.col("o_totalprice") > 200000).cast("int").alias("big"), F.col("o_orderpriority").startswith("1").cast("int").alias("urgent"))
 
 
-@query("q37_due_queue", f"SELECT o_orderkey, age, score FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), {TODAY}) AS age, CAST(3 * (o_totalprice > 200000)::INT + 2 * starts_with(o_orderpriority, '1')::INT AS INTEGER) AS score, {CLAIMS} AS claim FROM orders WHERE o_orderkey % 4 <> 0) WHERE age >= CASE claim WHEN 'shipped' THEN 90 WHEN 'forecast' THEN 180 END ORDER BY score DESC, age, o_orderkey LIMIT 25".replace("SELECT o_orderkey, age,", "SELECT o_orderkey, CAST(age AS INTEGER) AS age,", 1))
+@query("q37_due_queue", f"SELECT o_orderkey, age, score FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), {TODAY}) AS age, CAST(3 * (o_totalprice > 200000)::INT + 2 * starts_with(o_orderpriority, '1')::INT AS INTEGER) AS score, {CLAIMS} AS claim FROM orders WHERE o_orderkey % 4 <> 0) WHERE age >= CASE claim WHEN 'announced' THEN 90 WHEN 'target' THEN 180 END ORDER BY score DESC, age, o_orderkey LIMIT 25".replace("SELECT o_orderkey, age,", "SELECT o_orderkey, CAST(age AS INTEGER) AS age,", 1))
 def q37(t, spark):
     rows = state.due(claims(t), "claim", F.col("days"), "outcome").withColumn("score", F.col("big") * 3 + F.col("urgent") * 2)
     return rows.orderBy(F.desc("score"), "age", "o_orderkey").limit(25).select("o_orderkey", "age", "score")
@@ -124,7 +124,7 @@ def q37(t, spark):
 
 @query("q38_archive_stats", f"SELECT {CLAIMS} AS claim, count(*) AS n, count(*) FILTER (o_orderkey % 4 = 0) AS scored, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_seen, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_seen FROM orders GROUP BY 1")
 def q38(t, spark):
-    o = t("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), F.when(F.col("o_orderstatus") == "F", "shipped").when(F.col("o_orderstatus") == "O", "forecast").otherwise("unclassified").alias("claim"))
+    o = t("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), F.when(F.col("o_orderstatus") == "F", "announced").when(F.col("o_orderstatus") == "O", "target").otherwise("unclassified").alias("claim"))
     return o.groupBy("claim").agg(F.count(ONE).alias("n"), F.count_if(F.col("o_orderkey") % 4 == 0).alias("scored"), F.min("d").cast("string").alias("first_seen"), F.max("d").cast("string").alias("last_seen"))
 
 
@@ -147,7 +147,7 @@ def q41(t, spark):
     return t("documents").filter(F.coalesce("lang", F.lit("")) != "").groupBy("lang").agg(F.count(ONE).alias("n"), F.countDistinct("source").alias("sources"))
 
 
-@query("q42_day_buckets", f"SELECT heading, count(*) AS n FROM (SELECT CASE WHEN age <= 0 THEN 'Today' WHEN age = 1 THEN 'Yesterday' WHEN age < 7 THEN 'This week' WHEN age < 31 THEN 'This month' ELSE 'Older' END AS heading FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), {TODAY}) AS age FROM orders)) GROUP BY heading")
+@query("q42_day_buckets", f"SELECT heading, count(*) AS n FROM (SELECT CASE WHEN age <= 0 THEN 'Today' WHEN age = 1 THEN 'Yesterday' WHEN age < 7 THEN 'Earlier this week' WHEN age < 31 THEN 'Earlier this month' ELSE 'Older' END AS heading FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), {TODAY}) AS age FROM orders)) GROUP BY heading")
 def q42(t, spark):
     return claims(t).groupBy(D.day_bucket(F.col("days")).alias("heading")).agg(F.count(ONE).alias("n"))
 
@@ -245,7 +245,7 @@ def q73(t, spark):
 HEARING = "concat('Filed in ', CAST(year(o_orderdate) + 30 AS {s}), '. The ', CASE WHEN o_orderstatus = 'O' THEN 'hearing' ELSE 'meeting' END, ' is on March 5, ', CAST(year(o_orderdate) + 31 AS {s}), '.')"
 
 
-@query("q52_nominations", f"""SELECT o_orderkey, 'deflation' AS kind, unnest(list_transform(regexp_extract_all({NOTE_SQL}, '{T.STRONG}'), lambda x: trim(x))[1:3]) AS span FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('4', '5') AND o_orderstatus = 'F'
+@query("q52_nominations", f"""SELECT o_orderkey, 'deflation' AS kind, unnest(list_transform(regexp_extract_all({NOTE_SQL}, '(?i){T.STRONG}'), lambda x: trim(x))[1:3]) AS span FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('4', '5') AND o_orderstatus = 'F'
 UNION ALL SELECT o_orderkey, 'calendar', 'The hearing is on March 5, ' || (year(o_orderdate) + 31) || '.' FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) BETWEEN 1995 AND 1997""")
 def q52(t, spark):
     claims = L.deflation_spans(T.figures(F.expr(NOTE_SPARK)), F.substring("o_orderpriority", 1, 1).cast("int"), F.when(F.col("o_orderstatus") == "F", "N").otherwise("Y"))

@@ -13,7 +13,7 @@ from claimgraph.queries.common import query
 
 SHAPE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 HOST = rf"regexp_replace(lower(regexp_replace(regexp_extract(url, '{SHAPE}', 2), '^.*@|:[0-9]*$', '', 'g')), '^www\.', '')"
-CANON = rf"""CASE WHEN regexp_extract(url, '{SHAPE}', 1) = '' THEN trim(url) ELSE lower(regexp_extract(trim(url), '{SHAPE}', 1)) || '://' || lower(regexp_extract(trim(url), '{SHAPE}', 2))
+CANON = rf"""CASE WHEN regexp_extract(url, '{SHAPE}', 1) = '' THEN trim(url) ELSE lower(regexp_extract(trim(url), '{SHAPE}', 1)) || '://' || {HOST}
  || CASE WHEN rtrim(regexp_extract(trim(url), '{SHAPE}', 3), '/') = '' THEN '/' ELSE rtrim(regexp_extract(trim(url), '{SHAPE}', 3), '/') END
  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(substr(regexp_extract(trim(url), '{SHAPE}', 4), 2), '&'), lambda p: p <> '' AND NOT (lower(split_part(p, '=', 1)) LIKE 'utm_%' OR lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid')))), '&'), ''), '') END"""
 
@@ -112,12 +112,12 @@ NOTE_SPARK = NOTE.format(k="o_orderkey", p="o_orderpriority")
 NOTE_SQL = NOTE_SPARK.replace("AS STRING", "AS VARCHAR")
 
 
-@query("q11_strong_figures", f"SELECT o_orderkey, array_to_string(list_transform(regexp_extract_all({NOTE_SQL}, '{T.STRONG}'), lambda x: trim(x)), '|') AS figures FROM orders")
+@query("q11_strong_figures", f"SELECT o_orderkey, array_to_string(list_transform(regexp_extract_all({NOTE_SQL}, '(?i){T.STRONG}'), lambda x: trim(x)), '|') AS figures FROM orders")
 def q11(t, spark):
     return t("orders").select("o_orderkey", F.array_join(T.figures(F.expr(NOTE_SPARK)), "|").alias("figures"))
 
 
-@query("q13_base_cue_ladder", f"""SELECT label, count(*) AS n, sum(figs) AS figures FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'unsettled' WHEN len(regexp_extract_all(note, '{T.STRONG}')) = 0 THEN 'n/a' WHEN regexp_matches(lower(note), '{T.BASE_CUE}') THEN 'Y' ELSE 'unsettled' END AS label, len(regexp_extract_all(note, '{T.STRONG}')) AS figs FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN {NOTE_SQL} WHEN o_orderkey % 3 = 1 THEN 'Nothing to see.' ELSE '5% of it' END AS note FROM orders)) GROUP BY label""".replace("sum(figs)", "CAST(sum(figs) AS BIGINT)"))
+@query("q13_base_cue_ladder", f"""SELECT label, count(*) AS n, sum(figs) AS figures FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'unsettled' WHEN len(regexp_extract_all(note, '(?i){T.STRONG}')) = 0 THEN 'n/a' WHEN regexp_matches(note, '(?i){T.BASE_CUE}') THEN 'Y' ELSE 'unsettled' END AS label, len(regexp_extract_all(note, '(?i){T.STRONG}')) AS figs FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN {NOTE_SQL} WHEN o_orderkey % 3 = 1 THEN 'Nothing to see.' ELSE '5% of it' END AS note FROM orders)) GROUP BY label""".replace("sum(figs)", "CAST(sum(figs) AS BIGINT)"))
 def q13(t, spark):
     note = F.when(F.col("o_orderkey") % 3 == 0, F.expr(NOTE_SPARK)).when(F.col("o_orderkey") % 3 == 1, "Nothing to see.").otherwise("5% of it")
     rows = t("orders").withColumn("note", note).withColumn("figs", F.size(T.figures(F.col("note"))).cast("long"))

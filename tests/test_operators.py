@@ -6,9 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from claimgraph.functions import dates as D
 from claimgraph.functions import text as T
 from claimgraph.operators import evaluate as E
-from claimgraph.operators.figures import bare_figures
+from claimgraph.operators import rules as L
+from claimgraph.operators import state as S
 from claimgraph.sources import adapters, sinks
 
 
@@ -54,10 +56,82 @@ def test_sentences(spark):
         assert row.t == [b for _, b in want]
 
 
-def test_bare_figures():
-    text = "In fiscal 2027, some 1,200, or 35 of them."
-    assert bare_figures(text) == [(text.index("1,200"), "1,200"), (text.index("35"), "35")]
-    assert bare_figures("On October 13 - 15 they paid $5 million under section 4.") == []
+FIGURES = [
+    ("In fiscal 2027, some 1,200, or 35 of them.", ["1,200", "35"]),
+    ("On October 13 - 15 they paid $5 million under section 4.", ["$5 million"]),
+    ("It rose 7\tpercent to $ 3bn and 5 million.", ["7\tpercent", "$ 3bn", "5 million"]),
+    ("Claude 3 and GPT-4 are out", []),
+    ("A note of 12 pages far away from all that is noise of any kind at all, see version 2", ["12"]),
+    ("9 GW at 10.5% of 3 kWh", ["9 GW", "10.5%", "3 kWh"]),
+    ("20 Million and 30 PER CENT", ["20 Million", "30 PER CENT"]),
+    ("", []),
+    (None, None),
+]
+
+
+def test_figures(spark):
+    got = column(spark, [x for x, _ in FIGURES]).select("i", T.figure_spans(F.col("x")).alias("f")).orderBy("i").collect()
+    assert [None if r.f is None else [x.figure for x in r.f] for r in got] == [want for _, want in FIGURES]
+    for (text, _), r in zip(FIGURES, got, strict=True):
+        assert all(text[x.s :].startswith(x.figure) for x in r.f or [])
+
+
+FURNITURE = {
+    "She has covered the tech industry for over 20 years.": True,
+    "DOI: 10.1000/xyz": True,
+    "See all comments (12)": True,
+    "Mar 3rd 2024 | 5 min read": True,
+    "Figure 3: The model": True,
+    "Figure 3: Costs fell 20%": False,
+    "3:05 PM EDT · March 5, 2024": True,
+    "March 5, 2024, 3:05 PM EDT": True,
+    "Updated Mon 4 March at 3:05pm today": True,
+    "VIDEO 1:23 4:56": True,
+    "At 3:05 PM they sold 20 of them.": False,
+    "Subscribe to 3 letters": True,
+}
+
+
+def test_furniture(spark):
+    got = column(spark, list(FURNITURE)).select("i", T.is_furniture(F.col("x")).alias("y"))
+    assert [r[0] for r in by_key(got, "y")] == list(FURNITURE.values())
+
+
+def test_evidence_text(spark):
+    body = "x" * 420
+    cases = [f"{body}\nRelated\ntail", f"{body}\n12 Comments\nyes", f"short\nRelated\n{body}", f"{body} \n3 comments\nA\nRelated\nB", None]
+    want = [body, body, cases[2], body, None]
+    rails = {"a.example": ("Related", "Most read")}
+    assert [r[0] for r in by_key(column(spark, cases).select("i", T.evidence_text(F.col("x"), F.lit("a.example"), rails).alias("y")), "y")] == want
+    assert by_key(column(spark, cases[:1]).select("i", T.evidence_text(F.col("x"), F.lit("b.example"), rails).alias("y")), "y") == [(cases[0],)]
+
+
+DATES = {
+    "Fri, 31 Jul 2026 10:00:00 GMT": "2026-07-31 10:00:00", "31 July 2026": "2026-07-31 00:00:00", "2026-07-31T10:00:00.123Z": "2026-07-31 10:00:00",
+    "Sept 3, 2026": "2026-09-03 00:00:00", "2026-07-31 10:05": "2026-07-31 10:05:00", "Fri, 31 Jul 2026 10:00:00 -0500": "2026-07-31 15:00:00", "31 Jul 2026 10:00 EST": "2026-07-31 15:00:00",
+    "2026-07-31T10:00:00+02:00": "2026-07-31 08:00:00", "2026-07": "2026-07-01 00:00:00", "2026": "2026-01-01 00:00:00", "Jul 2026": "2026-07-01 00:00:00", "March 5, 2026": "2026-03-05 00:00:00",
+    "Tue, 19 May 2026": "2026-05-19 00:00:00", "soon": None, "31 Foo 2026": None, "2026-13-01": None, "": None,
+}
+
+
+def test_dates(spark):
+    got = column(spark, list(DATES)).select("i", D.parse_date(F.col("x")).cast("string").alias("y"))
+    assert dict(zip(DATES, [r[0] for r in by_key(got, "y")], strict=True)) == DATES
+    fresh = {"2026-07-31 10:00 UTC": "2026-07-31T10:00:00Z", "2026-07-31 10:00": "2026-07-31T10:00:00Z", "2026-07-31T10:00:00+02:00": "2026-07-31T08:00:00Z", "2026-07-31": "2026-07-31T00:00:00Z|dateonly", "31 Jul 2026": None}
+    assert [r[0] for r in by_key(column(spark, list(fresh)).select("i", D.freshness(F.col("x")).alias("y")), "y")] == list(fresh.values())
+
+
+def test_verdicts(spark):
+    cases = {"": "single", "a": "single", "a,a": "unanimous", "a,b": "split", "a,a,b": "majority", "a,a,b,c,d": "majority", "a,a,b,b": "tied", "a,a,b,b,c": "tied", "a,b,c": "split"}
+    got = column(spark, list(cases)).select("i", L.verdict(F.filter(F.split("x", ","), lambda v: v != "")).alias("y"))
+    assert [r[0] for r in by_key(got, "y")] == list(cases.values())
+
+
+def test_revisit(spark):
+    heads = {"A 40% of it": 3, "a $5 deal": 3, "US$5 and": 3, "5bn more": 3, "in 2031": 3, "by 1999": 3, "nothing 7": 0}
+    got = column(spark, list(heads)).select("i", S.revisit_score(F.col("x"), F.lit("announced"), F.lit(3), F.lit(""), F.lit(False)).alias("y"))
+    assert [r[0] for r in by_key(got, "y")] == list(heads.values())
+    assert by_key(column(spark, ["by 2030"]).select("i", S.revisit_score(F.col("x"), F.lit("target"), F.lit(5), F.lit("t"), F.lit(True)).alias("y")), "y") == [(10,)]
 
 
 def test_evaluator(spark):
