@@ -32,11 +32,24 @@ def deflation_spans(spans: Column, tier: Column, denominator: Column, most: int
     return F.when(tier.isin(4, 5) & (denominator == "N"), F.slice(spans, 1, most)).otherwise(F.slice(spans, 1, 0))
 
 
+def words_in(text: Column, words: Sequence[str]) -> Column:
+    """Which of the lower-case ASCII words stand in the text, in one pass over it; empty of null."""
+    kept = F.array(*[F.lit(w) for w in sorted(set(words))])
+    return F.coalesce(F.array_intersect(F.split(F.lower(text), "[^a-z0-9]+"), kept), F.array().cast("array<string>"))
+
+
 def topic_scores(df: DataFrame, ident: str, texts: dict[str, tuple[Column, int]], rules: Sequence[tuple[str, str, int]], least: int) -> DataFrame:
     """ident, topic, score: each rule counts once for each class of text, however often it occurs there, times the class's factor; a topic needs ``least``."""
-    # One pass with a column expression for each rule, no join: the registry is small, and each text is read where it is.
-    hits = [F.when(word(text, rule), F.struct(F.lit(topic).alias("topic"), F.lit(score * factor).alias("score"))) for topic, rule, score in rules for text, factor in texts.values()]
-    found = df.select(ident, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
+    # Each text is read once for all rules that are words, or words to choose from; other patterns are tried one by one.
+    plain = {rule: rule.split("|") for _, rule, _ in rules if re.fullmatch(r"[a-z0-9|]+", rule)}
+    every = [w for ws in plain.values() for w in ws]
+    held = df.select(F.col(ident).alias("id"), *[x for i, (text, _) in enumerate(texts.values()) for x in (words_in(text, every).alias(f"hits{i}"), text.alias(f"text{i}"))])
+
+    def holds(i: int, rule: str) -> Column:
+        return F.arrays_overlap(F.col(f"hits{i}"), F.array(*map(F.lit, plain[rule]))) if rule in plain else word(F.col(f"text{i}"), rule)
+
+    hits = [F.when(holds(i, rule), F.struct(F.lit(topic).alias("topic"), F.lit(score * factor).alias("score"))) for topic, rule, score in rules for i, (_, factor) in enumerate(texts.values())]
+    found = held.select(F.col("id").alias(ident), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
     return found.groupBy(ident, F.col("h.topic").alias("topic")).agg(F.sum("h.score").cast("long").alias("score")).filter(F.col("score") >= least)
 
 
@@ -57,8 +70,14 @@ def first_mention(text: Column, forms: Sequence[tuple[str, str]]) -> Column:
 
 def mention_counts(text: Column, forms: Sequence[tuple[str, str]], limit: int = 20_000) -> Column:
     """array<struct<name, n>>: occurrences in the leading part; overlapping forms of a name count each."""
+
+    def counts(x: Column) -> Column:
+        # Words stand between two spaces each, so that what one form takes isn't missing to the next.
+        times = lambda form: ((F.length(x) - F.length(F.replace(x, F.lit(f" {form} "), F.lit("")))) / (len(form) + 2)).cast("int")
+        return F.array(*[F.struct(F.lit(name).alias("name"), times(form).alias("n")) for name, form in forms])
+
     low = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.substring(text, 1, limit)), "[^a-z0-9]+", "  "), F.lit(" "))
-    return F.array(*[F.struct(F.lit(name).alias("name"), F.regexp_count(low, F.lit(f" {form} ")).alias("n")) for name, form in forms])
+    return F.transform(F.array(low), counts)[0]
 
 
 def rated(identity: Column, patterns: Sequence[tuple[str, str]]) -> Column:
@@ -121,7 +140,9 @@ def topic_candidates(df: DataFrame, ident: str, headline: Column, tags: Column,
 
     found = []
     for spec in registry:
-        usable = {name: F.filter(texts, lambda x: ~any_of(x, spec.get("exclude", []))) for name, texts in classes.items()}  # noqa: B023
+        # One alternation of all rules first: most texts meet none of them.
+        some_rule = "|".join(f"(?:{r['regex']})" if r.get("regex") else rf"(?:(?<![a-z0-9]){re.escape(r['phrase'])}(?:s|es)?(?![a-z0-9]))" for r in spec["rules"])
+        usable = {name: F.filter(texts, lambda x: F.coalesce(x.rlike(f"(?iu){some_rule}"), F.lit(False)) & ~any_of(x, spec.get("exclude", []))) for name, texts in classes.items()}  # noqa: B023
         hits = {name: [F.exists(texts, lambda x: holds(x, rule)).cast("int") * int(rule.get("score", 1)) for rule in spec["rules"]] for name, texts in usable.items()}  # noqa: B023
         met = {name: [F.exists(texts, lambda x: holds(x, rule)) for rule in spec["rules"]] for name, texts in usable.items()}  # noqa: B023
         none = F.lit(0)

@@ -240,14 +240,21 @@ TAXONOMY = [("motion", "tion"), ("ties", "with"), ("north", "und"), ("south", "q
 
 @query("q53_trend_match", " UNION ALL ".join(f"SELECT '{c}' AS category, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE {T.word_sql('text', w)} HAVING count(*) > 0" for c, w in TAXONOMY))
 def q53(t, spark):
-    hits = F.filter(F.array(*[F.when(T.word(F.col("text"), w), c) for c, w in TAXONOMY]), lambda x: x.isNotNull())
+    met = L.words_in(F.col("text"), [w for _, w in TAXONOMY])
+    hits = F.transform(met, lambda w: F.coalesce(*[F.when(w == x, c) for c, x in TAXONOMY]))
     return t("documents").select("doc_id", F.explode(hits).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("q63_rail_trim", "SELECT doc_id, CAST(length(CASE WHEN strpos(substr(text, 401), 'the') > 0 THEN left(text, 400 + strpos(substr(text, 401), 'the') - 1) ELSE text END) AS INTEGER) AS kept_chars FROM documents")
+#: Documents as pages of two hosts, the first of which has a rail; some end in a count of comments.
+TOLD = "concat(text, CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), 'Related', chr(10), 'tail') ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN concat(chr(10), '12 Comments', chr(10), 'more') ELSE '' END)"
+
+
+@query("q63_rail_trim", f"""WITH p AS (SELECT doc_id, doc_id % 2 = 0 AS railed, {TOLD} AS x FROM documents),
+m AS (SELECT *, nullif(strpos(substr(x, 401), chr(10) || 'Related' || chr(10)), 0) AS a, CASE WHEN regexp_matches(substr(x, 401), '\n[0-9]+ Comments\n') THEN strpos(substr(x, 401), regexp_extract(substr(x, 401), '\n[0-9]+ Comments\n')) END AS b FROM p)
+SELECT doc_id, sha256(CASE WHEN least(CASE WHEN railed THEN a END, b) IS NULL THEN x ELSE rtrim(left(x, 400 + least(CASE WHEN railed THEN a END, b) - 1), ' ' || chr(10) || chr(9)) END) AS body FROM m""")
 def q63(t, spark):
-    at = F.locate("the", F.col("text"), 401)
-    return t("documents").select("doc_id", F.length(F.when(at > 0, F.substring("text", F.lit(1), at - 1)).otherwise(F.col("text"))).alias("kept_chars"))
+    host = F.when(F.col("doc_id") % 2 == 0, "a.example").otherwise("b.example")
+    return t("documents").select("doc_id", F.sha2(T.evidence_text(F.expr(TOLD), host, {"a.example": ("Related",)}), 256).alias("body"))
 
 
 @query("q66_evidence_record", f"SELECT d.doc_id, quality, sha256(coalesce(text, '')) AS content_hash, CAST(len({SENTENCES_SQL}) AS INTEGER) AS sentences FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -76,10 +76,11 @@ def bulletin(alerts: DataFrame, title: str, most: int = 50) -> str:
     return "\n".join([f"# {title}", "", "| Time | Priority | Source | Finding | Reference |", "|-|-|-|-|-|", *rows])
 
 
-def nominations(rows: DataFrame, section: str, most: int = 50) -> str:
-    """Candidates (name, reason) as a Markdown section; at most ``most`` reach the driver, and their whole number is told."""
-    shown = rows.select(cell(F.col("name")), cell(F.col("reason"))).orderBy("name", "reason").limit(most).collect()
-    return "\n".join([f"## {section} ({rows.count()})", "", *[f"- {name}: {reason}" for name, reason in shown]])
+def nominations(rows: DataFrame, section: str) -> str:
+    """All candidates (name, reason) as a Markdown section, fetched part by part."""
+    shown = rows.select(cell(F.col("name")).alias("name"), cell(F.col("reason")).alias("reason")).orderBy("name", "reason")
+    lines = [f"- {r['name']}: {r['reason']}" for r in shown.toLocalIterator()]
+    return "\n".join([f"## {section} ({len(lines)})", "", *lines])
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
@@ -87,11 +88,18 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def notifier(send: Callable[[str, str], None], most: int = 20) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: send(title, source) for urgent new duties (priority 1 or 2), the most urgent first; at most ``most`` of a batch."""
+def notifier(send: Callable[[str, str], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: send(title, source) for every urgent new duty (priority 1 or 2), the most urgent first, fetched part by part."""
 
     def run(df: DataFrame, _: int) -> None:
-        for r in df.filter("priority <= 2 and is_duty").orderBy("priority", "title").limit(most).select("title", "source").collect():
+        for r in df.filter("priority <= 2 and is_duty").orderBy("priority", "title").select("title", "source").toLocalIterator():
             send(r["title"], r["source"])
 
     return run
+
+
+def merged_history(history: DataFrame, quotes: DataFrame, most: int = 400) -> DataFrame:
+    """date, symbol, price: the history with today's quotes in place of what it had of their date and symbol, stale quotes left out; the last ``most`` dates."""
+    fresh = quotes.filter("not coalesce(stale, false)").select("date", "symbol", "price")
+    kept = history.select("date", "symbol", "price").join(fresh, ["date", "symbol"], "left_anti")
+    return keep_last_dates(kept.unionByName(fresh), "date", most)
