@@ -60,8 +60,8 @@ class Net:
 def chunked(column: pa.Array, p: NetParams) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and how many chunks each has.
 
-    Each text is followed by p.width - 1 zeros or more, up to the next step, so no window sees two texts. Chunks of one
-    text overlap by p.width - 1 bytes and cover the whole of it.
+    Each text stands behind p.width - 1 zeros and is followed by zeros up to the next step, so that no window of a text,
+    not even its last, reaches a byte of the next. Chunks of one text overlap by p.width - 1 bytes and cover the whole of it.
     """
     data, offsets = text_bytes(column)
     size = np.diff(offsets)
@@ -69,7 +69,7 @@ def chunked(column: pa.Array, p: NetParams) -> tuple[np.ndarray, np.ndarray]:
     chunks = np.where(size > 0, -(-(size + p.width - 1) // step), 0)
     to = np.concatenate([[0], np.cumsum(chunks * step)])
     padded = np.zeros(to[-1] + p.width - 1, np.uint8)
-    padded[np.arange(len(data)) + np.repeat(to[:-1] - offsets[:-1], size)] = data
+    padded[np.arange(len(data)) + np.repeat(to[:-1] - offsets[:-1], size) + p.width - 1] = data
     return padded, chunks
 
 
