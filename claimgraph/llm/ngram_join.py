@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     sets = cut(kept.join(first, [*key, "id"], "left_semi").select("id", "n", "grams").dropDuplicates(["id"]))
     labels = links(sets, p)
     named = classes.withColumn("label", F.col("id")) if labels is None else classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = named.filter("copies > 1 or label != id").select(*key, "label")
+    named = cut(named.filter("copies > 1 or label != id").select(*key, "label"))  # of known size: small, it is broadcast
     return rows.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
