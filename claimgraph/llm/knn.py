@@ -208,7 +208,7 @@ def dealt(vectors: DataFrame, queries: DataFrame, p: KnnParams) -> tuple[DataFra
     picked = usable.filter(dealt_out < min(1.0, p.sample / n)).select("vec_id", "v").toPandas().sort_values(["vec_id", "v"], kind="stable")
     if not len(picked):
         picked = usable.select("vec_id", "v").orderBy("vec_id", "v").limit(p.sample).toPandas()
-    pivots = choose_pivots(lifted(stack([np.frombuffer(b, np.float64) for b in picked.v]), d, most), int(min(p.most_pivots, max(8, n**0.5 / 4))))
+    pivots = choose_pivots(lifted(stack([np.frombuffer(b, np.float64) for b in picked.v]), d, most), int(min(p.most_pivots, max(16, n**0.5 / 2))))
 
     def assign(blob: str, ident: str, largest: float | None):
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
