@@ -119,7 +119,7 @@ def money(value: Column, prefix: str = "$", places: int = 2) -> Column:
 
 def signed_percent(change: Column) -> Column:
     """+1.20% or -0.50%; '' without a change."""
-    return F.coalesce(F.format_string("%+.2f%%", change), F.lit(""))
+    return F.when(change.isNotNull(), F.format_string("%+.2f%%", change)).otherwise("")
 
 
 def clock_text(stamp: Column) -> Column:

@@ -34,12 +34,15 @@ def q21(t, spark):
     return t("part").select("p_partkey", F.when(F.col("p_brand") == "Brand#11", "Eleven").otherwise(named).alias("entity"))
 
 
-@query("q58_write_if_changed", "SELECT true AS first_write, false AS second_write")
+@query("q58_write_if_changed", "SELECT unnest([1, 2, 3]) AS step, unnest([true, false, true]) AS wrote, unnest([(SELECT sum(n_nationkey) FROM nation), (SELECT sum(n_nationkey) FROM nation), (SELECT sum(n_nationkey) FROM nation WHERE n_regionkey <> 1)])::BIGINT AS held")
 def q58(t, spark):
     at = f"{shared_folder(spark)}/unchanged-{uuid.uuid4().hex}"
     rows = t("nation").withColumn("generated", F.current_timestamp())
-    first, second = sinks.write_if_changed(rows, at), sinks.write_if_changed(rows, at)
-    return spark.range(1).select(F.lit(first).alias("first_write"), F.lit(second).alias("second_write"))
+    steps = []
+    for i, now in enumerate((rows, rows.orderBy(F.desc("n_name")), rows.filter("n_regionkey <> 1")), 1):
+        wrote = sinks.write_if_changed(now, at)
+        steps.append((i, wrote, spark.read.parquet(at).agg(F.sum("n_nationkey")).first()[0]))
+    return spark.createDataFrame(steps, "step int, wrote boolean, held long")
 
 
 @query("q62_effective_date", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 2 THEN DATE '1990-01-01' ELSE CAST(o_orderdate AS DATE) END AS VARCHAR) AS day FROM orders")

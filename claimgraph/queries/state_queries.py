@@ -152,11 +152,12 @@ def q42(t, spark):
     return claims(t).groupBy(D.day_bucket(F.col("days")).alias("heading")).agg(F.count(ONE).alias("n"))
 
 
-@query("q43_date_formats", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+@query("q43_date_formats", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 8 THEN NULL ELSE CAST(CASE WHEN o_orderkey % 9 = 6 THEN date_trunc('month', o_orderdate) WHEN o_orderkey % 9 = 3 THEN o_orderdate + INTERVAL 5 HOUR ELSE o_orderdate END AS VARCHAR) END AS at FROM orders")
 def q43(t, spark):
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
-    told = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "MMMM d, yyyy")).when(k == 2, F.concat(F.date_format(d, "EEE, d MMM yyyy"), F.lit(" 00:00:00 +0000"))).when(k == 3, F.date_format(d, "d MMM yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"))
-    return t("orders").select("o_orderkey", D.parse_date(told).cast("date").cast("string").alias("day"))
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 9
+    forms = ["yyyy-MM-dd", "MMMM d, yyyy", "EEE, d MMM yyyy HH:mm:ss 'GMT'", "d MMM yyyy HH:mm:ss 'EST'", "d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM", "yyyy-MM-dd HH:mm"]
+    told = F.coalesce(*[F.when(k == i, F.date_format(d, f)) for i, f in enumerate(forms)], F.lit("some day"))
+    return t("orders").select("o_orderkey", F.date_format(D.parse_date(told), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("q45_reconcile", "SELECT status, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM part), 2) AS pct FROM (SELECT CASE WHEN p_brand IN ('Brand#11', 'Brand#22') THEN 'filing' WHEN contains(lower(p_name), 'a') OR contains('a', lower(p_name)) THEN 'mapped' WHEN p_size > 25 THEN 'private' ELSE 'unclassified' END AS status FROM part) GROUP BY status")

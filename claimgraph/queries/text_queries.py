@@ -100,10 +100,11 @@ def q09(t, spark):
     return t("documents").select("doc_id", F.inline(T.sentence_spans(F.col("text"))))
 
 
-@query("q10_span_verify", "SELECT doc_id, CAST(0 AS BIGINT) AS mismatched FROM documents")
+@query("q10_span_verify", f"SELECT doc_id, CAST(n AS BIGINT) AS total, CAST(CASE WHEN doc_id % 7 = 0 AND doc_id % 11 <> 0 THEN n ELSE 0 END AS BIGINT) AS mismatched, CAST(CASE WHEN doc_id % 11 = 0 THEN n ELSE 0 END AS BIGINT) AS missing FROM (SELECT doc_id, len({SENTENCES_SQL}) AS n FROM documents)")
 def q10(t, spark):
-    spans = F.filter(T.sentence_spans(F.col("text")), lambda x: F.substring(F.col("text"), x["s"] + 1, F.length(x["sentence"])) != x["sentence"])
-    return t("documents").select("doc_id", F.size(spans).cast("long").alias("mismatched"))
+    # Of some documents the text has moved by a character, or is gone.
+    now = F.when(F.col("doc_id") % 11 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("\u00a7"), F.col("text"))).otherwise(F.col("text"))
+    return t("documents").select("doc_id", T.span_check(T.sentence_spans(F.col("text")), now).alias("c")).select("doc_id", "c.*")
 
 
 #: The tables hold no prose with figures; orders tell some.

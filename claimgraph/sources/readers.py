@@ -34,7 +34,7 @@ def json_block(text: Column) -> Column:
 def documents(spark, path: str, schema: str, lines: bool = True, text: bool = False) -> DataFrame:
     """A JSON or JSON-lines store, or (text) a whole file as one value; an absent one is empty."""
     try:
-        return spark.read.option("wholetext", True).text(path) if text else spark.read.schema(schema).option("multiLine", not lines).json(path)
+        return spark.read.text(path, wholetext=True) if text else spark.read.schema(schema).option("multiLine", not lines).json(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -1,5 +1,6 @@
 """Functions and operators that no SQL covers, against Python's own or brute force."""
 
+import hashlib
 import html
 import re
 
@@ -7,11 +8,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimgraph.functions import dates as D
+from claimgraph.functions import html as H
 from claimgraph.functions import text as T
+from claimgraph.functions import urls as U
 from claimgraph.operators import evaluate as E
+from claimgraph.operators import evidence as E2
+from claimgraph.operators import packing, reports
 from claimgraph.operators import rules as L
 from claimgraph.operators import state as S
-from claimgraph.sources import adapters, sinks
+from claimgraph.sources import adapters, readers, sinks
+from claimgraph.sources import catalogues as C
 
 
 def column(spark, values):
@@ -213,3 +219,82 @@ def test_sinks(spark, tmp_path):
         write(alerts, number)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
     assert sinks.nominations(alerts.select(F.col("title").alias("name"), F.lit("r|s").alias("reason")), "Due").split("\n") == ["## Due (3)", "", "- one: r/s", "- three: r/s", "- two: r/s"]
+
+
+def test_packing(spark):
+    rows = spark.createDataFrame([(i, (i * 37) % 900 + 1) for i in range(500)] + [(500, 5000)], "id long, n long").repartition(5)
+    batches = {}
+    for r in packing.pack(rows, "id", "n", 8, 2000).collect():
+        batches.setdefault(r.batch, []).append(r.n)
+    assert sum(map(len, batches.values())) == 501
+    assert all(len(x) <= 8 and (sum(x) <= 2000 or len(x) == 1) for x in batches.values())
+    # Greedy: within a partition, a batch is closed only when the next row doesn't fit.
+    assert len(batches) < 501 / 3
+
+
+def test_urls(spark):
+    urls = {"https://www.a.example:80/x": "a.example:80", "http://www.b.www.example": "b.example", "no url": "no url", None: ""}
+    assert [r[0] for r in by_key(column(spark, list(urls)).select("i", U.domain(F.col("x")).alias("y")), "y")] == list(urls.values())
+    same = {
+        "https://www.youtube.com/watch?v=Ab1&t=9": "https://youtube.com/watch?v=Ab1", "https://youtu.be/Ab1": "https://youtube.com/watch?v=Ab1", "https://m.youtube.com/shorts/Ab1": "https://youtube.com/watch?v=Ab1",
+        "https://user@WWW.a.example:8080/Path//?b=2&a=&utm_source=x&source=s#top": "https://a.example/Path?a=&b=2&source=s", " no scheme ": "no scheme", "http://a.example": "http://a.example/",
+    }
+    assert [r[0] for r in by_key(column(spark, list(same)).select("i", U.canonical_url(F.col("x")).alias("y")), "y")] == list(same.values())
+    kinds = {"https://www.arxiv.org/abs/1": ("arXiv paper", "arXiv 1"), "https://doi.org/10.1/x": ("DOI record", "DOI 10.1/x"), "https://a.gov.uk/": ("official record", "a.gov.uk"), "https://a.example/" + "p" * 90: ("primary source", "a.example/" + "p" * 65 + "...")}
+    assert by_key(column(spark, list(kinds)).select("i", H.primary_kind(F.col("x")).alias("k"), H.primary_label(F.col("x")).alias("l")), "k", "l") == list(kinds.values())
+
+
+def test_entities(spark):
+    names = {"Acme": True, "x": False, "": False, None: False, "researchers": False, "AI startups": False, "acme.example": False, "Acme Inc. of B": True, "N/A": False}
+    assert [r[0] for r in by_key(column(spark, list(names)).select("i", E2.usable_entity(F.col("x")).alias("y")), "y")] == list(names.values())
+    tags = [(["AI", "ab", "Exclusive", " Chip tariffs "], "Chip tariffs"), (["news"], ""), (None, "")]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(tags)], "i int, x array<string>")
+    assert [r[0] for r in by_key(df.select("i", E2.publisher_topic(F.col("x")).alias("y")), "y")] == [w for _, w in tags]
+    spans = ["He said 5%", "It is 7%"]
+    one = spark.createDataFrame([(0, spans)], "i int, x array<string>").select(E2.named_source_figures(F.col("x")).alias("y")).first().y
+    assert (one.total, one.with_named_source) == (2, 1)
+    assert [(r.basis, r.n) for r in E2.basis_histogram(spark.createDataFrame([("a (x)",), ("a (y)",), ("b",)], "s string"), "s").collect()] == [("a", 2), ("b", 1)]
+
+
+def test_evidence_hash(spark):
+    rows = spark.createDataFrame([(0, "c", [("a",), ("b",)]), (1, "c", [("a",)]), (2, "c", [("a",), ("b",)]), (3, "d", [("a",)])], "i int, c string, s array<struct<sentence:string>>")
+    got = [r[0] for r in by_key(rows.select("i", T.evidence_hash(F.col("c"), F.col("s")).alias("h")), "h")]
+    assert got[0] == got[2] and len(set(got)) == 3
+
+
+def test_reports(spark):
+    alerts = spark.createDataFrame([(1, True), (2, False), (2, True), (5, False)], "priority int, is_duty boolean")
+    assert tuple(reports.urgent_counts(alerts).first()) == (4, 1, 2, 2)
+    tiers = spark.createDataFrame([(0, [(3,), (1,)]), (1, []), (2, None)], "i int, s array<struct<source_tier:int>>").select("i", reports.tier_range(F.col("s")).alias("t")).select("i", "t.*")
+    assert by_key(tiers, "min_tier", "max_tier") == [(1, 3), (None, None), (None, None)]
+    named = spark.createDataFrame([(1, 2, "b", 4), (1, 1, "a", 4), (1, 3, "b", 2)], "item int, place int, name string, tier int")
+    assert tuple(reports.ordered_sources(named, "item", "place").first()) == (1, ["a", "b"], [2, 4])
+    assert sorted(r[0] for r in reports.symbols(spark.createDataFrame([("A",), ("",)], "symbol string"), spark.createDataFrame([("A",), ("B",)], "symbol string")).collect()) == ["A", "B"]
+    assert reports.with_status(spark.createDataFrame([("x",), ("y",)], "status string"), "x").count() == 1
+    shown = spark.range(1).select(reports.money(F.lit(1234.5)), reports.signed_percent(F.lit(1.2)), reports.signed_percent(F.lit(None).cast("double")), reports.clock_text(F.lit("2024-01-02T03 That")), C.lab_name(F.lit("some-lab"), {"x": "X"}), C.lab_name(F.lit("X"), {"x": "Ex"})).first()
+    assert tuple(shown) == ("$1,234.50", "+1.20%", "", "2024-01-02 03 That", "Some Lab", "Ex")
+    chips = spark.createDataFrame([("", True, "T", "", 1.0), ("A", False, None, None, None), ("A", True, None, "far", None), ("A", True, None, None, None), ("A", True, "T", None, None), ("A", True, "T", None, 1.0)], "e string, k boolean, t string, u string, q double")
+    assert [r[0] for r in chips.select(reports.market_chip(*[F.col(c) for c in "ektuq"])).collect()] == ["", "", "listed, not covered here", "no listed security", "", "quote"]
+    days = spark.createDataFrame([(1, "Today"), (2, "Today"), (3, "Older"), (4, None), (5, None)], "i int, b string")
+    assert [r[0] for r in by_key(days.select("i", D.opens_bucket(F.col("b"), F.col("i")).alias("y")), "y")] == [True, False, True, True, False]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "x_monitor").mkdir()
+    (tmp_path / "x_monitor" / "clauses.csv").write_text("a")
+    (tmp_path / "x_monitor" / "other.csv").write_text("b")
+    assert [tuple(r) for r in C.file_hashes(spark, str(tmp_path), ["clauses.csv"]).collect()] == [("x_monitor/clauses.csv", hashlib.sha256(b"a").hexdigest())]
+    (tmp_path / "map.json").write_text('{"u1": {"a": 1},\n "u2": {"a": 2}}')
+    assert sorted((r.key, r.value.a) for r in C.json_map(spark, str(tmp_path / "map.json"), "struct<a:int>").collect()) == [("u1", 1), ("u2", 2)]
+    assert C.json_map(spark, str(tmp_path / "none.json"), "struct<a:int>").count() == 0
+    assert {(r.key, r.value.tier) for r in C.registry(spark, '{"source_types": {"press": {"tier": 5}}}', "source_types", "struct<tier:int>").collect()} == {("press", 5)}
+    assert readers.documents(spark, str(tmp_path / "none.jsonl"), "a int").count() == 0
+    sinks.append_lines(spark.range(2), str(tmp_path / "log"))
+    sinks.append_lines(spark.range(1), str(tmp_path / "log"))
+    assert readers.documents(spark, str(tmp_path / "log"), "id long").count() == 3
+    news = "<rss><channel>" + "".join(f"<item><title>t{i}</title><link>l</link><pubDate>Fri, 31 Jul 2026 10:00:00 GMT</pubDate><source url='u'>S</source></item>" for i in range(5)) + "</channel></rss>"
+    rows = column(spark, [news]).select(F.inline(C.category_news(F.col("x")))).collect()
+    assert [(r.title, r.pub_date) for r in rows] == [(f"t{i}", "Fri, 31 Jul 2026") for i in range(3)]
+    answers = spark.createDataFrame([("a-b", "[" + ",".join(f'{{"id": "a-b/m{i}", "createdAt": "2026-07-0{i + 1}T00:00:00Z"}}' for i in range(7)) + "]"), ("down", "<html>")], "org string, body string")
+    got = C.org_releases(answers, F.lit("2026-07-04").cast("timestamp"), {}).collect()
+    assert sorted((r.model or "", r.lab or "", r.error or "") for r in got) == [("", "", "no list"), *[(f"m{i}", "A B", "") for i in (3, 4, 5, 6)]]
