@@ -29,6 +29,8 @@ from claimgraph.llm.common import BYTE_HASH, MULT, MULT_INV, U, batches, blocks_
 
 BITS = 40
 PLACE = U((1 << 20) - 1)
+#: What tells an anchor's hash, as it is dealt, from the one by which it was picked.
+SPREAD = U(0x94D049BB133111EB)
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,8 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, p: SuffixParams):
             own = anchor[start]
             new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(start) != 1)]))
             first, last = start[new], start[np.append(new[1:], len(start)) - 1]
-            parts.append((first + lo, last + lo, h[own[new]], range_hash(prefix, first, last + p.length)))
+            # Anchors have the smallest hashes around, so those are spread anew: dealt by ranges as they are, the lowest range would hold most.
+            parts.append((first + lo, last + lo, mix(h[own[new]] ^ SPREAD), range_hash(prefix, first, last + p.length)))
     if not parts:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
