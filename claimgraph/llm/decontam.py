@@ -135,6 +135,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, most_broadcast: int = MOST_
     return rows.select("row.*", "n_words", F.coalesce("hits", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("hits").isNotNull().alias("contaminated"))
 
 
+def clean(docs: DataFrame, bench: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """The rows of ``docs`` that repeat no window of an item, all columns as they are, whatever their names; judged as by ``decontaminate``."""
+    hit = stored(judged(docs.select("text"), bench, most_broadcast).select("t"))
+    return docs.select(text_key(), whole(docs).alias("row")).join(hit, "t", "left_anti").select("row.*")
+
+
 def op10(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The columns of the contract."""
     done = stored(judged(docs.select("text"), bench))

@@ -2,7 +2,7 @@
 
 Exact patterns give the base spans, which always stay. Looser patterns give further candidates, on which labelers
 (format, checks, gazetteer, context) vote for, against or not at all. Expectation-maximisation over the counts of
-the vote patterns estimates how reliable each labeler is; a naive-Bayes span classifier is then fitted to the soft
+the vote patterns estimates how reliable each labeler is; a logistic span classifier is then fitted to the soft
 labels, and adds the candidates that it accepts.
 """
 
