@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgraph.llm import decontam, langid, mixing, ngram_join, pii
-from claimgraph.llm.common import cut
+from claimgraph.llm.common import cut, quoted, whole
 from claimgraph.storage import shared_folder
 
 
@@ -27,21 +27,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows and rows without an id are copies like others. Rows of one id with other texts are documents of their
     own. Null and blank texts are in no group, but rows that repeat an id and its text leave one. An empty table gives an empty one.
     """
-    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 or doc_id is null")
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("repeated"))
     if odd.isEmpty():
         groups = ngram_join.near_duplicates(docs)
         gone = groups.filter("component_id <> doc_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(gone, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
     # Rows that their id doesn't tell apart are named by a digest of id and text.
+    rows = docs.select("doc_id", "text", whole(docs).alias("row"))
     alone = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    repeated = odd.filter("doc_id is not null").select(F.col("doc_id").alias("__odd"))
-    marked = docs.filter(~alone).join(repeated, F.col("doc_id") == F.col("__odd"), "left")
-    rows = marked.select(F.when(F.col("doc_id").isNull() | F.col("__odd").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("__row"), F.struct(*docs.columns).alias("__doc"), F.xxhash64(*docs.columns).alias("__order"))
-    one = cut(rows.groupBy("__row").agg(F.min_by("__doc", "__order").alias("__doc")))
-    groups = ngram_join.near_duplicates(one.select(F.col("__row").alias("doc_id"), F.col("__doc.text").alias("text"))).select(F.col("doc_id").alias("__row"), "component_id")
-    ids = one.select("__row", F.col("__doc.doc_id").alias("doc_id")).join(groups, "__row")
-    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("b")).select(F.col("b.__row").alias("__row"))
-    return one.join(best, "__row", "left_semi").select("__doc.*").select(docs.columns).unionByName(docs.filter(alone))
+    marked = rows.filter(~alone).join(odd.filter("repeated is not null"), F.col("doc_id") == F.col("repeated"), "left")
+    name = F.when(F.col("doc_id").isNull() | F.col("repeated").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    one = cut(marked.groupBy(name.alias("name")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")))
+    groups = ngram_join.near_duplicates(one.select(F.col("name").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("name"), "component_id")
+    ids = one.select("name", F.col("row.doc_id").alias("doc_id")).join(groups, "name")
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("b")).select(F.col("b.name").alias("name"))
+    return one.join(best, "name", "left_semi").select("row.*").unionByName(rows.filter(alone).select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     stay, as they repeat nothing. With an empty benchmark all stay; an empty table gives an empty one.
     """
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.decontaminate(docs, bench).filter("not contaminated").select(docs.columns)
+    return decontam.clean(docs, bench)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
