@@ -5,8 +5,11 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_brute_force import lower_words
+from tests.llm.test_edges import CLASHES
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +38,21 @@ def test_one_row_of_a_group(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, plain, "").collect()) == [3, 8, 9]
 
 
+def test_stages_keep_any_column(spark):
+    """All stages but the last return the columns as they came, whatever their names and types."""
+    extra = {**{c: F.lit(f"is {c}") for c in [*CLASHES, "repeated", "name", "__n", "__odd", "__row", "__doc", "__order", "t"]}, "a map": F.create_map(F.lit("k"), F.lit(1))}
+    for rows in (EDGES, [x for x in EDGES if x[0] in (3, 9)]):
+        docs = spark.createDataFrame(rows, COLUMNS).select("*", *[v.alias(c) for c, v in extra.items()])
+        for name, stage in corpus_pipeline.STAGES:
+            done = stage(spark, docs, SF)
+            if name == "mixing":
+                assert {"copy_no", "shuffle_key"} < set(done.columns) and done.count() >= 0
+                continue
+            assert done.columns == docs.columns, name
+            got = done.collect()
+            assert got and all(r[c] == (f"is {c}" if c != "a map" else {"k": 1}) for r in got for c in extra), name
+
+
 def shingled(text):
     ws = lower_words(text or "")
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
