@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,6 +80,26 @@ def mention_counts(text: Column, forms: Sequence[tuple[str, str]], limit: int =
     return F.transform(F.array(low), counts)[0]
 
 
+def mentions(text: Column, host: Column, registry: Mapping[str, Sequence[str]], most: int = 6, limit: int = 20_000) -> Column:
+    """array<struct<name, count>>: how often the forms of each name stand as words in the leading part, in any case.
+
+    Overlapping forms count each. A publisher is no mention in its own text: a name is left out if one of its forms, without
+    spaces, is in the host. The ``most`` frequent stay, of equal ones those that the registry has first. A regular
+    expression reads only texts that hold its form.
+    """
+
+    def counted(x: Column) -> Column:
+        low = F.lower(x)
+        times = lambda form: F.when(F.contains(low, F.lit(form.lower())), F.regexp_count(x, F.lit(rf"(?iU)\b{re.escape(form)}\b"))).otherwise(0)
+        own = lambda forms: F.coalesce(F.greatest(*[F.contains(F.lower(host), F.lit(f.lower().replace(" ", ""))) for f in forms], F.lit(False)), F.lit(False))
+        n = lambda forms: F.when(own(forms), 0).otherwise(sum([times(f) for f in forms], F.lit(0)))
+        each = F.array(*[F.struct((-n(forms)).alias("less"), F.lit(i).alias("place"), F.lit(name).alias("name")) for i, (name, forms) in enumerate(registry.items())])
+        return F.slice(F.array_sort(F.filter(each, lambda m: m["less"] < 0)), 1, most)
+
+    found = F.transform(F.array(F.substring(F.coalesce(text, F.lit("")), 1, limit)), counted)[0]
+    return F.transform(found, lambda m: F.struct(m["name"].alias("name"), (-m["less"]).cast("long").alias("count")))
+
+
 def rated(identity: Column, patterns: Sequence[tuple[str, str]]) -> Column:
     """blocked, caution, trusted or ok, in this precedence."""
     has = lambda kind: F.coalesce(*[F.when(identity.contains(p), True) for k, p in patterns if k == kind], F.lit(False))
