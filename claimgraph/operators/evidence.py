@@ -44,8 +44,8 @@ def attribution(sentences: Column, forms: Column, least: int = 30) -> Column:
 
     told = F.filter(sentences, lambda s: (F.length(s) >= least) & s.rlike(T.ANY_CASE + ATTRIB))
     sorts = F.transform(told, lambda s: F.struct(kind(s).alias("kind"), s.alias("s")))
-    of = lambda k: F.transform(F.filter(sorts, lambda x: x["kind"] == k), lambda x: x["s"]).alias(k)
-    return F.struct(of("to_subject"), of("to_others"), of("unnamed"))
+    of = lambda every, k: F.transform(F.filter(every, lambda x: x["kind"] == k), lambda x: x["s"]).alias(k)
+    return F.transform(F.array(sorts), lambda every: F.struct(of(every, "to_subject"), of(every, "to_others"), of(every, "unnamed")))[0]
 
 
 def within(host: Column, domains: Sequence[str]) -> Column:

@@ -60,6 +60,15 @@ def anchors(scores: DataFrame, ident: str) -> DataFrame:
     return ranked.filter((F.col("r") == 1) & (F.col("next").isNull() | (F.col("score") > F.col("next")))).select(ident, "topic", "score")
 
 
+#: A character that stands for one side of an edge of a word.
+EDGE = "\x01"
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with ``value`` worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def first_mention(text: Column, forms: Sequence[tuple[str, str]]) -> Column:
     """The name whose form stands first in the text; of equal places the longest form, then the name."""
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
@@ -84,19 +93,24 @@ def mentions(text: Column, host: Column, registry: Mapping[str, Sequence[str]],
     """array<struct<name, count>>: how often the forms of each name stand as words in the leading part, in any case.
 
     Overlapping forms count each. A publisher is no mention in its own text: a name is left out if one of its forms, without
-    spaces, is in the host. The ``most`` frequent stay, of equal ones those that the registry has first. A regular
-    expression reads only texts that hold its form.
+    spaces, is in the host. The ``most`` frequent stay, of equal ones those that the registry has first. Each edge of a
+    word is marked on either side in one pass, so that forms are counted as plain strings.
     """
 
-    def counted(x: Column) -> Column:
-        low = F.lower(x)
-        times = lambda form: F.when(F.contains(low, F.lit(form.lower())), F.regexp_count(x, F.lit(rf"(?iU)\b{re.escape(form)}\b"))).otherwise(0)
-        own = lambda forms: F.coalesce(F.greatest(*[F.contains(F.lower(host), F.lit(f.lower().replace(" ", ""))) for f in forms], F.lit(False)), F.lit(False))
+    def marked(form: str) -> str:
+        return re.sub(r"\b", EDGE * 2, form.lower())[1:-1]
+
+    def counted(read: Column) -> Column:
+        x, site = read["text"], read["host"]
+        times = lambda form: F.floor((F.length(x) - F.length(F.replace(x, F.lit(marked(form)), F.lit("")))) / len(marked(form))).cast("int")
+        own = lambda forms: F.coalesce(reduce(lambda p, q: p | q, [F.contains(site, F.lit(f.lower().replace(" ", ""))) for f in forms]), F.lit(False))
         n = lambda forms: F.when(own(forms), 0).otherwise(sum([times(f) for f in forms], F.lit(0)))
-        each = F.array(*[F.struct((-n(forms)).alias("less"), F.lit(i).alias("place"), F.lit(name).alias("name")) for i, (name, forms) in enumerate(registry.items())])
+        each = F.array(*[F.struct((-n(forms)).alias("less"), F.lit(i).alias("place"), F.lit(name).alias("name")) for i, (name, forms) in enumerate(registry.items()) if forms])
         return F.slice(F.array_sort(F.filter(each, lambda m: m["less"] < 0)), 1, most)
 
-    found = F.transform(F.array(F.substring(F.coalesce(text, F.lit("")), 1, limit)), counted)[0]
+    lead = F.replace(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, limit)), F.lit(EDGE), F.lit(" "))
+    edged = F.regexp_replace(lead, r"(?U)\w+", f"{EDGE * 2}$0{EDGE * 2}")
+    found = bound(F.struct(edged.alias("text"), F.lower(host).alias("host")), counted)
     return F.transform(found, lambda m: F.struct(m["name"].alias("name"), (-m["less"]).cast("long").alias("count")))
 
 
@@ -140,6 +154,20 @@ def phrase(text: Column, words: str) -> Column:
     return text.rlike(rf"(?iu)(?<![a-z0-9]){re.escape(words)}(?:s|es)?(?![a-z0-9])")
 
 
+def judged_topic(met: Column, spec: dict, barred: Column) -> Column:
+    """struct<topic, score, on_headline, can_anchor>, or null, of which rules hold by class (arrays in the rules' order; null if none does)."""
+    some = lambda name: F.coalesce(F.exists(met[name], lambda x: x), F.lit(False))
+    points = lambda name: sum([F.when(F.get(met[name], F.lit(i)), int(r.get("score", 1))).otherwise(0) for i, r in enumerate(spec["rules"])], F.lit(0))
+
+    def said(score: Column) -> Column:
+        least = spec.get("anchor_min_score") if spec.get("anchors") else None
+        anchor = (score >= least) & some("headline") if least is not None else F.lit(False)
+        fits = (score >= int(spec.get("topic_min_score", 2))) & (some("headline") | some("tag")) & ~barred
+        return F.when(fits, F.struct(F.lit(spec["topic"]).alias("topic"), score.cast("long").alias("score"), some("headline").alias("on_headline"), anchor.alias("can_anchor")))
+
+    return bound(points("headline") * 2 + points("tag") + points("sentence"), said)
+
+
 def topic_candidates(df: DataFrame, ident: str, headline: Column, tags: Column, sentences: Column, registry: Sequence[dict]) -> DataFrame:
     """ident, topic, score, on_headline, can_anchor: the topics of each item, from a headline and arrays of publisher tags and sentences.
 
@@ -162,16 +190,11 @@ def topic_candidates(df: DataFrame, ident: str, headline: Column, tags: Column,
     for spec in registry:
         # One alternation of all rules first: most texts meet none of them.
         some_rule = "|".join(f"(?:{r['regex']})" if r.get("regex") else rf"(?:(?<![a-z0-9]){re.escape(r['phrase'])}(?:s|es)?(?![a-z0-9]))" for r in spec["rules"])
-        usable = {name: F.filter(texts, lambda x: F.coalesce(x.rlike(f"(?iu){some_rule}"), F.lit(False)) & ~any_of(x, spec.get("exclude", []))) for name, texts in classes.items()}  # noqa: B023
-        hits = {name: [F.exists(texts, lambda x: holds(x, rule)).cast("int") * int(rule.get("score", 1)) for rule in spec["rules"]] for name, texts in usable.items()}  # noqa: B023
-        met = {name: [F.exists(texts, lambda x: holds(x, rule)) for rule in spec["rules"]] for name, texts in usable.items()}  # noqa: B023
-        none = F.lit(0)
-        score = sum(hits["headline"], none) * 2 + sum(hits["tag"], none) + sum(hits["sentence"], none)
-        some = lambda names: reduce(lambda a, b: a | b, [m for n in names for m in met[n]], F.lit(False))  # noqa: B023, E731
-        least = spec.get("anchor_min_score") if spec.get("anchors") else None
-        anchor = (score >= least) & some(["headline"]) if least is not None else F.lit(False)
-        fits = (score >= int(spec.get("topic_min_score", 2))) & some(["headline", "tag"]) & ~any_of(classes["headline"][0], spec.get("headline_exclude", []))
-        found.append(F.when(fits, F.struct(F.lit(spec["topic"]).alias("topic"), score.cast("long").alias("score"), some(["headline"]).alias("on_headline"), anchor.alias("can_anchor"))))
+        fit_to_say = lambda texts: F.filter(texts, lambda x: F.coalesce(x.rlike(f"(?iu){some_rule}"), F.lit(False)) & ~any_of(x, spec.get("exclude", [])))  # noqa: B023, E731
+        # For each class of evidence, which rules hold: worked out once, however often the score is asked for.
+        met = F.struct(*[bound(fit_to_say(texts), lambda u: F.when(F.size(u) > 0, F.array(*[F.exists(u, lambda x: holds(x, rule)) for rule in spec["rules"]]))).alias(name) for name, texts in classes.items()])  # noqa: B023
+        barred = any_of(classes["headline"][0], spec.get("headline_exclude", []))
+        found.append(bound(met, lambda m: judged_topic(m, spec, barred)))  # noqa: B023
     return df.select(ident, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
