@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import decontam, knn, langid, lm, mixing, ngram_join, pii, quality, suffix, tokens
+from claimgraph.llm import decontam, knn, langid, lm, mixing, ngram_join, pii, quality, suffix, tokens, upsert
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_langid": lambda spark, d: langid.op8(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: quality.op9(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_decontam": lambda spark, d: decontam.op10(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op11_upsert": lambda spark, d: upsert.op11(table(spark, d, "clients"), table(spark, d, "client_changes")),
 }
 
 ORACLES = {
