@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import decontam, knn, langid, lm, mixing, ngram_join, pii, quality, repair, suffix, tokens, upsert
+from claimgraph.llm import chat, decontam, knn, langid, lm, mixing, ngram_join, pii, quality, repair, suffix, tokens, upsert
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_quality": lambda spark, d: quality.op9(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_decontam": lambda spark, d: decontam.op10(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op11_upsert": lambda spark, d: upsert.op11(table(spark, d, "clients"), table(spark, d, "client_changes")),
+    "op12_chat": lambda spark, d: chat.op12(table(spark, d, "conversations")),
     "op13_repair": lambda spark, d: repair.op13(table(spark, d, "conversations")),
 }
 
