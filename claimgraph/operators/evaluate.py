@@ -18,6 +18,11 @@ QUANTITY = r"\b[0-9]+(\.[0-9]+)?%|\$[0-9]+"
 FINDING = "struct<is_duty:boolean,duty_type:string,reference:string,quantity:boolean,denominator:string,priority:int>"
 
 
+def priority(score: Column, base: Column) -> Column:
+    """The evaluated score, 1 being the most urgent; the source's base where there is none or it is 0. Not the lesser of both: a source of base 1 would make all it says urgent."""
+    return F.coalesce(F.nullif(score, F.lit(0)), base).cast("int")
+
+
 class Evaluator(Protocol):
     """Whatever answers a prompt; sent to the executors, so it must pickle and open its own connections there."""
 
