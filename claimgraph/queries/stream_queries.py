@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.operators import evaluate as E
 from claimgraph.queries.common import query
+from claimgraph.sources import web
 from claimgraph.storage import shared_folder
 from claimgraph.streaming import ledger, sweep
 from claimgraph.streaming.first_seen import first_seen, seen_times, state_store
@@ -46,3 +47,33 @@ def q99(t, spark):
     items = notices.select("client_id", "status", "sold_at", "title", "summary", F.lit("Gazette").alias("source"), F.lit(None).cast("string").alias("jurisdiction"), F.lit(None).cast("string").alias("url"), F.lit(1).alias("base"))
     ledger.sweep(items, sweep.digest(F.col("client_id").cast("string"), "status"), F.col("sold_at"), ledger.alert_rows, book).awaitTermination()
     return book.alerts().select("hash", "source", "title", "priority", "is_duty")
+
+
+class Gone(Exception):
+    """An answer of a server that has nothing."""
+
+    def __init__(self, code: int):
+        super().__init__(code)
+        self.code = code
+
+
+def stand_in(url: str) -> tuple[str, bytes]:
+    """The network, as far as the query goes: hosts of example.org are down, those beginning with m. forbid /en/, and files named .html are no HTML."""
+    host, _, path = url.partition("://")[2].partition("/")
+    if host.endswith("example.org"):
+        raise Gone(503)
+    if path == "robots.txt":
+        if not host.startswith("m."):
+            raise Gone(404)
+        return "text/plain", b"User-agent: *\nDisallow: /en/\n"
+    return ("application/pdf", b"") if ".html" in path else ("text/html; charset=utf-8", f"<title>{url}</title>".encode())
+
+
+@query("q100_page_source", """WITH u AS (SELECT DISTINCT url, split_part(url, '/', 3) AS host FROM pages WHERE url IS NOT NULL),
+s AS (SELECT url, CASE WHEN host LIKE 'm.%' AND host NOT LIKE '%example.org' AND split_part(url, '/', 4) = 'en' AND contains(substr(url, 9), '/en/') THEN 'robots-disallowed' WHEN host LIKE '%example.org' THEN 'http-503' WHEN contains(url, '.html') THEN 'not-html' ELSE 'ok' END AS status FROM u)
+SELECT url, status, CASE WHEN status = 'ok' THEN '<title>' || url || '</title>' ELSE '' END AS html FROM s""")
+def q100(t, spark):
+    folder = new_folder(spark, "spool")
+    web.spool(t("pages").select("url"), folder)
+    spark.dataSource.register(web.page_source(stand_in, "stand_in_pages", delay=0.0))
+    return spark.read.format("stand_in_pages").option("folder", folder).load().select("url", "status", "html")
