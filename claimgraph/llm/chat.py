@@ -50,14 +50,15 @@ class Template:
         return lambda text: family.sub(r"\1\2\\\3", text)
 
     def unescaper(self):
-        family = re.compile(rf"{self.family()}")
+        family = re.compile(self.family())
         return lambda text: family.sub(lambda m: m[1] + m[2][1:] + m[3], text)
 
     def turn(self):
         """A function of (role, escaped text): the turn, and where its text begins."""
+        escape = self.escaper()
 
         def written(role: str, text: str) -> tuple[str, int]:
-            head = f"{self.begin}{role_out(role)}\n"
+            head = f"{self.begin}{role_out(escape(role))}\n"
             return f"{head}{text}{self.end}\n", len(head)
 
         return written
@@ -65,10 +66,11 @@ class Template:
     def reader(self):
         """A function of a written turn: (role, escaped text)."""
         turn = re.compile(rf"{re.escape(self.begin)}([^\n]*)\n(.*){re.escape(self.end)}\n", re.DOTALL)
+        unescape = self.unescaper()
 
         def read(written: str) -> tuple[str, str]:
             m = turn.fullmatch(written)
-            return role_in(m[1]), m[2]
+            return unescape(role_in(m[1])), m[2]
 
         return read
 
@@ -143,9 +145,10 @@ def formatted(conversations: DataFrame, template: Template | None = None) -> tup
     placed = order.df.withColumnRenamed("conv_id", "of")
     light = turns.filter("k IS NOT NULL").select("conv_id", "k", "node", "at", "n")
     named = Table(light.join(placed, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of"))
-    owners = named.df.groupBy("node").agg(F.min("pos").alias("owner"), F.count(F.lit(1)).alias("shared"))
-    owned = Table(named.df.join(owners, "node").drop("node"))
-    for table in (order, named):
+    # Written first: a join right after the aggregation would take over its partitions, and a hot node's rows couldn't be split.
+    owners = Table(named.df.groupBy("node").agg(F.min("pos").alias("owner"), F.count(F.lit(1)).alias("shared")))
+    owned = Table(named.df.join(owners.df, "node").drop("node"))
+    for table in (order, named, owners):
         table.drop()
     # By conversation: where the part begins that is its own, and how long that is; then where it begins in the stream.
     part = F.shiftright("pos", ROW_BITS).cast("int")

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from functools import lru_cache
 
+sys.setrecursionlimit(20_000)
 SPACE = "\x20\x09-\x0d"
 FULL = {"u": "user", "a": "assistant"}
 
