@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions import text as T
 from claimgraph.functions.urls import hostname, suffixes
+from claimgraph.operators.phrases import Pattern, spotted
 
 # Words that attribute, sources without a name, spokespeople, and names that are no subject or no topic.
 ATTRIB = r"\b(?:said|says|told|according to|confirmed|announced|wrote|claimed|estimates?|reported|argues?|added|noted)\b"
@@ -80,16 +82,20 @@ def resolved(headline: Column, tags: Column, host: Column, orgs: Mapping[str, Se
     owner of the longest product named there; else the one organisation that tags name, and none if they name several;
     else the site's own. Basis says which: headline, product:x, tag, tags-name-n-orgs, site, site:no-subject, unresolved.
     """
-    low = F.concat(F.lit(" "), F.lower(headline), F.lit(" "))
-    place = lambda form: F.regexp_instr(low, F.lit(rf"(?<![a-z0-9_])\Q{form.lower()}\E(?![a-z0-9_])"))
-    met = F.array_min(F.filter(F.array(*[F.when(place(f) > 0, F.struct(place(f).alias("p"), F.lit(-len(f)).alias("n"), F.lit(name).alias("name"))) for name, forms in orgs.items() for f in forms]), lambda x: x.isNotNull()))
+    forms = [(f, name) for name, fs in orgs.items() for f in fs]
+    ranked = sorted(products.items(), key=lambda x: (-len(x[0]), x[0]))
+    patterns = [Pattern(f, plural=False) for f, _ in forms] + [Pattern(p, plural=False) for p, _ in ranked]
+    found = F.get(spotted(F.array(headline), patterns, "_"), F.lit(0))
+    named = F.from_json(F.lit(json.dumps([{"n": -len(f), "name": name} for f, name in forms])), "array<struct<n:int,name:string>>")
+    owners = F.from_json(F.lit(json.dumps([{"product": p, "owner": o} for p, o in ranked])), "array<struct<product:string,owner:string>>")
+    met = F.array_min(F.transform(F.filter(found, lambda x: x["n"] < len(forms)), lambda x: F.struct(x["at"].alias("p"), F.get(named, x["n"])["n"].alias("n"), F.get(named, x["n"])["name"].alias("name"))))
+    product = F.get(owners, F.array_min(F.transform(F.filter(found, lambda x: x["n"] >= len(forms)), lambda x: x["n"] - len(forms))))
     out = lambda entity, basis: F.struct((F.lit(entity) if isinstance(entity, str) else entity).alias("entity"), (F.lit(basis) if isinstance(basis, str) else basis).alias("basis"))
     told = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)))
     tagged = F.filter(F.array(*[F.when(F.arrays_overlap(told, F.array(*[F.lit(f.lower()) for f in forms])), name) for name, forms in orgs.items()]), lambda x: x.isNotNull())
     n = F.size(tagged)
     result = F.when(met.isNotNull(), out(met["name"], "headline"))
-    for product, owner in sorted(products.items(), key=lambda x: (-len(x[0]), x[0])):
-        result = result.when(place(product) > 0, out(owner, f"product:{product}"))
+    result = result.when(product.isNotNull(), out(product["owner"], F.concat(F.lit("product:"), product["product"])))
     result = result.when(n == 1, out(F.get(tagged, F.lit(0)), "tag")).when(n > 1, out("", F.concat(F.lit("tags-name-"), n.cast("string"), F.lit("-orgs"))))
     for domain, org in sites.items():
         result = result.when(within(host, [domain]), out(org, "site" if org else "site:no-subject"))

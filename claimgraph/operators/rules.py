@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimgraph.functions.text import word
+from claimgraph.operators.phrases import Pattern, spotted
 
 
 # Words of a scheduled event, and the forms of a date whose year counts.
@@ -149,23 +151,21 @@ def macro_move(change: Column) -> Column:
     return F.coalesce(F.abs(change) >= 3, F.lit(False))
 
 
-def phrase(text: Column, words: str) -> Column:
-    """True if the phrase, or its plural, stands in the text between characters that are no ASCII letter or digit."""
-    return text.rlike(rf"(?iu)(?<![a-z0-9]){re.escape(words)}(?:s|es)?(?![a-z0-9])")
+#: What a pattern says for a topic: it is one of its rules, it silences the text it stands in, or it bars the topic from the headline.
+RULE, SILENCES, BARS = 0, 1, 2
 
 
-def judged_topic(met: Column, spec: dict, barred: Column) -> Column:
-    """struct<topic, score, on_headline, can_anchor>, or null, of which rules hold by class (arrays in the rules' order; null if none does)."""
-    some = lambda name: F.coalesce(F.exists(met[name], lambda x: x), F.lit(False))
-    points = lambda name: sum([F.when(F.get(met[name], F.lit(i)), int(r.get("score", 1))).otherwise(0) for i, r in enumerate(spec["rules"])], F.lit(0))
-
-    def said(score: Column) -> Column:
-        least = spec.get("anchor_min_score") if spec.get("anchors") else None
-        anchor = (score >= least) & some("headline") if least is not None else F.lit(False)
-        fits = (score >= int(spec.get("topic_min_score", 2))) & (some("headline") | some("tag")) & ~barred
-        return F.when(fits, F.struct(F.lit(spec["topic"]).alias("topic"), score.cast("long").alias("score"), some("headline").alias("on_headline"), anchor.alias("can_anchor")))
-
-    return bound(points("headline") * 2 + points("tag") + points("sentence"), said)
+def topic_patterns(registry: Sequence[dict]) -> tuple[list[Pattern], list[list[dict]]]:
+    """The distinct patterns of a registry of topics, and for each what it says: topic (by number), kind, rule (by number) and score."""
+    said: dict[Pattern, list[dict]] = {}
+    for t, spec in enumerate(registry):
+        for i, r in enumerate(spec["rules"]):
+            pattern = Pattern(regex=r["regex"]) if r.get("regex") else Pattern(r["phrase"])
+            said.setdefault(pattern, []).append({"topic": t, "kind": RULE, "rule": i, "score": int(r.get("score", 1))})
+        for kind, name in ((SILENCES, "exclude"), (BARS, "headline_exclude")):
+            for phrase in spec.get(name, []):
+                said.setdefault(Pattern(phrase), []).append({"topic": t, "kind": kind, "rule": 0, "score": 0})
+    return list(said), list(said.values())
 
 
 def topic_candidates(df: DataFrame, ident: str, headline: Column, tags: Column, sentences: Column, registry: Sequence[dict]) -> DataFrame:
@@ -176,26 +176,50 @@ def topic_candidates(df: DataFrame, ident: str, headline: Column, tags: Column,
     not the topic; a text with one of exclude says nothing for it. A rule counts once for each class of evidence, twice
     its score on the headline. A topic needs its least score and a rule that holds on the headline or a tag; to anchor,
     one on the headline, an anchor and anchor_min_score, without which it never anchors. Nulls are empty.
+
+    Each text is read once for all phrases of all topics; what an item costs beyond that goes with the patterns that it
+    has, not with those of the registry.
     """
-    said = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    classes = {"headline": F.array(F.coalesce(headline, F.lit(""))), "tag": said(tags), "sentence": said(sentences)}
-
-    def holds(text: Column, rule: dict) -> Column:
-        return F.coalesce(text.rlike(f"(?iu){rule['regex']}") if rule.get("regex") else phrase(text, rule["phrase"]), F.lit(False))
-
-    def any_of(text: Column, phrases: Sequence[str]) -> Column:
-        return reduce(lambda a, b: a | b, [holds(text, {"phrase": p}) for p in phrases], F.lit(False))
-
-    found = []
-    for spec in registry:
-        # One alternation of all rules first: most texts meet none of them.
-        some_rule = "|".join(f"(?:{r['regex']})" if r.get("regex") else rf"(?:(?<![a-z0-9]){re.escape(r['phrase'])}(?:s|es)?(?![a-z0-9]))" for r in spec["rules"])
-        fit_to_say = lambda texts: F.filter(texts, lambda x: F.coalesce(x.rlike(f"(?iu){some_rule}"), F.lit(False)) & ~any_of(x, spec.get("exclude", [])))  # noqa: B023, E731
-        # For each class of evidence, which rules hold: worked out once, however often the score is asked for.
-        met = F.struct(*[bound(fit_to_say(texts), lambda u: F.when(F.size(u) > 0, F.array(*[F.exists(u, lambda x: holds(x, rule)) for rule in spec["rules"]]))).alias(name) for name, texts in classes.items()])  # noqa: B023
-        barred = any_of(classes["headline"][0], spec.get("headline_exclude", []))
-        found.append(bound(met, lambda m: judged_topic(m, spec, barred)))  # noqa: B023
-    return df.select(ident, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    patterns, entries = topic_patterns(registry)
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    told = F.from_json(F.lit(json.dumps(entries)), "array<array<struct<topic:int,kind:int,rule:int,score:int>>>")
+    least = [{"topic": s["topic"], "least": int(s.get("topic_min_score", 2)), "anchor": s.get("anchor_min_score") if s.get("anchors") else None} for s in registry]
+    specs = F.from_json(F.lit(json.dumps(least)), "array<struct<topic:string,least:int,anchor:int>>")
+    texts = F.concat(F.array(F.coalesce(headline, F.lit(""))), listed(tags), listed(sentences))
+    read = df.select(F.col(ident).alias("id"), F.size(listed(tags)).alias("tags"), spotted(texts, patterns).alias("found"))
+    of = lambda i: F.when(i == 0, 0).when(i <= F.col("tags"), 1).otherwise(2)
+    of_text = lambda xs, i: F.flatten(F.transform(xs, lambda x: F.transform(F.get(told, x["n"]), lambda e: F.struct(e["topic"].alias("topic"), e["kind"].alias("kind"), e["rule"].alias("rule"), e["score"].alias("score"), i.alias("text"), of(i).alias("cls")))))
+    evidence = read.select("id", F.flatten(F.transform("found", of_text)).alias("e")).filter(F.size("e") > 0)
+
+    def judged(topic: Column) -> Column:
+        def over(own: Column) -> Column:
+            silent = F.transform(F.filter(own, lambda x: x["kind"] == SILENCES), lambda x: x["text"])
+            barred = F.exists(own, lambda x: (x["kind"] == BARS) & (x["cls"] == 0))
+            points = F.array_distinct(F.transform(F.filter(own, lambda x: (x["kind"] == RULE) & ~F.array_contains(silent, x["text"])), lambda x: F.struct(x["cls"].alias("cls"), x["rule"].alias("rule"), x["score"].alias("score"))))
+            return F.struct(points.alias("points"), barred.alias("barred"))
+
+        def said(x: Column) -> Column:
+            score = F.aggregate(x["points"], F.lit(0).cast("long"), lambda a, p: a + p["score"] * F.when(p["cls"] == 0, 2).otherwise(1))
+            on_headline = F.exists(x["points"], lambda p: p["cls"] == 0)
+            spec = F.get(specs, topic)
+            fits = ~x["barred"] & (score >= spec["least"]) & F.exists(x["points"], lambda p: p["cls"] < 2)
+            return F.when(fits, F.struct(spec["topic"].alias("topic"), score.alias("score"), on_headline.alias("on_headline"), F.coalesce((score >= spec["anchor"]) & on_headline, F.lit(False)).alias("can_anchor")))
+
+        return bound(bound(F.filter("e", lambda x: x["topic"] == topic), over), said)
+
+    topics = F.array_distinct(F.transform("e", lambda x: x["topic"]))
+    found = F.filter(F.transform(topics, judged), lambda x: x.isNotNull())
+    return evidence.select(F.col("id").alias(ident), F.inline(found))
+
+
+def trend_matches(text: Column, taxonomy: Mapping[str, Sequence[str]]) -> Column:
+    """struct<categories, keywords>: which categories have a keyword that stands in the text as a word, and which keywords, both in the taxonomy's order. Keywords may be several words; case doesn't matter; a null text has none."""
+    words = list(dict.fromkeys(k for keywords in taxonomy.values() for k in keywords))
+    names = F.from_json(F.lit(json.dumps(words)), "array<string>")
+    categories = F.from_json(F.lit(json.dumps([[i for i, ks in enumerate(taxonomy.values()) if w in ks] for w in words])), "array<array<int>>")
+    labels = F.from_json(F.lit(json.dumps(list(taxonomy))), "array<string>")
+    found = F.get(spotted(F.array(text), [Pattern(w, plural=False) for w in words], "word"), F.lit(0))
+    return bound(found, lambda xs: F.struct(F.transform(F.array_sort(F.array_distinct(F.flatten(F.transform(xs, lambda x: F.get(categories, x["n"]))))), lambda c: F.get(labels, c)).alias("categories"), F.transform(xs, lambda x: F.get(names, x["n"])).alias("keywords")))
 
 
 def topic_anchors(candidates: DataFrame, ident: str) -> DataFrame:

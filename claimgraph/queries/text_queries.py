@@ -239,11 +239,11 @@ def q44(t, spark):
 TAXONOMY = [("motion", "tion"), ("ties", "with"), ("north", "und"), ("south", "que")]
 
 
-@query("q53_trend_match", " UNION ALL ".join(f"SELECT '{c}' AS category, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE {T.word_sql('text', w)} HAVING count(*) > 0" for c, w in TAXONOMY))
+@query("q53_trend_match", " UNION ALL ".join(f"SELECT '{c}' AS category, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])') HAVING count(*) > 0" for c, w in TAXONOMY))
 def q53(t, spark):
-    met = L.words_in(F.col("text"), [w for _, w in TAXONOMY])
-    hits = F.transform(met, lambda w: F.coalesce(*[F.when(w == x, c) for c, x in TAXONOMY]))
-    return t("documents").select("doc_id", F.explode(hits).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    found = L.trend_matches(F.col("text"), {c: [w] for c, w in TAXONOMY})
+    rows = t("documents").select("doc_id", found.alias("m")).select("doc_id", F.explode("m.categories").alias("category"))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 #: Documents as pages of two hosts, the first of which has a rail; some end in a count of comments.
