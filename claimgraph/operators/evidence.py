@@ -85,7 +85,7 @@ def resolved(headline: Column, tags: Column, host: Column, orgs: Mapping[str, Se
     forms = [(f, name) for name, fs in orgs.items() for f in fs]
     ranked = sorted(products.items(), key=lambda x: (-len(x[0]), x[0]))
     patterns = [Pattern(f, plural=False) for f, _ in forms] + [Pattern(p, plural=False) for p, _ in ranked]
-    found = F.get(spotted(F.array(headline), patterns, "_"), F.lit(0))
+    found = spotted(F.array(headline), patterns, "_")
     named = F.from_json(F.lit(json.dumps([{"n": -len(f), "name": name} for f, name in forms])), "array<struct<n:int,name:string>>")
     owners = F.from_json(F.lit(json.dumps([{"product": p, "owner": o} for p, o in ranked])), "array<struct<product:string,owner:string>>")
     met = F.array_min(F.transform(F.filter(found, lambda x: x["n"] < len(forms)), lambda x: F.struct(x["at"].alias("p"), F.get(named, x["n"])["n"].alias("n"), F.get(named, x["n"])["name"].alias("name"))))

@@ -6,14 +6,16 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters that are written otherwise but count as these, in any case; all are one character for one.
 ALIKE = {0x130: "i", 0x131: "i", 0x212A: "k", 0x17F: "s"}
 PLURALS = ("", "s", "es")
-PLACES = "array<array<struct<n:int,at:int>>>"
+PLACES = "array<struct<text:int,n:int,at:int>>"
 
 
 @dataclass(frozen=True)
@@ -27,8 +29,10 @@ class Pattern:
 
 def simple(text: str) -> str:
     """A text in lower case, its characters in their places."""
-    low = text.translate(ALIKE).lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text.translate(ALIKE))
+    if not text.isascii() and any(chr(c) in text for c in ALIKE):
+        text = text.translate(ALIKE)
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 class Matcher:
@@ -90,17 +94,30 @@ def matcher(patterns: tuple[Pattern, ...], joined: str) -> Matcher:
 
 
 def spotted(texts: Column, patterns: Sequence[Pattern], joined: str = "") -> Column:
-    """For each text of an array, array<struct<n, at>>: the patterns that stand in it by number, in order, and where each stands first (from 0).
+    """Of an array of texts, array<struct<text, n, at>>: which patterns, by number, stand in which texts, and where each stands first in it (all from 0), in this order.
 
-    A phrase stands where neither neighbour belongs to a word; ``joined`` as for Matcher. Null texts have none, a null
-    array is empty. The work on a text is its length and the patterns that are in it, not the patterns that there are.
+    A phrase stands where neither neighbour belongs to a word; ``joined`` as for Matcher. Null texts and a null array
+    have none. The work on a text is its length and the patterns that are in it, not the patterns that there are.
     """
     held = tuple(patterns)
 
-    @F.pandas_udf(PLACES)
-    def found(column: pd.Series) -> pd.Series:
+    @F.arrow_udf(PLACES)
+    def found(column: pa.Array) -> pa.Array:
         m = matcher(held, joined)
-        of = lambda text: [{"n": n, "at": at} for n, at in sorted(m.places(text).items())] if text else []
-        return pd.Series([[] if row is None else [of(x) for x in row] for row in column])
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rows: list[int] = []
+        found: list[tuple[int, int]] = []
+        for i, text in enumerate(column.flatten().to_pylist()):
+            if text and (here := m.places(text)):
+                found += sorted(here.items())
+                rows += [i] * len(here)
+        at = np.array(rows, np.int64)
+        row_of = np.repeat(np.arange(len(sizes)), sizes)
+        offsets = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(np.bincount(row_of[at], minlength=len(sizes)), out=offsets[1:])
+        parts = [at - begins[at], [n for n, _ in found], [p for _, p in found]]
+        values = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in parts], ["text", "n", "at"])
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
 
     return found(texts)

@@ -188,8 +188,8 @@ def topic_candidates(df: DataFrame, ident: str, headline: Column, tags: Column,
     texts = F.concat(F.array(F.coalesce(headline, F.lit(""))), listed(tags), listed(sentences))
     read = df.select(F.col(ident).alias("id"), F.size(listed(tags)).alias("tags"), spotted(texts, patterns).alias("found"))
     of = lambda i: F.when(i == 0, 0).when(i <= F.col("tags"), 1).otherwise(2)
-    of_text = lambda xs, i: F.flatten(F.transform(xs, lambda x: F.transform(F.get(told, x["n"]), lambda e: F.struct(e["topic"].alias("topic"), e["kind"].alias("kind"), e["rule"].alias("rule"), e["score"].alias("score"), i.alias("text"), of(i).alias("cls")))))
-    evidence = read.select("id", F.flatten(F.transform("found", of_text)).alias("e")).filter(F.size("e") > 0)
+    of_hit = lambda x: F.transform(F.get(told, x["n"]), lambda e: F.struct(e["topic"].alias("topic"), e["kind"].alias("kind"), e["rule"].alias("rule"), e["score"].alias("score"), x["text"].alias("text"), of(x["text"]).alias("cls")))
+    evidence = read.filter(F.size("found") > 0).select("id", F.flatten(F.transform("found", of_hit)).alias("e"))
 
     def judged(topic: Column) -> Column:
         def over(own: Column) -> Column:
@@ -218,7 +218,7 @@ def trend_matches(text: Column, taxonomy: Mapping[str, Sequence[str]]) -> Column
     names = F.from_json(F.lit(json.dumps(words)), "array<string>")
     categories = F.from_json(F.lit(json.dumps([[i for i, ks in enumerate(taxonomy.values()) if w in ks] for w in words])), "array<array<int>>")
     labels = F.from_json(F.lit(json.dumps(list(taxonomy))), "array<string>")
-    found = F.get(spotted(F.array(text), [Pattern(w, plural=False) for w in words], "word"), F.lit(0))
+    found = spotted(F.array(text), [Pattern(w, plural=False) for w in words], "word")
     return bound(found, lambda xs: F.struct(F.transform(F.array_sort(F.array_distinct(F.flatten(F.transform(xs, lambda x: F.get(categories, x["n"]))))), lambda c: F.get(labels, c)).alias("categories"), F.transform(xs, lambda x: F.get(names, x["n"])).alias("keywords")))
 
 

@@ -36,9 +36,9 @@ def test_whole_words(text):
 
 
 def test_nulls_and_columns(spark):
-    df = spark.createDataFrame([(["A chip", None, "", "no"],), (None,), ([],)], "t array<string>")
-    got = df.select(spotted(F.col("t"), [Pattern("chip")]).alias("x")).collect()
-    assert [[[tuple(p) for p in y] for y in r.x] for r in got] == [[[(0, 2)], [], [], []], [], []]
+    df = spark.createDataFrame([(["A chip", None, "", "no chips, chips"],), (None,), ([],), (["power"],)], "t array<string>").coalesce(1)
+    got = df.select(spotted(F.col("t"), [Pattern("chip"), Pattern("power")]).alias("x")).collect()
+    assert [[tuple(p) for p in r.x] for r in got] == [[(0, 0, 2), (3, 0, 3)], [], [], [(0, 1, 0)]]
 
 
 def test_trends(spark):
