@@ -34,18 +34,27 @@ class KeyedStore:
     version: int = 0
     #: The folder in which each bucket was written last; buckets that never had a row are missing.
     at: dict[int, str] = field(default_factory=dict)
+    #: The keys that a bucket goes by; all if none are named.
+    by: tuple[str, ...] = ()
 
     def path(self, bucket: int) -> str:
         return f"{self.folder}/data/{self.at[bucket]}/bucket={bucket}"
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.by or self.keys]), F.lit(self.buckets)).cast("int")
 
     def rows(self, buckets: Sequence[int] | None = None) -> DataFrame:
         """The rows of the buckets, of all if none are named."""
         paths = [self.path(b) for b in (sorted(self.at) if buckets is None else buckets) if b in self.at]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
+    def part(self, wanted: DataFrame) -> DataFrame:
+        """The rows of the keys in ``wanted``, which has the columns that a bucket goes by; buckets of none of them aren't read."""
+        names = list(self.by or self.keys)
+        one = wanted.select(*[F.col(f"`{k}`") for k in names]).distinct()
+        buckets = sorted(r["part"] for r in one.select(self.bucket().alias("part")).distinct().collect() if r["part"] is not None)
+        return self.rows(buckets).join(one, names, "left_semi")
+
     def merge(self, new: DataFrame, combine: Combine) -> KeyedStore:
         """The store after each key of ``new``, of which ``new`` has one row, is combined with what the store has of it.
 
@@ -68,7 +77,7 @@ class KeyedStore:
         dealt.write.partitionBy("bucket").parquet(f"{self.folder}/data/{own}")
         there = {int(n[7:]) for n in names_in(self.spark, f"{self.folder}/data/{own}") if n.startswith("bucket=")}
         at = {b: v for b, v in self.at.items() if b not in touched} | dict.fromkeys(there, own)
-        done = KeyedStore(self.spark, self.folder, self.keys, self.schema, self.buckets, self.files, after, at)
+        done = KeyedStore(self.spark, self.folder, self.keys, self.schema, self.buckets, self.files, after, at, self.by)
         try:
             done._publish()
         except RuntimeError:
@@ -81,15 +90,15 @@ class KeyedStore:
         return done
 
     def _publish(self) -> None:
-        body = {"keys": self.keys, "schema": self.schema.json(), "buckets": self.buckets, "files": self.files, "at": {str(b): v for b, v in self.at.items()}}
+        body = {"keys": self.keys, "schema": self.schema.json(), "buckets": self.buckets, "files": self.files, "by": self.by, "at": {str(b): v for b, v in self.at.items()}}
         if not put_once(self.spark, f"{self.folder}/manifest-{self.version:0{DIGITS}d}.json", json.dumps(body)):
             raise RuntimeError(f"another writer has put version {self.version} of {self.folder} in place")
 
 
-def created(spark: SparkSession, folder: str, keys: Sequence[str], schema: T.StructType | str, buckets: int = 64, files: int = 1) -> KeyedStore:
-    """An empty store. ``buckets`` is how finely merges are told apart, ``files`` how many files a bucket is written in; both stay as they are."""
+def created(spark: SparkSession, folder: str, keys: Sequence[str], schema: T.StructType | str, buckets: int = 64, files: int = 1, by: Sequence[str] = ()) -> KeyedStore:
+    """An empty store. Buckets go by the keys named in ``by``, or by all. ``buckets`` is how finely merges are told apart, ``files`` how many files a bucket is written in; both stay as they are."""
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    store = KeyedStore(spark, folder.rstrip("/"), tuple(keys), kind, buckets, files)
+    store = KeyedStore(spark, folder.rstrip("/"), tuple(keys), kind, buckets, files, by=tuple(by))
     store._publish()
     return store
 
@@ -100,4 +109,4 @@ def opened(spark: SparkSession, folder: str) -> KeyedStore:
     if not found:
         raise FileNotFoundError(f"no manifest in {folder}")
     body = json.loads(text_at(spark, f"{folder.rstrip('/')}/{found[-1]}"))
-    return KeyedStore(spark, folder.rstrip("/"), tuple(body["keys"]), T.StructType.fromJson(json.loads(body["schema"])), body["buckets"], body["files"], int(found[-1][9 : 9 + DIGITS]), {int(b): v for b, v in body["at"].items()})
+    return KeyedStore(spark, folder.rstrip("/"), tuple(body["keys"]), T.StructType.fromJson(json.loads(body["schema"])), body["buckets"], body["files"], int(found[-1][9 : 9 + DIGITS]), {int(b): v for b, v in body["at"].items()}, tuple(body["by"]))

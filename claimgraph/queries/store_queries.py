@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from claimgraph.operators import archive, keyed_store
+from claimgraph.functions import text as T
+from claimgraph.operators import archive, keyed_store, sentence_view
 from claimgraph.queries.common import query
 from claimgraph.storage import shared_folder
 
@@ -83,3 +84,19 @@ def q103(t, spark):
     store = archive.keep_quotes(store, quotes.filter("date < DATE '2024-04-01'").withColumn("stale", F.lit(False)), 60)
     later = quotes.filter("date >= DATE '2024-03-20'").select("date", "symbol", (F.col("price") + 1).alias("price"), (F.col("symbol") == "open").alias("stale"))
     return archive.keep_quotes(store, later, 60).rows().withColumn("date", F.col("date").cast("string"))
+
+
+@query("q104_sentence_view", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id % 10 <> 0),
+k AS (SELECT doc_id, lower(trim(regexp_replace(line, '[ \t\r\n]+', ' ', 'g'))) AS key, min(i) AS i FROM l GROUP BY ALL), often AS (SELECT key FROM k GROUP BY key HAVING count(*) > 1)
+SELECT d.doc_id, count(k.i) FILTER (k.key NOT IN (SELECT key FROM often)) AS kept, count(k.i) FILTER (k.key IN (SELECT key FROM often)) AS dropped, coalesce(string_agg(CAST(k.i - 1 AS VARCHAR), ',' ORDER BY k.i) FILTER (k.key NOT IN (SELECT key FROM often)), '') AS places
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 10 <> 0) d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""")
+def q104(t, spark):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("sentence"), i.alias("offset")))
+    pages = t("documents").select(F.col("doc_id").cast("string").alias("url"), "doc_id", T.content_hash(F.col("text")).alias("content_hash"), lines.alias("spans"))
+    view = sentence_view.created(spark, new_folder(spark, "sentences"))
+    # Some articles come with another text first, and some go again.
+    early = pages.filter("doc_id % 2 = 0 OR doc_id % 9 = 0").withColumn("spans", F.when(F.col("doc_id") % 9 == 0, F.reverse("spans")).otherwise(F.col("spans")))
+    view = sentence_view.update(view, early)
+    view = sentence_view.update(view, pages.filter("doc_id % 2 = 1 OR doc_id % 9 = 0"), pages.filter("doc_id % 10 = 0").select("url"))
+    view = sentence_view.update(view, removed=pages.filter("doc_id % 10 = 0").select("url"))
+    return view.evidence().select(F.col("url").cast("long").alias("doc_id"), F.size("spans").cast("long").alias("kept"), F.col("dropped").cast("long").alias("dropped"), F.array_join(F.transform("spans", lambda s: s["offset"].cast("string")), ",").alias("places"))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from claimgraph.operators import archive, keyed_store, state
+from claimgraph.operators import archive, keyed_store, sentence_view, state
 
 ITEM = "at int, headline string, entity string, date string, claim_type string, denominator_stated string, topic string, reviewed boolean, auto_labelled boolean, sources array<struct<name string, url string, source_tier int>>"
 
@@ -99,3 +99,62 @@ def test_history(spark, tmp_path):
     assert sorted(r.date for r in store.rows().collect()) == [day(n) for n in (2, 3, 4, 5)]
     store = archive.keep_quotes(store, df([(day(5), "A", 50.0, False), (day(6), "A", 6.0, True), (day(7), "B", 7.0, False), (day(7), "B", 8.0, False), (day(1), "A", 1.0, False)]), 4)
     assert sorted((r.date, r.symbol, r.price) for r in store.rows().collect()) == [(day(3), "A", 3.0), (day(4), "A", 4.0), (day(5), "A", 50.0), (day(7), "B", 8.0)]
+
+
+def evidence_of(texts):
+    """What each article's evidence is, from all texts at once."""
+    firsts = {}
+    for url, said in texts.items():
+        firsts[url] = {}
+        for offset, sentence in said:
+            firsts[url].setdefault(" ".join(sentence.split()).lower(), (offset, sentence))
+    owners: dict = {}
+    for url, keys in firsts.items():
+        for k in keys:
+            owners.setdefault(k, set()).add(url)
+    return {u: ([v for k, v in keys.items() if len(owners[k]) == 1], sum(len(owners[k]) > 1 for k in keys)) for u, keys in firsts.items()}
+
+
+def test_sentences_batch_by_batch(spark, tmp_path):
+    random.seed(9)
+    kind = "url string, content_hash string, spans array<struct<sentence:string,offset:int>>"
+    view = sentence_view.created(spark, f"{tmp_path}/v", buckets=8)
+    now: dict = {}
+    digests: dict = {}
+    for batch in range(4):
+        gone = random.sample(sorted(now), min(len(now), 4 * batch // 2))
+        new = {f"u{random.randrange(30)}": [(o, random.choice(["Same  line.", "same line."]) if random.random() < 0.3 else f"s {random.randrange(60)}") for o in range(random.randrange(6))] for _ in range(12)}
+        rows = spark.createDataFrame([(u, f"c{batch}{u}" if u != "u3" else None, [(s, o) for o, s in said]) for u, said in new.items()], kind)
+        untouched = {u: digests[u] for u in digests if u not in new and u not in gone}
+        view = sentence_view.update(view, rows, spark.createDataFrame([(u,) for u in gone], "url string"))
+        for u in gone:
+            now.pop(u, None)
+        now |= new
+        got = {r.url: r for r in sentence_view.opened(spark, f"{tmp_path}/v").evidence().collect()}
+        want = evidence_of(now)
+        assert {u: ([(s.offset, s.sentence) for s in r.spans], r.dropped) for u, r in got.items()} == want
+        assert all((r.evidence_hash is None) == (u == "u3") for u, r in got.items())
+        # A digest changes with the evidence, also of articles that aren't in the batch, and only then.
+        digests = {u: (r.evidence_hash, [tuple(s) for s in r.spans]) for u, r in got.items()}
+        assert all((digests[u][0] == was[0]) == (digests[u][1] == was[1]) for u, was in untouched.items() if u != "u3")
+    one = sentence_view.update(sentence_view.created(spark, f"{tmp_path}/w", buckets=8), spark.createDataFrame([(u, "c", [(s, o) for o, s in said]) for u, said in now.items()], kind))
+    assert {r.url: (r.spans, r.dropped) for r in one.evidence().collect()} == {r.url: (r.spans, r.dropped) for r in view.evidence().collect()}
+
+
+def test_sentence_update_is_run_again(spark, tmp_path, monkeypatch):
+    kind = "url string, content_hash string, spans array<struct<sentence:string,offset:int>>"
+    view = sentence_view.update(sentence_view.created(spark, f"{tmp_path}/v", buckets=4), spark.createDataFrame([("a", "c", [("one", 0), ("two", 4)]), ("b", "c", [("three", 0)])], kind))
+    more = spark.createDataFrame([("c", "c", [("two", 0), ("three", 4)]), ("b", "d", [("four", 0)])], kind)
+    whole = keyed_store.KeyedStore.merge
+
+    def merge(self, new, combine):
+        if self.keys == ("url",):
+            raise RuntimeError("killed")
+        return whole(self, new, combine)
+
+    with monkeypatch.context() as m:
+        m.setattr(keyed_store.KeyedStore, "merge", merge)
+        with pytest.raises(RuntimeError, match="killed"):
+            sentence_view.update(view, more)
+    done = sentence_view.update(sentence_view.opened(spark, f"{tmp_path}/v"), more)
+    assert {r.url: [s.sentence for s in r.spans] for r in done.evidence().collect()} == {"a": ["one"], "b": ["four"], "c": ["three"]}
