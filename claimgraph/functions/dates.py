@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from claimgraph.functions.text import unescape
 
@@ -123,8 +122,3 @@ def day_bucket(age: Column) -> Column:
 def too_old(age: Column, limit: Column) -> Column:
     """Strictly older than the limit; what has no date is never too old."""
     return F.coalesce(age > limit, F.lit(False))
-
-
-def opens_bucket(bucket: Column, *order: Column) -> Column:
-    """True on the first row of each run of rows of one bucket, in the given order: where a heading stands."""
-    return ~bucket.eqNullSafe(F.lag(bucket).over(Window.orderBy(*order))) | (F.row_number().over(Window.orderBy(*order)) == 1)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from claimgraph.functions import text as T
 from claimgraph.functions.urls import hostname
 
 LINK = r"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"'#][^"']*)["']"""
 LINKED_DATA = r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
-NODE = "struct<keywords:variant,about:variant,`@graph`:variant>"
 
 
 def first_match(text: Column, pattern: str) -> Column:
@@ -31,34 +33,55 @@ def page_title(html: Column, publishers: Sequence[str] = ()) -> Column:
     return F.regexp_replace(one, rf"(?i)\s*[|\\•·-]\s*(?:{'|'.join(publishers)})\s*$", "") if publishers else one
 
 
-def keyword_list(value: Column) -> Column:
-    """The texts of a variant that is a string with commas, or an array."""
-    many = F.try_variant_get(value, "$", "array<string>")
-    return F.coalesce(many, F.split(F.try_variant_get(value, "$", "string"), ","), F.array().cast("array<string>"))
-
-
-def node_tags(node: Column) -> Column:
-    """keywords, then the names under about, of one object of linked data."""
-    about = F.coalesce(F.try_variant_get(F.try_variant_get(node, "$.about", "variant"), "$", "array<variant>"), F.array().cast("array<variant>"))
-    names = F.filter(F.transform(about, lambda x: F.try_variant_get(x, "$.name", "string")), lambda x: x.isNotNull())
-    return F.concat(keyword_list(F.try_variant_get(node, "$.keywords", "variant")), names)
+def linked_tags(document) -> list[str]:
+    """keywords and the names under about of all objects of a linked-data document, at any depth of lists and of @graph; the last of a list comes first."""
+    tags: list[str] = []
+    waiting = list(document) if isinstance(document, list) else [document]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, list):
+            waiting += node
+        elif isinstance(node, dict):
+            if node.get("@graph"):
+                waiting.append(node["@graph"])
+            words = node.get("keywords")
+            tags += words.split(",") if isinstance(words, str) else map(str, words) if isinstance(words, list) else []
+            about = node.get("about")
+            tags += [str(x["name"]) for x in about if isinstance(x, dict) and x.get("name")] if isinstance(about, list) else []
+    return tags
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def linked_data_tags(blocks: pa.Array) -> pa.Array:
+    """The tags of a page's blocks of linked data, each parsed once; blocks that don't parse say nothing. A walk to any depth, which no column expression makes."""
+
+    def of(page: list | None) -> list[str]:
+        out: list[str] = []
+        for block in page or []:
+            try:
+                out += linked_tags(json.loads(block.strip()))
+            except (ValueError, RecursionError):
+                continue
+        return out
+
+    return pa.array([of(page) for page in blocks.to_pylist()], pa.list_(pa.string()))
 
 
 def publisher_tags(html: Column, most: int = 30) -> Column:
-    """The publisher's own tags: keywords and about of linked data, its @graph included, then tag and keyword metas.
+    """The publisher's own tags: keywords and about of linked data, nested ones included, then tag and keyword metas.
 
     Trimmed; of tags that differ in case only the first; under 60 characters, at most ``most``.
     """
-    blocks = F.filter(F.transform(F.regexp_extract_all(html, F.lit(LINKED_DATA), 1), lambda x: F.try_parse_json(F.trim(x))), lambda x: x.isNotNull())
-    none = F.array().cast("array<variant>")
-    listed = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
-    roots = F.flatten(F.transform(blocks, listed))
-    graphs = F.flatten(F.transform(roots, lambda x: F.coalesce(F.try_variant_get(F.try_variant_get(x, "$['@graph']", "variant"), "$", "array<variant>"), none)))
     metas = F.flatten(F.transform(F.concat(meta(html, "article:tag"), meta(html, "keywords")), lambda x: F.split(x, ",")))
-    tags = F.filter(F.transform(F.concat(F.flatten(F.transform(F.concat(roots, graphs), node_tags)), metas), T.bare), lambda x: (x != "") & (F.length(x) < 60))
-    low = F.transform(tags, lambda x: F.lower(x))
-    first = F.filter(F.transform(tags, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda t: F.array_position(low, F.lower(t["x"])) == t["i"] + 1)
-    return F.slice(F.transform(first, lambda t: t["x"]), 1, most)
+    said = F.concat(linked_data_tags(F.regexp_extract_all(html, F.lit(LINKED_DATA), 1)), metas)
+    kept = F.filter(F.transform(said, T.bare), lambda x: (x != "") & (F.length(x) < 60))
+
+    def first_of_case(tags: Column) -> Column:
+        low = F.transform(tags, lambda x: F.lower(x))
+        first = F.filter(F.transform(tags, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda t: F.array_position(low, F.lower(t["x"])) == t["i"] + 1)
+        return F.slice(F.transform(first, lambda t: t["x"]), 1, most)
+
+    return F.transform(F.array(kept), first_of_case)[0]
 
 
 def site_name(html: Column) -> Column:

@@ -66,7 +66,7 @@ def q76(t, spark):
 
 
 #: A page of each part: tags in several places, links of several kinds.
-PAGE = """concat('<html><head><meta property="og:title" content="', p_name, ' | Paper"><meta property="og:site_name" content="Site ', CAST(p_size AS {s}), '"><meta name="keywords" content="', p_brand, ', news, ', upper(p_type), '"><script type="application/ld+json">{{"@graph": [{{"keywords": "', p_type, ',", "about": [{{"name": "', p_brand, '"}}]}}]}}</script></head><body><article>', repeat('word ', 90),
+PAGE = """concat('<html><head><meta property="og:title" content="', p_name, ' | Paper"><meta property="og:site_name" content="Site ', CAST(p_size AS {s}), '"><meta name="keywords" content="', p_brand, ', news, ', upper(p_type), '"><script type="application/ld+json">{{"about": {{"name": "no list"}}, "@graph": [{{"keywords": [], "about": "no list"}}, [[{{"@graph": {{"@graph": [{{"keywords": "', p_type, ',", "about": [{{"name": "', p_brand, '"}}, "text"]}}]}}}}]]]}}</script></head><body><article>', repeat('word ', 90),
  '<a href="https://arxiv.org/abs/', CAST(p_partkey AS {s}), '">x</a><a href="//www.brand', CAST(p_size AS {s}), '.example/a">y</a><a href="/own">z</a><a href="https://www.site.example/b">w</a><nav><a href="https://gone.example/">n</a></nav><a href="https://arxiv.org/abs/', CAST(p_partkey AS {s}), '">again</a></article><a href="https://outside.example/">o</a></body></html>')"""
 
 

@@ -310,3 +310,31 @@ def q56(t, spark):
     at, name = events.inputFiles()[0].rsplit("/", 1)
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", name if name == "events.parquet" else "*.parquet").parquet(at)
     return sweep.drain(sweep.unseen(stream, sweep.digest("event_type", F.col("user_id").cast("string"))).select("hash"))
+
+
+#: Sales by age, newest first; a sale's heading is its age's, and runs of one status within are told apart.
+RUN = "CASE WHEN sold_at IS NULL THEN 'Date not stated' ELSE CAST(CAST(sold_at AS DATE) AS {s}) END || ' ' || coalesce(status, 'none')"
+
+
+@query("q105_headings", f"""WITH s AS (SELECT sale_id, sold_at, {RUN.format(s='VARCHAR')} AS heading FROM sales), l AS (SELECT *, lag(heading) OVER (ORDER BY sold_at DESC NULLS LAST, sale_id) AS before, row_number() OVER (ORDER BY sold_at DESC NULLS LAST, sale_id) AS n FROM s)
+SELECT sale_id, heading FROM l WHERE n = 1 OR heading <> before""")
+def q105(t, spark):
+    return R.opening(t("sales").select("sale_id", "sold_at", "status"), F.expr(RUN.format(s="STRING")), [F.desc_nulls_last("sold_at"), "sale_id"]).select("sale_id", "heading")
+
+
+#: Feeds of vendors, each line of a sale an item: some without a url, some without a title, some of a url that stands twice.
+SLOT_URL, SLOT_TITLE = "CASE WHEN item_id % 11 = 0 THEN NULL ELSE 'https://a.example/' || (item_id % 40) END AS url", "CASE WHEN place % 13 = 0 THEN '' ELSE 'item ' || item_id END AS title"
+SLOT = f"vendor_id AS feed, place, {SLOT_URL}, {SLOT_TITLE}"
+PLACED = "SELECT vendor_id, item_id, sale_id * 100 + line_no AS place FROM sale_lines WHERE vendor_id IS NOT NULL AND item_id IS NOT NULL AND sale_id IS NOT NULL AND line_no IS NOT NULL"
+
+
+@query("q106_feed_slots", f"""WITH RECURSIVE one AS (SELECT vendor_id, min(item_id) AS item_id, place FROM ({PLACED}) GROUP BY vendor_id, place), i AS (SELECT {SLOT} FROM one),
+f AS (SELECT feed, row_number() OVER (ORDER BY feed) AS nth, list(struct_pack(place := place, url := url, title := title) ORDER BY place) AS xs FROM i GROUP BY feed),
+r AS (SELECT CAST(0 AS BIGINT) AS nth, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS feed, CAST([] AS STRUCT(place BIGINT, url VARCHAR, title VARCHAR)[]) AS taken
+UNION ALL SELECT f.nth, list_concat(r.seen, list_transform(list_filter(list_filter(f.xs, lambda x: x.url IS NULL OR NOT list_contains(r.seen, x.url))[1:6], lambda x: x.url IS NOT NULL AND x.title <> ''), lambda x: x.url)), CAST(f.feed AS BIGINT), list_filter(f.xs, lambda x: x.url IS NULL OR NOT list_contains(r.seen, x.url))[1:6] FROM r JOIN f ON f.nth = r.nth + 1),
+g AS (SELECT feed, unnest(taken) AS x FROM r WHERE feed IS NOT NULL), n AS (SELECT feed, x.place AS place, x.url AS url, row_number() OVER (PARTITION BY feed, x.url ORDER BY x.place) AS k FROM g WHERE x.title <> '')
+SELECT feed, place, url FROM n WHERE url IS NULL OR k = 1""")
+def q106(t, spark):
+    lines = t("sale_lines").filter("vendor_id IS NOT NULL AND item_id IS NOT NULL AND sale_id IS NOT NULL AND line_no IS NOT NULL").selectExpr("vendor_id", "item_id", "sale_id * 100 + line_no AS place")
+    items = lines.groupBy("vendor_id", "place").agg(F.min("item_id").alias("item_id")).selectExpr("CAST(vendor_id AS BIGINT) AS feed", "place", SLOT_URL, SLOT_TITLE)
+    return R.feed_slots(items, "feed", "place", "url", "title").select("feed", "place", "url")
