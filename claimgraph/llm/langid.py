@@ -6,8 +6,9 @@ all languages at once, and the AND of an n-gram's slots is the set of all langua
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,13 @@ class LangParams:
     n: tuple[int, ...] = (3, 4)
     #: Bound of the documents learnt from, by language.
     sample_docs: int = 1500
-    #: Slots of the filter, each with a bit for every language; and how many slots an n-gram sets.
+    #: Least number of slots of the filter, each with a bit for every language; and how many slots an n-gram sets.
     slots: int = 1 << 19
     probes: int = 3
+    #: There are as many slots as keep the chance under this that an n-gram which no language has passes for one of the language with most n-grams.
+    most_false: float = 0.1
+    #: A filter of more bytes is refused: then fewer documents are to be learnt from, or more bytes or a greater chance allowed.
+    most_bytes: int = 256 << 20
     #: An n-gram is in a language's first filter if the language has it at all, in the others if so many of the language's n-grams are this one.
     levels: tuple[float, ...] = (0.0, 1e-4, 1e-3)
     #: A text is of a learnt language only if that language has so much of its n-grams, chance taken off.
@@ -107,39 +112,68 @@ def count_ngrams(langs: list[str], params: LangParams):
     return run
 
 
+def word_type(langs: int) -> type:
+    """The smallest word with a bit for every language, or that of 64 bits."""
+    return next((t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if langs <= bits), np.uint64)
+
+
+def words_for(langs: int) -> int:
+    return -(-langs // 64)
+
+
+def slots_needed(grams: int, params: LangParams) -> int:
+    """A power of two, or the least number given, at which ``grams`` n-grams fill so few slots that ``most_false`` is kept."""
+    filled = params.most_false ** (1 / params.probes)
+    need = math.ceil(-params.probes * grams / math.log(1 - filled))
+    return params.slots if need <= params.slots else 1 << (need - 1).bit_length()
+
+
+#: Slots of the filter that are sent together.
+BLOCK = 1 << 16
+
+
 def fill(totals: np.ndarray, params: LangParams):
-    """(slot, word, mask) rows: the bits that a task's n-grams set. What a task holds is as large as the filter, however many n-grams there are."""
-    words = -(-len(totals) // 64)
+    """(block, bits) rows: the bits that a task's n-grams set, block by block. What a task holds is as large as the filter, however many n-grams there are."""
+    words, kind = words_for(len(totals)), word_type(len(totals))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros((params.slots, len(params.levels) * words), np.uint64)
+        bits = np.zeros((params.slots, len(params.levels) * words), kind)
         for part in parts:
             lang, gram, seen = (part.column(c).to_numpy() for c in ("lang", "gram", "seen"))
-            rate, mask = seen / totals[lang], U(1) << (lang % 64).astype(np.uint64)
+            rate, mask = seen / totals[lang], (U(1) << (lang % 64).astype(np.uint64)).astype(kind)
             for level, least in enumerate(params.levels):
                 held = rate >= least
                 for probe in range(params.probes):
                     np.bitwise_or.at(bits, (slots_of(gram[held].view(np.uint64), probe, params), level * words + lang[held] // 64), mask[held])
-        slot, word = np.nonzero(bits)
-        for i in range(0, len(slot), 1 << 16):
-            at = slot[i : i + (1 << 16)], word[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"slot": at[0].astype(np.int32), "word": at[1].astype(np.int32), "mask": bits[at].view(np.int64)})
+        for i in range(0, params.slots, BLOCK):
+            if bits[i : i + BLOCK].any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i // BLOCK], pa.int32()), "bits": pa.array([bits[i : i + BLOCK].tobytes()], pa.binary())})
 
     return run
 
 
+def united(table: pa.Table) -> pa.Table:
+    """All tasks' bits of a block."""
+    first, *rest = table.column("bits").to_pylist()
+    bits = np.frombuffer(first, np.uint8).copy()
+    for more in rest:
+        bits |= np.frombuffer(more, np.uint8)
+    return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
 @dataclass(frozen=True)
 class LangModel:
     params: LangParams
     langs: list[str]
-    #: slots x (levels x words of 64 languages)
+    #: slots x (levels x words of up to 64 languages)
     bits: np.ndarray
     #: levels x languages: the chance that an n-gram that a filter lacks passes all probes.
     false_rate: np.ndarray
 
     def bit(self, masks: np.ndarray, level: int, lang: int) -> np.ndarray:
         """1 for the n-grams that the language has at the level."""
-        return (masks[:, level * -(-len(self.langs) // 64) + lang // 64] >> U(lang % 64)) & U(1)
+        kind = self.bits.dtype.type
+        return (masks[:, level * words_for(len(self.langs)) + lang // 64] >> kind(lang % 64)) & kind(1)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         """The languages that contain each n-gram, as bits: all of them, and by chance some more."""
@@ -183,26 +217,33 @@ def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
     """Learns from (text, lang, doc_id) rows; rows without text or lang are passed over.
 
     At most about ``sample_docs`` documents of each language are read for it, whole, chosen by a hash of id and text.
-    The filter is put together on the executors; the driver gets it alone, slots x languages in bits, and a count for
-    each language, never the n-grams. No n-gram is left out, be it rare or shared by all languages.
+    The filter is put together on the executors; the driver gets it alone, slots x languages in bits, and two counts for
+    each language, never the n-grams. No n-gram is left out, be it rare or shared by all languages; the filter grows with
+    the distinct n-grams counted, as a language of thousands of characters has many, so that ``most_false`` holds.
     """
     known = docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs, levels = sorted(sizes), len(params.levels)
-    words = -(-len(langs) // 64)
+    words, kind = words_for(len(langs)), word_type(len(langs))
     if not langs:
-        return LangModel(params, [], np.zeros((params.slots, levels), np.uint64), np.zeros((levels, 0)))
+        return LangModel(params, [], np.zeros((params.slots, levels), kind), np.zeros((levels, 0)))
     chance = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, params.sample_docs / n))])
     dealt = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     each = known.filter(dealt < chance[F.col("lang")]).select("text", "lang").mapInArrow(count_ngrams(langs, params), "lang int, gram long, seen long")
     counted = cut(each.groupBy("lang", "gram").agg(F.sum("seen").alias("seen")))
-    totals = np.ones(len(langs))
-    for r in counted.groupBy("lang").agg(F.sum("seen").alias("n")).collect():
-        totals[r["lang"]] = r["n"]
-    table = counted.mapInArrow(fill(totals, params), "slot int, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    bits = np.zeros((params.slots, levels * words), np.uint64)
-    bits[table.slot.to_numpy(), table.word.to_numpy()] = table["mask"].to_numpy(np.int64).view(np.uint64)
-    filled = [[np.count_nonzero((bits[:, level * words + i // 64] >> U(i % 64)) & U(1)) / params.slots for i in range(len(langs))] for level in range(levels)]
+    totals, most = np.ones(len(langs)), 0
+    for r in counted.groupBy("lang").agg(F.sum("seen").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
+        totals[r["lang"]], most = r["n"], max(most, r["kinds"])
+    params = replace(params, slots=slots_needed(most, params))
+    size = params.slots * levels * words * np.dtype(kind).itemsize
+    if size > params.most_bytes:
+        raise ValueError(f"{most} n-grams of one language make a filter of {size} bytes, over the {params.most_bytes} of most_bytes; lower sample_docs, or raise most_bytes or most_false")
+    blocks = counted.mapInArrow(fill(totals, params), "block int, bits binary").groupBy("block").applyInArrow(united, "block int, bits binary")
+    bits = np.zeros((params.slots, levels * words), kind)
+    for r in blocks.toLocalIterator():
+        held = np.frombuffer(r["bits"], kind).reshape(-1, levels * words)
+        bits[r["block"] * BLOCK : r["block"] * BLOCK + len(held)] = held
+    filled = [[np.count_nonzero((bits[:, level * words + i // 64] >> kind(i % 64)) & kind(1)) / params.slots for i in range(len(langs))] for level in range(levels)]
     return LangModel(params, langs, bits, np.array(filled) ** params.probes)
 
 

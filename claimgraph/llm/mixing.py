@@ -17,6 +17,8 @@ MOST_BROADCAST_BYTES = 8 << 20
 SALTS = 64
 #: Rates above this are drawn in equal parts, since exp(-rate) would be lost.
 MOST_RATE = 500
+#: Equal rows that one task numbers.
+EQUAL_ROWS = 10_000
 #: 52 bits of an MD5 digest make a uniform number that any SQL engine can repeat.
 BITS = 52
 
@@ -51,19 +53,40 @@ def cumulative(rate):
     return F.aggregate(F.sequence(F.lit(1), most), start, step)["all"]
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """(row, source, ident): each row with a name of its own.
+
+    Ids alone are looked at to find those that are null or not alone. Rows of such are counted by a digest of all they
+    hold, equal rows once for each task, and come out again with their numbers, a hot one's dealt over many tasks.
+    """
+    rows = docs.select(whole(docs).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("id"))
+    plain = F.col("id").cast("string").alias("ident")
+    odd = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("of")))
+    if odd.isEmpty():
+        return rows.select("row", "source", plain)
+    alone = rows.filter("id is not null").join(odd, F.col("id") == F.col("of"), "left_anti").select("row", "source", plain)
+    several = rows.join(odd, F.col("id").eqNullSafe(F.col("of")), "left_semi").withColumn("digest", F.sha2(F.to_json("row"), 256))
+    kinds = several.groupBy("digest").agg(F.first("row").alias("row"), F.first("source").alias("source"), F.first("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    runs = kinds.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(EQUAL_ROWS).cast("long")))).repartition("digest", "begin")
+    each = runs.withColumn("nth", F.explode(F.sequence("begin", F.least(F.col("begin") + EQUAL_ROWS, F.col("n")) - 1)))
+    name = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), "digest", F.col("nth").cast("string"))
+    return alone.unionByName(each.select("row", "source", name.alias("ident")))
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, default: float = 1.0, size: float = 1.0, seed: str = "mix", most_broadcast: int = MOST_BROADCAST_BYTES) -> DataFrame:
     """``docs`` replicated to the target weights and shuffled; all columns of ``docs`` and copy_no (from 0), shuffle_key.
 
     Each row is taken X times, X being Poisson with its source's rate, found by inverting the distribution at a uniform
-    number that is a digest of seed and doc_id; so a rerun takes the same rows, and repeated rows are taken alike. The
-    rows are dealt to partitions by a digest of (seed, doc_id, copy_no) and sorted by it there. Sources of weight 0 are
-    left out; negative, infinite or missing weights raise. An empty table gives an empty one; text may be null, empty or
-    long; rows without a doc_id are drawn alike. Columns of ``docs`` that are named as the two are replaced; any other
-    names will do. A rate above MOST_RATE is the sum of equal parts, each with a digest of its own; a rate below is one part.
+    number that is a digest of seed and the row's name; so a rerun takes the same rows. A row's name is its doc_id;
+    where that is null or stands in several rows, also a digest of the whole row and its number among equal rows, so
+    that each of them is drawn for itself. The rows are dealt to partitions by a digest of (seed, name, copy_no) and
+    sorted by it there. Sources of weight 0 are left out; negative, infinite or missing weights raise. An empty table
+    gives an empty one; text may be null, empty or long. Columns of ``docs`` that are named as the two are replaced; any
+    other names will do. A rate above MOST_RATE is the sum of equal parts, each with a digest of its own; a rate below
+    is one part.
     """
     docs = docs.drop("copy_no", "shuffle_key")
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = docs.select(whole(docs).alias("row"), F.col("source").alias("source"), ident.alias("ident"))
+    rows = named(docs)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / float(MOST_RATE))).cast("int")
     table = stored(rates(docs, weights, default, size).filter("rate > 0").withColumn("parts", parts).select(F.col("source").alias("from"), "parts", cumulative(F.col("rate") / F.col("parts")).alias("cdf")))
     same = F.col("source").eqNullSafe(F.col("from"))
