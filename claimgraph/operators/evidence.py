@@ -138,3 +138,23 @@ def item_block(number: Column, headline: Column, lead: Column, sentences: Column
     found = F.when(F.size(sentences) > 0, F.transform(sentences, lambda s: F.concat(F.lit("   FIGURE SENTENCE: "), s))).otherwise(F.array(F.lit("   FIGURE SENTENCE: (none found in the article)")))
     lines = F.concat(F.array(F.concat(number.cast("string"), F.lit(". HEADLINE: "), F.coalesce(headline, F.lit(""))), opening), found)
     return F.array_join(lines, "\n")
+
+
+def without_headlines(rows: DataFrame, sentence: str, own: str, headlines: DataFrame) -> DataFrame:
+    """``rows`` but those whose ``sentence`` is the headline of another item, as rails of related stories have it; their ``own`` headline is no other's.
+
+    Sentences are compared without regard to case, white space and character references. ``headlines`` has one column.
+    Digests meet, not texts.
+    """
+    key = lambda c: F.sha2(T.sentence_key(c), 256)
+    known = headlines.select(key(F.col(headlines.columns[0])).alias("headline_key")).distinct()
+    marked = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), key(F.col(sentence)).alias("k"), key(F.col(own)).alias("mine"))
+    met = marked.join(known, F.col("k") == F.col("headline_key"), "left")
+    return met.filter("headline_key IS NULL OR k = mine").select("row.*")
+
+
+def source_identity(sources: Column) -> Column:
+    """The names and then the hosts of an item's sources, in lower case; neither paths nor headlines, which name others."""
+    names = F.transform(sources, lambda s: F.coalesce(s["name"], F.lit("")))
+    hosts = F.transform(sources, lambda s: F.coalesce(hostname(s["url"]), F.lit("")))
+    return F.lower(F.array_join(F.concat(names, hosts), " "))

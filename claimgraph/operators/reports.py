@@ -125,3 +125,19 @@ def signed_percent(change: Column) -> Column:
 def clock_text(stamp: Column) -> Column:
     """The T between a date's digits and a time's as a space; other letters stay."""
     return F.regexp_replace(stamp, r"(?<=[0-9])T(?=[0-9])", " ")
+
+
+def market_digest(quotes: DataFrame, articles: DataFrame, most: int = 3) -> DataFrame:
+    """list, rank, name, change: the strongest falls and rises, and the first article of each category of trends (without a change).
+
+    ``articles``: category, place, title; those without a title don't count.
+    """
+    moves = strongest_moves(quotes, most).filter("list <> 'macro'").select("list", "rank", F.col("symbol").alias("name"), "change")
+    first = articles.filter("title <> ''").groupBy("category").agg(F.min_by("title", "place").alias("title"))
+    shown = first.select(F.lit("article").alias("list"), F.lit(1).alias("rank"), F.concat_ws(": ", "category", "title").alias("name"), F.lit(None).cast("double").alias("change"))
+    return moves.unionByName(shown)
+
+
+def sorted_map(held: Column) -> Column:
+    """A map with its keys in order, so that equal maps are written alike."""
+    return F.map_from_entries(F.array_sort(F.map_entries(held)))

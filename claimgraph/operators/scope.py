@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimgraph.functions.dates import date_in_url, page_date, too_old
+
 from claimgraph.operators.relational import top_per
 
 # The words that put a feed's title in scope, those that put a gazette's notice in scope, and routine notices.
@@ -78,3 +80,18 @@ def faceted(items: DataFrame, term: str = "", topics: Sequence[str] | None = Non
 def chip(items: DataFrame, name: str, topics: Sequence[str] | None = None, tiers: Sequence[int] | None = None, conflicts_only: bool = False) -> DataFrame:
     """A quick filter: 'all' lifts the term and the topics, any other sets its term beside the other facets."""
     return faceted(items, CHIPS[name], None if name == "all" else topics, tiers, conflicts_only)
+
+
+def fresh_items(items: DataFrame, feed_date: Column, url: Column, html: Column, today: Column, limit: Column, asks: Column) -> DataFrame:
+    """``items`` that aren't too old, with ``effective_date``: by what the feed says, and where ``asks`` is true again by the article's own date.
+
+    That is the day the page says, else the one in its URL, else the feed's. An item of an aggregator is as old as what
+    it links to, however lately it was put in. Ages are in days and an item of just ``limit`` stays; one without any
+    date stays.
+    """
+    age = lambda day: F.datediff(today, day)
+    feed = feed_date.cast("date")
+    first = items.filter(~too_old(age(feed), limit))
+    own = F.when(asks, F.coalesce(page_date(html), date_in_url(url)))
+    dated = first.withColumn("effective_date", F.coalesce(own, feed))
+    return dated.filter(~too_old(age(F.col("effective_date")), limit))

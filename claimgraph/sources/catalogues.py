@@ -171,3 +171,18 @@ def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
 def registry(spark: SparkSession, text: str, field: str, value: str) -> DataFrame:
     """key, value: an object of a registry's JSON text, such as its tiers by type."""
     return spark.createDataFrame([(text,)], "t string").select(F.explode(F.from_json("t", f"`{field}` map<string,{value}>")[field]))
+
+
+def last_observations(rows: DataFrame, series: str, day: str, value: str) -> DataFrame:
+    """series, asof, value, change_pct: the last observation of each series and how it changed from the one before, in percent.
+
+    Values are texts; "." and whatever is no number is no observation, and neither is the one before. A series of one
+    observation has no change, nor has one whose last but one is 0; a series of none has no row. Of several values of a
+    day the largest counts.
+    """
+    seen = rows.select(F.col(series).alias("series"), F.col(day).alias("asof"), F.col(value).try_cast("double").alias("value")).filter("value IS NOT NULL AND asof IS NOT NULL")
+    daily = seen.groupBy("series", "asof").agg(F.max("value").alias("value"))
+    newest = Window.partitionBy("series").orderBy(F.desc("asof"))
+    two = daily.withColumn("nth", F.row_number().over(newest)).filter("nth <= 2")
+    last = two.groupBy("series").agg(*[F.max(F.when(F.col("nth") == n, F.col(c))).alias(name) for n, c, name in ((1, "asof", "asof"), (1, "value", "value"), (2, "value", "before"))])
+    return last.select("series", "asof", "value", (100 * (F.try_divide("value", "before") - 1)).alias("change_pct"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import claimgraph.queries as Q
 from claimgraph.functions import html as H
+from claimgraph.operators import evidence, reports
 from claimgraph.operators import relational as R
+from claimgraph.sources import catalogues
 
 
 def test_previous_row(spark):
@@ -73,3 +75,21 @@ def test_linked_data(spark):
     df = spark.createDataFrame([(i, f'<script type="application/ld+json"> {b} </script><script type="application/ld+json">{{"keywords": "LAST"}}</script>') for i, b in enumerate(pages)], "i int, h string")
     assert [r.t for r in df.select("i", H.publisher_tags(F.col("h")).alias("t")).orderBy("i").collect()] == [[*w, "LAST"] for w in pages.values()]
     assert spark.createDataFrame([(None,), ("",)], "h string").select(H.publisher_tags(F.col("h")).alias("t")).filter("size(t) > 0").count() == 0
+
+
+def test_sorted_map(spark):
+    held = spark.range(1).select(reports.sorted_map(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))).alias("m"))
+    assert held.select(F.to_json("m")).first()[0] == '{"a":2,"b":1}'
+
+
+def test_observations(spark):
+    rows = [("a", "2024-01-03", "."), ("a", "2024-01-02", "3"), ("a", "2024-01-01", "2"), ("b", "2024-01-01", "5"), ("c", "2024-01-01", "."), ("z", "2024-01-02", "1"), ("z", "2024-01-01", "0"), ("d", "2024-01-01", "1"), ("d", "2024-01-01", "4"), ("e", None, "4")]
+    got = catalogues.last_observations(spark.createDataFrame(rows, "s string, d string, v string"), "s", "d", "v").collect()
+    assert {r.series: (r.asof, r.value, r.change_pct) for r in got} == {"a": ("2024-01-02", 3.0, 50.0), "b": ("2024-01-01", 5.0, None), "z": ("2024-01-02", 1.0, None), "d": ("2024-01-01", 4.0, None)}
+
+
+def test_rails(spark):
+    rows = [(1, "My  Story", "my story"), (1, "My Story", "Other &amp; story"), (1, "My Story", "A line"), (2, "other & story", "OTHER & Story"), (2, None, None)]
+    df = spark.createDataFrame(rows, "row int, own string, line string")
+    kept = evidence.without_headlines(df, "line", "own", df.select("own")).collect()
+    assert sorted((r["row"], r.line) for r in kept if r.line) == [(1, "A line"), (1, "my story"), (2, "OTHER & Story")]
