@@ -77,16 +77,40 @@ def market_chip(entity: Column, known: Column, ticker: Column, uncovered: Column
     return F.when((F.coalesce(entity, F.lit("")) == "") | ~known, "").when(~listed & (F.coalesce(uncovered, F.lit("")) != ""), "listed, not covered here").when(~listed, "no listed security").when(quote.isNull(), "").otherwise("quote")
 
 
+#: Texts meet by their beginnings of so many characters.
+BEGINNING = 3
+
+
+def containing(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """a, b: the distinct texts of both sides of which one contains the other; empty texts contain and are contained by none.
+
+    A text that is contained has its beginning among the short runs of characters of the other: both sides meet by
+    those, in an equi-join each way, and what meets is looked at. Neither side has to be small.
+    """
+    one = lambda df, c: df.select(F.col(c).alias(c)).filter(F.col(c) != "").distinct()
+    begins = lambda c: F.substring(c, 1, BEGINNING)
+
+    def runs(c: str) -> Column:
+        each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(n))) for n in range(1, BEGINNING + 1)]  # noqa: B023
+        return F.array_distinct(F.concat(*each))
+
+    def inside(small: DataFrame, s: str, large: DataFrame, g: str) -> DataFrame:
+        met = large.select(g, F.explode(runs(g)).alias("run")).join(small.select(s, begins(s).alias("begins")), F.col("run") == F.col("begins"))
+        return met.filter(F.col(g).contains(F.col(s))).select(a, b)
+
+    x, y = one(left, a), one(right, b)
+    return inside(x, a, y, b).union(inside(y, b, x, a)).distinct()
+
+
 def reconciled(names: DataFrame, key: str, name: str, entities: DataFrame, filed: DataFrame) -> DataFrame:
     """key, status, tickers, reasons: whether an item's names lead to a filing, a listed security, a private company or none.
 
     ``names``: key and name, a row for each name of an item; ``entities``: entity, ticker, private; ``filed``: ticker. A name and an
-    entity match if either contains the other, in any case: a registry's few rows are tried with each distinct name.
+    entity match if either contains the other, in any case.
     """
-    distinct = names.select(F.lower(name).alias("low")).filter("low <> ''").distinct()
-    held = F.broadcast(entities.select(F.lower("entity").alias("e"), "entity", "ticker", "private"))
-    met = distinct.join(held, F.col("low").contains(F.col("e")) | F.col("e").contains(F.col("low")))
-    has = met.join(F.broadcast(filed.select(F.col("ticker").alias("f")).distinct()), F.col("ticker") == F.col("f"), "left")
+    held = entities.select(F.lower("entity").alias("e"), "entity", "ticker", "private")
+    met = containing(names.select(F.lower(name).alias("low")), "low", held, "e").join(held, "e")
+    has = met.join(filed.select(F.col("ticker").alias("f")).distinct(), F.col("ticker") == F.col("f"), "left")
     rows = names.select(key, F.lower(name).alias("low")).join(has, "low", "left")
     listed = F.coalesce(F.col("ticker"), F.lit("")) != ""
     sums = rows.groupBy(key).agg(F.bool_or(F.col("f").isNotNull()).alias("filing"), F.array_sort(F.collect_set(F.when(listed, F.col("ticker")))).alias("tickers"), F.array_sort(F.collect_set(F.when(~listed & F.col("private").isNotNull(), F.concat_ws(": ", "entity", "private")))).alias("reasons"))

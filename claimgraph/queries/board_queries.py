@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimgraph.functions import text as T
 from claimgraph.operators import evidence as E
 from claimgraph.operators import reports, scope, state
+from claimgraph.operators import rules as L
 from claimgraph.queries.common import query
 from claimgraph.sources import catalogues as C
+from claimgraph.sources import sinks
 
 TODAY = "2024-06-01"
 #: A page of each sale: its own date in the JSON, in a meta tag, in words by the h1, in the URL, or nowhere; the feed's date is of the sale's arrival.
@@ -92,3 +95,59 @@ def q113(t, spark):
     k = F.col("item_id") % 6
     chip = reports.market_chip(F.col("brand"), k != 0, F.when(k > 2, "TICK").otherwise(""), F.when(k == 1, "elsewhere"), F.col("price"))
     return t("items").select("item_id", chip.alias("chip"), reports.money(F.col("price")).alias("money"))
+
+
+@query("q114_bulletin", f"""SELECT CAST(place AS INTEGER) AS place, '| ' || left(CAST(sold_at AS VARCHAR), 16) || ' | P' || CASE WHEN priority BETWEEN 1 AND 5 THEN priority ELSE 5 END || ' | **' || CASE WHEN sale_id % 2 = 0 THEN 'EU' ELSE 'US/UK' END || ' | ' || status || ' | sale ' || sale_id || ' | Primary |' AS line
+FROM (SELECT *, row_number() OVER (ORDER BY sold_at DESC, sale_id) AS place FROM (SELECT * FROM sales WHERE sold_at IS NOT NULL AND status IS NOT NULL) s) WHERE place <= 50""".replace("'US/UK' END || ' | '", "'US/UK' END || '** | '"))
+def q114(t, spark):
+    # A top-50 report.
+    none = F.lit(None).cast("string")
+    rows = t("sales").filter("sold_at IS NOT NULL AND status IS NOT NULL")
+    alerts = rows.select(F.col("sold_at").alias("timestamp"), "priority", F.when(F.col("sale_id") % 2 == 0, "EU").otherwise("US|UK").alias("jurisdiction"), F.col("status").alias("source"), F.format_string("sale %d", "sale_id").alias("summary"), none.alias("reference"), none.alias("url"), "sale_id")
+    return sinks.bulletin_rows(alerts, order=("sale_id",))
+
+
+@query("q115_nominations", "WITH n AS (SELECT DISTINCT client_id, status FROM sales WHERE client_id IS NOT NULL AND status IS NOT NULL) SELECT 2 AS place, '- client ' || client_id || ': ' || status AS line FROM n UNION ALL SELECT 0, '## Due (' || count(*) || ')' FROM n UNION ALL SELECT 1, ''")
+def q115(t, spark):
+    rows = t("sales").filter("client_id IS NOT NULL AND status IS NOT NULL").select("client_id", "status").distinct()
+    return sinks.nominations(rows.select(F.format_string("client %d", "client_id").alias("name"), F.col("status").alias("reason")), "Due")
+
+
+@query("q116_containing", "WITH a AS (SELECT DISTINCT lower(name) AS a FROM items WHERE name <> ''), b AS (SELECT DISTINCT lower(split_part(name, ' ', 2)) AS b FROM items WHERE split_part(name, ' ', 2) <> '' UNION SELECT DISTINCT lower(name) || 's' FROM items WHERE item_id % 2 = 0 AND name <> '' UNION SELECT 'e') SELECT a, b FROM a, b WHERE contains(a, b) OR contains(b, a)")
+def q116(t, spark):
+    items = t("items").filter("name <> ''")
+    word = items.select(F.lower(F.split_part("name", F.lit(" "), F.lit(2))).alias("b"))
+    other = word.union(items.filter("item_id % 2 = 0").select(F.concat(F.lower("name"), F.lit("s")))).union(spark.createDataFrame([("e",)], "b string"))
+    return reports.containing(items.select(F.lower("name").alias("a")), "a", other, "b")
+
+
+#: Lines of several kinds told of sales: an author's note, a DOI, a time of day, a count of comments, a caption, and sentences that are none of these.
+TOLD = "CASE sale_id % 7 WHEN 0 THEN concat('DOI: 10.1000/', sale_id) WHEN 1 THEN concat('See all comments (', sale_id, ')') WHEN 2 THEN concat('Figure ', sale_id, ': The layout of the hall') WHEN 3 THEN concat('Figure ', sale_id, ': Sales rose 12% in May') WHEN 4 THEN 'She covered the tech industry for over 12 years' WHEN 5 THEN concat('It took 12:45 to sell ', sale_id, ' of them') ELSE concat('Updated Mon May 6, 2024 at ', 1 + sale_id % 9, ':15pm') END"
+
+
+@query("q117_furniture", "SELECT sale_id, sale_id % 7 NOT IN (3, 5) AS furniture FROM sales")
+def q117(t, spark):
+    return t("sales").select("sale_id", T.is_furniture(F.expr(TOLD)).alias("furniture"))
+
+
+@query("q118_alert_totals", "SELECT count(*) AS alerts, count(*) FILTER (priority = 1) AS p1, count(*) FILTER (priority = 2) AS p2, count(*) FILTER (sale_id % 3 = 0) AS duties FROM sales")
+def q118(t, spark):
+    return reports.urgent_counts(t("sales").select("priority", (F.col("sale_id") % 3 == 0).alias("is_duty")))
+
+
+@query("q119_outcomes", "SELECT coalesce(nullif(status, ''), '(not scored)') AS outcome, count(*) AS n FROM sales GROUP BY 1")
+def q119(t, spark):
+    return reports.outcome_histogram(t("sales"), "status")
+
+
+@query("q120_severity", "SELECT sale_id, CAST(CASE WHEN a = b AND b = c THEN 3 WHEN a <> b AND b <> c AND a <> c THEN 0 ELSE 2 END AS INTEGER) AS severity FROM (SELECT sale_id, sale_id % 2 AS a, sale_id % 3 AS b, sale_id % 5 AS c FROM sales)")
+def q120(t, spark):
+    i = F.col("sale_id")
+    return t("sales").select("sale_id", L.severity(L.verdict(F.array(i % 2, i % 3, i % 5))).alias("severity"))
+
+
+@query("q121_tiers_and_sources", "SELECT sale_id, CAST(min(vendor_id % 5) AS INTEGER) AS min_tier, CAST(max(vendor_id % 5) AS INTEGER) AS max_tier FROM sale_lines WHERE sale_id IS NOT NULL GROUP BY sale_id")
+def q121(t, spark):
+    lines = t("sale_lines").filter("sale_id IS NOT NULL").groupBy("sale_id").agg(F.collect_set((F.col("vendor_id") % 5).cast("int")).alias("tiers"))
+    sources = F.transform("tiers", lambda x: F.struct(x.alias("source_tier")))
+    return lines.select("sale_id", reports.tier_range(sources).alias("t")).select("sale_id", "t.*")

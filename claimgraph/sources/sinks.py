@@ -47,10 +47,6 @@ def keep_last_dates(history: DataFrame, date: str, most: int = 400) -> DataFrame
     return history.join(dates, date, "left_semi")
 
 
-def newest(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__r = 1").drop("__r")
-
-
 # How a priority is shown; other priorities are shown as the last.
 BADGES = ("P1", "P2", "P3", "P4", "P5")
 
@@ -61,11 +57,13 @@ def cell(text: Column) -> Column:
 
 
 def bulletin_rows(alerts: DataFrame, most: int = 50, order: tuple[str, ...] = ("priority", "summary", "url")) -> DataFrame:
-    """place, line: the newest ``most`` alerts (timestamp, priority, source, summary, reference, url) as rows of a Markdown table; alerts of one time stand in the given order."""
+    """place, line: the newest ``most`` alerts (timestamp, priority, source, summary, reference, url, and jurisdiction if they have one) as rows of a Markdown table; alerts of one time stand in the given order."""
     badge = F.coalesce(F.get(F.array(*map(F.lit, BADGES)), F.col("priority").cast("int") - 1), F.lit(BADGES[-1]))
     named = F.coalesce(F.nullif("reference", F.lit("")), F.when(F.coalesce("url", F.lit("")) != "", "Link").otherwise("Primary"))
     link = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("["), cell(named), F.lit("]("), F.col("url"), F.lit(")"))).otherwise(cell(named))
-    line = F.concat(F.lit("| "), F.array_join(F.array(F.coalesce(F.substring(F.col("timestamp").cast("string"), 1, 16), F.lit("")), badge, cell(F.col("source")), cell(F.col("summary")), link), " | "), F.lit(" |"))
+    where = [F.concat(F.lit("**"), cell(F.col("jurisdiction")), F.lit("**"))] if "jurisdiction" in alerts.columns else []
+    cells = [F.coalesce(F.substring(F.col("timestamp").cast("string"), 1, 16), F.lit("")), badge, *where, cell(F.col("source")), cell(F.col("summary")), link]
+    line = F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
     by = [F.desc_nulls_last("timestamp"), *order]
     return alerts.orderBy(*by).limit(most).select(F.row_number().over(Window.orderBy(*by)).alias("place"), line.alias("line"))
 
@@ -73,14 +71,20 @@ def bulletin_rows(alerts: DataFrame, most: int = 50, order: tuple[str, ...] = ("
 def bulletin(alerts: DataFrame, title: str, most: int = 50) -> str:
     """The bulletin's text; at most ``most`` rows reach the driver."""
     rows = [r["line"] for r in bulletin_rows(alerts, most).orderBy("place").collect()]
-    return "\n".join([f"# {title}", "", "| Time | Priority | Source | Finding | Reference |", "|-|-|-|-|-|", *rows])
+    heads = ["Time", "Priority", *["Jurisdiction"] * ("jurisdiction" in alerts.columns), "Source", "Finding", "Reference"]
+    return "\n".join([f"# {title}", "", f"| {' | '.join(heads)} |", "|" + "-|" * len(heads), *rows])
+
+
+def nominations(rows: DataFrame, section: str) -> DataFrame:
+    """place, line: a Markdown section of all candidates (name, reason), a row for each line; in the file they stand by place, then line."""
+    shown = rows.select(F.lit(2).alias("place"), F.concat(F.lit("- "), cell(F.col("name")), F.lit(": "), cell(F.col("reason"))).alias("line"))
+    head = rows.agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(F.struct(F.lit(0).alias("place"), F.format_string(f"## {section.replace('%', '%%')} (%d)", "n").alias("line")), F.struct(F.lit(1).alias("place"), F.lit("").alias("line")))))
+    return head.unionByName(shown)
 
 
-def nominations(rows: DataFrame, section: str) -> str:
-    """All candidates (name, reason) as a Markdown section, fetched part by part."""
-    shown = rows.select(cell(F.col("name")).alias("name"), cell(F.col("reason")).alias("reason")).orderBy("name", "reason")
-    lines = [f"- {r['name']}: {r['reason']}" for r in shown.toLocalIterator()]
-    return "\n".join([f"## {section} ({len(lines)})", "", *lines])
+def write_lines(rows: DataFrame, path: str, order: tuple[str, ...] = ("place", "line")) -> None:
+    """The lines of ``rows`` as one text file, sorted over the cluster and put down by one task as they come."""
+    rows.orderBy(*order).select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:

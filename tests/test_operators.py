@@ -222,7 +222,11 @@ def test_sinks(spark, tmp_path):
     for number in (0, 1, 1):
         write(alerts, number)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
-    assert sinks.nominations(alerts.select(F.col("title").alias("name"), F.lit("r|s").alias("reason")), "Due").split("\n") == ["## Due (3)", "", "- one: r/s", "- three: r/s", "- two: r/s"]
+    section = sinks.nominations(alerts.select(F.col("title").alias("name"), F.lit("r|s").alias("reason")), "Due")
+    want = ["## Due (3)", "", "- one: r/s", "- three: r/s", "- two: r/s"]
+    assert [r.line for r in section.orderBy("place", "line").collect()] == want
+    sinks.write_lines(section, f"{tmp_path}/due")
+    assert [f.read_text().split("\n")[:-1] for f in tmp_path.glob("due/part-*")] == [want]
 
 
 def test_packing(spark):
