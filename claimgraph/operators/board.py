@@ -14,6 +14,10 @@ from claimgraph.operators import state
 MACHINE_METHODS = ("rule", "local-model")
 
 
+#: What the rules look at, beside an item's ident.
+USED = ("sources", "evidence_method", "denominator_stated", "evidence_coverage", "content_hash", "evidence_hash", "topics", "anchor", "anchor_ambiguous")
+
+
 def board_violations(items: DataFrame, spans: DataFrame, evidence: DataFrame, topics: Sequence[str], source_types: dict[str, int], ident: str) -> DataFrame:
     """ident, rule, detail: a row for each of the 17 rules that an item breaks; the source rules give one for each source.
 
@@ -24,16 +28,17 @@ def board_violations(items: DataFrame, spans: DataFrame, evidence: DataFrame, to
     is not blank among its sources; of items of one URL identity, all but that of the smallest ident break the rule.
     Nulls are absent values; items without a url have neither spans nor evidence, and share no identity.
     """
+    items = items.select(ident, *[c for c in USED if c != ident])  # no other column's name can be one of those made here
     none = F.array()
     sources = F.coalesce("sources", none.cast(items.schema["sources"].dataType))
     url = F.get(F.filter(F.transform(sources, lambda s: s["url"]), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0))
     # Items without a url get keys of their own, so that the joins don't deal them all to one task.
     alone = F.concat(F.lit("\0"), F.coalesce(F.col(ident).cast("string"), F.lit("")))
-    rows = items.withColumn("__found", url).withColumn("__url", F.coalesce("__found", alone)).withColumn("__same", F.when(F.col("__found").isNotNull(), canonical_url(F.col("__found"))).otherwise(alone))
-    first = rows.filter("__found is not null").groupBy("__same").agg(F.min(ident).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__same", "__first")
-    recs = spans.filter("url <> ''").select(F.col("url").alias("__url"), F.struct("fetch", F.size(F.coalesce("spans", none.cast(spans.schema["spans"].dataType))).alias("n"), "content_hash", "evidence_hash").alias("__rec"))
-    evs = evidence.filter("url <> ''").select(F.col("url").alias("__url"), F.struct("claim_tier", "claim_relationship", "source_tier").alias("__ev"))
-    joined = rows.join(first, "__same", "left").join(recs, "__url", "left").join(evs, "__url", "left")
+    rows = items.withColumn("its_found", url).withColumn("its_url", F.coalesce("its_found", alone)).withColumn("its_same", F.when(F.col("its_found").isNotNull(), canonical_url(F.col("its_found"))).otherwise(alone))
+    first = rows.filter("its_found is not null").groupBy("its_same").agg(F.min(ident).alias("its_first"), F.count(F.lit(1)).alias("its_n")).filter("its_n > 1").select("its_same", "its_first")
+    recs = spans.filter("url <> ''").select(F.col("url").alias("its_url"), F.struct("fetch", F.size(F.coalesce("spans", none.cast(spans.schema["spans"].dataType))).alias("n"), "content_hash", "evidence_hash").alias("its_rec"))
+    evs = evidence.filter("url <> ''").select(F.col("url").alias("its_url"), F.struct("claim_tier", "claim_relationship", "source_tier").alias("its_ev"))
+    joined = rows.join(first, "its_same", "left").join(recs, "its_url", "left").join(evs, "its_url", "left")
 
     tiers = F.create_map(*[F.lit(x) for pair in source_types.items() for x in pair]) if source_types else F.create_map().cast("map<string,int>")
     text = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
@@ -45,7 +50,7 @@ def board_violations(items: DataFrame, spans: DataFrame, evidence: DataFrame, to
         due = F.try_element_at(tiers, kind)
         return F.coalesce(fault(due.isNull(), "unknown source type", kind), fault(~s["source_tier"].eqNullSafe(due), "tier mismatch", F.concat(text(s["source_tier"]), F.lit(" for "), kind)))
 
-    rec, ev, anchor = F.col("__rec"), F.col("__ev"), F.col("anchor")
+    rec, ev, anchor = F.col("its_rec"), F.col("its_ev"), F.col("anchor")
     fetched = F.coalesce(rec["fetch"] == "ok", F.lit(False))
     total = F.when(fetched, rec["n"]).otherwise(0)
     seen, stated = F.coalesce(F.col("evidence_coverage")["seen"], F.lit(0)), F.coalesce(F.col("evidence_coverage")["total"], F.lit(0))
@@ -55,7 +60,7 @@ def board_violations(items: DataFrame, spans: DataFrame, evidence: DataFrame, to
     held = F.coalesce("topics", none.cast("array<string>"))
     unknown = F.filter(held, lambda x: ~F.coalesce(x.isin(*topics), F.lit(False)))
     faults = [
-        fault(F.col("__first") != F.col(ident), "duplicate URL", F.concat(text(F.col("__first")), F.lit(" "), F.col("__same"))),
+        fault(F.col("its_first") != F.col(ident), "duplicate URL", F.concat(text(F.col("its_first")), F.lit(" "), F.col("its_same"))),
         fault((seen < 0) | (stated < 0) | (seen > stated), "invalid coverage", read),
         fault((F.col("denominator_stated") == "n/a") & (total > 0), "n/a with spans", text(total)),
         fault(machine & ~fetched, "label without article"),

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimgraph.operators.relational import unused
 from claimgraph.sources.readers import json_block
 
 # Words of a binding duty, and what counts as a quantity.
@@ -87,9 +88,10 @@ def evaluated(df: DataFrame, title: str, summary: str, noise: Column, evaluator:
     if evaluator is None:
         return df.withColumn("finding", F.when(quiet, routine()).otherwise(fallback))
     prompt = F.when(~quiet, F.concat_ws("\n", F.lit("Evaluate this notice and answer with one JSON object."), F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))), F.concat(F.lit("Summary: "), F.coalesce(summary, F.lit("")))))
-    asked = answers(df.withColumn("__prompt", prompt), "__prompt", evaluator, tries, wait)
+    name = unused("prompt", df)
+    asked = answers(df.withColumn(name, prompt), name, evaluator, tries, wait)
     said = F.from_json(json_block(F.col("answer")), FINDING)
-    return asked.withColumn("finding", F.when(F.col("__prompt").isNull(), routine()).otherwise(F.coalesce(said, fallback))).drop("__prompt", "answer")
+    return asked.withColumn("finding", F.when(F.col(name).isNull(), routine()).otherwise(F.coalesce(said, fallback))).drop(name, "answer")
 
 
 def last_list(text: Column) -> Column:

@@ -22,9 +22,17 @@ def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     return F.broadcast(df) if len(rows) <= MOST_BROADCAST else df
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores before it as make it no column's of the tables."""
+    while any(name in t.columns for t in tables):
+        name = f"_{name}"
+    return name
+
+
 def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key in the given order."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__r = 1").drop("__r")
+    nth = unused("nth", df)
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(nth) == 1).drop(nth)
 
 
 def top_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column], n: int, rank: str = "rank") -> DataFrame:
@@ -37,7 +45,7 @@ def suffix_match(df: DataFrame, host: str, registry: DataFrame) -> DataFrame:
     hosts = df.select(host).distinct()
     named = hosts.select(host, F.explode(suffixes(F.col(host))).alias("domain")).join(registry, "domain")
     value = [c for c in registry.columns if c not in ("domain", "ord")]
-    best = named.groupBy(host).agg(F.min_by(F.struct(*value), "ord").alias("__m")).select(host, "__m.*")
+    best = named.groupBy(host).agg(F.min_by(F.struct(*value), "ord").alias("m")).select(host, "m.*")
     return df.join(best, host, "left")
 
 
@@ -60,7 +68,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: Sequence[str], refres
 
 def changed(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """Keys whose digest is known and differs."""
-    return new.alias("n").join(old.select(key, F.col(digest).alias("__was")), key).filter(F.col(digest) != F.col("__was")).select(key, digest)
+    return new.select(key, digest).alias("n").join(old.select(key, digest).alias("o"), key).filter(F.col(f"n.{digest}") != F.col(f"o.{digest}")).select(key, F.col(f"n.{digest}"))
 
 
 #: The low bits of monotonically_increasing_id number the rows of a partition.

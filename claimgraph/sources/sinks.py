@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from claimgraph.operators.relational import unused
+
 
 def fingerprint(df: DataFrame, without: tuple[str, ...] = ("generated",)) -> int:
     """A digest of the rows in any order: the sum of their hashes modulo 2**64 by halves, and their number."""
@@ -37,8 +39,9 @@ def append_lines(df: DataFrame, path: str) -> None:
 
 def bank(old: DataFrame, new: DataFrame, order: list, most: int = 250) -> DataFrame:
     """New rows before old ones, the first ``most``."""
-    both = new.withColumn("__age", F.lit(0)).unionByName(old.withColumn("__age", F.lit(1)), allowMissingColumns=True)
-    return both.orderBy("__age", *order).limit(most).drop("__age")
+    age = unused("age", new, old)
+    both = new.withColumn(age, F.lit(0)).unionByName(old.withColumn(age, F.lit(1)), allowMissingColumns=True)
+    return both.orderBy(age, *order).limit(most).drop(age)
 
 
 def keep_last_dates(history: DataFrame, date: str, most: int = 400) -> DataFrame:
