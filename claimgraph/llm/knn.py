@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimgraph.llm.common import cut
+from claimgraph.llm.common import U, cut, mix
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,15 @@ def widen(x: np.ndarray, d: int) -> np.ndarray:
 
 
 def unblob(column) -> np.ndarray:
-    return stack([np.frombuffer(b, np.float64) for b in column.to_pylist()])
+    blobs = column.to_pylist()
+    if len({len(b) for b in blobs}) == 1:
+        return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+    return stack([np.frombuffer(b, np.float64) for b in blobs])
+
+
+def spread_out(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """A number below ``parts`` for each id by its hash, so that ids of one remainder, or negative ones, are spread as others."""
+    return (mix(ids.astype(np.int64).view(U)) % np.maximum(parts, 1).astype(U)).astype(np.int64)
 
 
 def lifted(x: np.ndarray, d: int, most: float | None) -> np.ndarray:
@@ -232,7 +240,7 @@ def dealt(vectors: DataFrame, queries: DataFrame, p: KnnParams) -> tuple[DataFra
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             cell, ids = part.column("cell").to_numpy(), part.column("query_id").to_numpy()
-            group = plan.first[cell] + np.abs(ids) % np.maximum(plan.groups[cell], 1)
+            group = plan.first[cell] + spread_out(ids, plan.groups[cell])
             yield from spread(part, "query_id", "q", np.arange(part.num_rows), group, None)
 
     def give(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +264,8 @@ def dealt(vectors: DataFrame, queries: DataFrame, p: KnnParams) -> tuple[DataFra
             task = np.repeat(plan.task[group], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
             row = np.repeat(row, rep)
         else:
-            mixed = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            task = plan.task[group] + (mixed % plan.tasks[group].astype(np.uint64)).astype(np.int64)
+            # By a further hash, so that the vectors of a task don't depend on the group that their ids would be in.
+            task = plan.task[group] + spread_out(ids[row] ^ 0x5DEECE66D, plan.tasks[group])
         for i in range(0, len(row), 4096):
             at = pa.array(row[i : i + 4096])
             yield pa.RecordBatch.from_pydict({"task": task[i : i + 4096], ident: part.column(ident).take(at), blob: part.column(blob).take(at)})

@@ -202,7 +202,9 @@ def _prefixes(p: JoinParams):
 
 
 def prefixes(sets: DataFrame, p: JoinParams) -> DataFrame:
-    blocks = max(12, sets.count() * 4_000 // (p.block_bytes * 2))
+    # By the bytes that sets have, which for long documents are many times those of others.
+    held = sets.agg(F.sum(F.size("grams").cast("long") * 8)).first()[0] or 0
+    blocks = blocks_for(held, p.block_bytes * 2)
     dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     cells = dealt.groupBy("chunk").applyInArrow(_set_columns(2 * blocks), "block int, chunk int, cell binary, n binary")
     sums = cells.groupBy("block").applyInArrow(_set_sums, "chunk int, block int, level binary")

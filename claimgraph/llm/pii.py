@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimgraph.functions.text import running
 from claimgraph.llm.common import let, whole
 
 KINDS = ("email", "ip", "card", "phone")
@@ -48,23 +49,62 @@ def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+MATCHES = "array<struct<s:int,e:int,m:string>>"
+
+
 def found(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>>: leftmost non-overlapping matches; s and e in code points from 0, e exclusive."""
 
     def place(parts: Column) -> Column:
         gaps, ms = parts["gaps"], parts["ms"]
+        sizes = F.transform(ms, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
 
-        def step(acc, i):
-            s = acc["at"] + F.length(F.get(gaps, i))
-            e = s + F.length(F.get(ms, i))
-            return F.struct(e.alias("at"), F.concat(acc["all"], F.array(F.struct(s.alias("s"), e.alias("e"), F.get(ms, i).alias("m")))).alias("all"))
+        def one(m: Column, i: Column, begins: Column) -> Column:
+            s = F.get(begins, i) + F.length(F.get(gaps, i))
+            return F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("all"))
-        return F.when(F.size(ms) > 0, F.aggregate(F.sequence(F.lit(0), F.size(ms) - 1), start, step)["all"]).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+        placed = let(running(sizes), lambda begins: F.transform(ms, lambda m, i: one(m, i, begins)))
+        return F.when(F.size(ms) > 0, placed).otherwise(F.array().cast(MATCHES))
 
     return let(text, lambda t: let(F.struct(F.split(t, pattern).alias("gaps"), F.regexp_extract_all(t, F.lit(pattern), 0).alias("ms")), place))
 
 
+#: Characters of a block. Spark counts the characters of a text from its start for each piece cut out of it; a piece cut
+#: out of the blocks that it touches costs no more than those.
+BLOCK = 256
+
+
+def blocks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def piece(blocks: Column, start: Column, size: Column) -> Column:
+    """The characters from ``start``, counted from 0, on."""
+    k = F.floor(start / BLOCK).cast("int")
+    near = F.slice(blocks, k + 1, F.floor((start + size) / BLOCK).cast("int") - k + 1)
+    return F.substring(F.array_join(near, ""), start - k * BLOCK + 1, size)
+
+
+def below(ordered: Column, value: Column) -> Column:
+    """How many of an ascending array's values are less than ``value``, by halving."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.size(ordered))).cast("int"), F.lit(0)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    further = lambda at, step: F.when(F.get(ordered, at + step - 1) < value, at + step).otherwise(at)
+    return F.when(F.size(ordered) > 0, F.aggregate(steps, F.lit(0), further)).otherwise(0)
+
+
+def most_before(values: Column) -> Column:
+    """For each of several values the largest before it, 0 for the first: maxima over blocks of the root of their number, and within a block."""
+    side = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
+
+    def over(x: Column) -> Column:
+        xs, b = x["xs"], x["b"]
+        tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / b).cast("int")), lambda k: F.array_max(F.slice(xs, k * b + 1, b)))
+        one = lambda i, held: F.greatest(F.array_max(F.slice(held, F.lit(1), F.floor(i / b).cast("int"))), F.array_max(F.slice(xs, i - i % b + 1, i % b)), F.lit(0))
+        return let(tops, lambda held: F.transform(xs, lambda _, i: one(i, held)))
+
+    return F.when(F.size(values) > 0, let(F.struct(values.alias("xs"), side.alias("b")), over)).otherwise(F.array().cast("array<int>"))
+
+
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -118,13 +158,20 @@ def loose_spans(text: Column) -> Column:
 
 
 def apart(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda x: ~F.exists(others, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
+    """The spans that overlap none of the others. Others of one kind are in order and apart, so of each kind the last that begins before a span's end tells."""
+    of_kind = lambda k: F.filter(others, lambda y: y["kind"] == k)
+    ends = F.array(*[let(of_kind(k), lambda ys: F.struct(ys["s"].alias("s"), ys["e"].alias("e"))) for k in KINDS])
+    clear = lambda x, ys: F.coalesce(F.get(ys["e"], below(ys["s"], x["e"]) - 1) <= x["s"], F.lit(True))
+    told = lambda xs: let(ends, lambda held: F.filter(xs, lambda x: F.forall(held, lambda ys: clear(x, ys))))
+    return let(spans, lambda xs: F.when((F.size(xs) > 0) & (F.size(others) > 0), told(xs)).otherwise(xs))
 
 
 LABELERS = ("check", "format", "gazetteer", "other", "company")
 
 
+DESCRIBED = "array<struct<kind:string,s:int,e:int,pattern:string>>"
+
+
 def described(text: Column, spans: Column, base: Column, is_base: bool) -> Column:
     """array<struct<kind, s, e, pattern>>; pattern: kind, votes of LABELERS (+ for, - against, 0 none), digits and separators.
 
@@ -133,8 +180,8 @@ def described(text: Column, spans: Column, base: Column, is_base: bool) -> Colum
     base span is near.
     """
 
-    def one(x: Column) -> Column:
-        before = F.lower(F.substring(text_of(text), F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40))))
+    def one(x: Column, blocks: Column, starts: Column) -> Column:
+        before = F.lower(piece(blocks, F.greatest(x["s"] - 40, F.lit(0)), F.least(x["s"], F.lit(40))))
         n = F.length(digits(x["m"]))
         check = F.lit("+") if is_base else F.when(x["kind"] == "card", F.when(let(digits(x["m"]), luhn), "+").otherwise("-")).otherwise("0")
         form = F.when(x["m"].rlike(r"^[0-9]+$"), "0").when(F.size(F.array_distinct(F.split(F.regexp_replace(x["m"], r"[A-Za-z0-9()+@\[\]]", ""), ""))) <= 2, "+").otherwise("-")
@@ -142,11 +189,14 @@ def described(text: Column, spans: Column, base: Column, is_base: bool) -> Colum
         own = F.coalesce(*[F.when((x["kind"] == k) & said(v), "+") for k, v in GAZETTEER.items()])
         words = F.coalesce(own, F.when(said("|".join(GAZETTEER.values())), "-"), F.lit("0"))
         other = F.when(before.rlike(AGAINST), "-").otherwise("0")
-        company = F.when(F.exists(base, lambda y: (y["s"] != x["s"]) & (F.abs(y["s"] - x["s"]) < 200)), "+").otherwise("0")
+        last, next_one = F.get(starts, below(starts, x["s"]) - 1), F.get(starts, below(starts, x["s"] + 1))
+        company = F.when((x["s"] - last < 200) | (next_one - x["s"] < 200), "+").otherwise("0")
         shape = F.concat(F.least(n / 4, F.lit(5)).cast("int").cast("string"), F.when(x["m"].rlike(" "), "s").otherwise("_"), F.when(x["m"].rlike("-"), "d").otherwise("_"))
         return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.concat(x["kind"], F.lit("|"), check, form, words, other, company, F.lit("|"), shape).alias("pattern"))
 
-    return F.transform(spans, one)
+    held = F.struct(blocks_of(text_of(text)).alias("blocks"), F.array_sort(base["s"]).alias("starts"))
+    told = let(held, lambda h: F.transform(spans, lambda x: one(x, h["blocks"], h["starts"])))
+    return F.when(F.size(spans) > 0, told).otherwise(F.array().cast(DESCRIBED))
 
 
 def features(pattern: str) -> list[str]:
@@ -271,16 +321,16 @@ def in_order(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span, or union of overlapping spans, replaced by its kind in brackets."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["e"].alias("e"), x["kind"].alias("kind"))))
 
-    def step(acc, x):
-        inside = x["s"] < acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
+    def put(x: Column) -> Column:
+        # What is before a span from the end of all spans before it; a span that begins before that is inside of one.
+        one = lambda y, i: let(F.get(x["before"], i), lambda at: F.when(y["s"] < at, "").otherwise(F.concat(piece(x["blocks"], at, y["s"] - at), F.lit("["), F.upper(y["kind"]), F.lit("]"))))
+        end = F.array_max(x["spans"]["e"])
+        return F.concat(F.array_join(F.transform(x["spans"], one), ""), F.substring(text, end + 1, F.length(text)))
 
-    sorted_spans = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    folded = F.aggregate(sorted_spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    whole = let(folded, lambda f: F.concat(F.array_join(f["out"], ""), F.substring(text, f["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    held = let(ordered, lambda o: F.struct(o.alias("spans"), most_before(o["e"]).alias("before"), blocks_of(text).alias("blocks")))
+    return F.when(F.size(spans) > 0, let(held, put)).otherwise(text)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import batches, text_bytes
+from claimgraph.llm.common import batches, cut, text_bytes
 
 
 @dataclass(frozen=True)
 class NetParams:
     #: Bound of the labelled documents learnt from, each with its whole text.
     sample_docs: int = 1_000
+    #: Bound of the bytes of those texts: what no longer fits is passed over, as a whole document.
+    sample_bytes: int = 64 << 20
     chunk: int = 256
     width: int = 5
     filters: int = 12
@@ -144,15 +146,33 @@ def held_out(parts: int = 5):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == 0
 
 
+def sample(docs: DataFrame, labels: DataFrame, p: NetParams = NetParams()) -> DataFrame:
+    """doc_id, text, quality of the labelled documents to learn from: one row for each id, at most p.sample_docs of them, of p.sample_bytes of text together.
+
+    They are taken by a hash of their id. Rows that repeat an id are brought down to one, the text that sorts first,
+    before any of them moves.
+    """
+    known = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    order = F.xxhash64("doc_id", F.lit("quality sample"))
+    chosen = known.orderBy(order, "doc_id").limit(p.sample_docs)
+    found = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id")
+    own = cut(found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
+    # At most p.sample_docs sizes; the texts themselves are read once it is known which fit.
+    left, fitting = p.sample_bytes, []
+    for r in sorted(own.select("doc_id", F.octet_length("text").alias("size"), order.alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if r["size"] <= left:
+            left -= r["size"]
+            fitting.append(r["doc_id"])
+    return own.filter(F.col("doc_id").isin(fitting)).select("doc_id", "text", "quality")
+
+
 def train(docs: DataFrame, labels: DataFrame, p: NetParams = NetParams()) -> Net:
-    """Learns labels.quality of at most p.sample_docs documents, the first by a hash of their id, from their whole texts.
+    """Learns labels.quality of the documents of ``sample``, from their whole texts.
 
     Of several labels of a doc_id the largest counts. Labels without a value or a doc_id, of held-out documents, and of
     documents without text, teach nothing; without any, all texts get one score.
     """
-    known = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit("quality sample")), "doc_id").limit(p.sample_docs)
-    rows = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    rows = sample(docs, labels, p).toPandas().sort_values(["doc_id", "text"], kind="stable")
     return fit(pa.array(rows.text, pa.string()), rows.quality.to_numpy(np.float32), p)
 
 

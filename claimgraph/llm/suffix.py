@@ -41,7 +41,7 @@ class SuffixParams:
     gram: int = 32
     #: Input bytes in a block of documents.
     block_bytes: int = 6 << 20
-    #: So many different suffixes of one anchor in one block of documents cut them into windows.
+    #: So many different suffixes of one anchor, in all blocks of documents together, cut them into windows.
     wide: int = 24
 
     @property
@@ -93,14 +93,14 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, p: SuffixParams):
 
 
 def _distinct(grams: np.ndarray, digests: np.ndarray):
-    """The grams' distinct leading bits, how many suffixes each has, and how many different ones."""
+    """The grams' distinct leading bits, how many suffixes each has, how many different ones, and a byte that marks the first of these."""
     top = grams >> U(64 - BITS)
     order = np.lexsort((digests, top))
     g, d = top[order], digests[order]
     first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
     fresh = first | np.concatenate([[True], d[1:] != d[:-1]]) if len(g) else first
     at = np.flatnonzero(first)
-    return g[at], np.diff(np.append(at, len(g))), np.add.reduceat(fresh, at) if len(at) else at
+    return g[at], np.diff(np.append(at, len(g))), np.add.reduceat(fresh, at) if len(at) else at, (d[at] >> U(56)).astype(np.uint8)
 
 
 def _cuts(values: np.ndarray, blocks: int) -> np.ndarray:
@@ -112,23 +112,33 @@ def _count(blocks: int, p: SuffixParams):
         chunk = docs.column("chunk")[0].as_py()
         data, offsets = text_bytes(sorted_rows(docs).column("text"))
         _, _, grams, digests = suffixes(data, offsets, p)
-        own, _, different = _distinct(grams, digests)
+        own, _, different, mark = _distinct(grams, digests)
+        different = np.minimum(different, 255).astype(np.uint8)
         cuts = _cuts(own, blocks)
         some = np.flatnonzero(np.diff(cuts))
-        return pa.table({"block": some.astype(np.int32), "chunk": np.full(len(some), chunk, np.int32), "grams": pa.array([pack(own[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()), "wide": pa.array([np.packbits(different[cuts[k] : cuts[k + 1]] >= p.wide).tobytes() for k in some], pa.binary())})
+        part = lambda f: pa.array([f(slice(cuts[k], cuts[k + 1])) for k in some], pa.binary())
+        columns = {"grams": part(lambda x: pack(own[x])), "different": part(lambda x: different[x].tobytes()), "mark": part(lambda x: mark[x].tobytes())}
+        return pa.table({"block": some.astype(np.int32), "chunk": np.full(len(some), chunk, np.int32)} | columns)
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    grams = [unpack(b) for b in table.column("grams").to_pylist()]
-    wide = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(g)) for b, g in zip(table.column("wide").to_pylist(), grams, strict=True)]
-    every, inverse, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    any_wide = np.bincount(inverse, weights=np.concatenate(wide), minlength=len(every)) > 0
-    at = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-    bits = lambda x, a, b: np.packbits(x[inverse[a:b]]).tobytes()
-    ends = list(zip(at[:-1], at[1:], strict=True))
-    return pa.table({"chunk": table.column("chunk"), "block": table.column("block"), "n": pa.array(np.diff(at), pa.int32()), "often": pa.array([bits(counts > 1, a, b) for a, b in ends], pa.binary()), "wide": pa.array([bits(any_wide, a, b) for a, b in ends], pa.binary())})
+def _answer(p: SuffixParams):
+    def run(table: pa.Table) -> pa.Table:
+        grams = [unpack(b) for b in table.column("grams").to_pylist()]
+        joined = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint8)
+        every, inverse, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        most = np.zeros(len(every), np.int64)
+        np.maximum.at(most, inverse, joined("different"))
+        # Blocks whose first suffixes have different marks have different suffixes: an anchor with few in each block may have many in all.
+        marks = np.bincount(np.unique(inverse.astype(np.int64) * 256 + joined("mark")) >> 8, minlength=len(every))
+        wide = most + marks - 1 >= p.wide
+        at = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+        ends = list(zip(at[:-1], at[1:], strict=True))
+        bits = lambda x: pa.array([np.packbits(x[inverse[a:b]]).tobytes() for a, b in ends], pa.binary())
+        return pa.table({"chunk": table.column("chunk"), "block": table.column("block"), "n": pa.array(np.diff(at), pa.int32()), "often": bits(counts > 1), "wide": bits(wide)})
+
+    return run
 
 
 RUNS = "block int, chunk int, n int, shared binary, sizes binary, rest binary, grams binary, ids binary, rows binary, starts binary, ends binary"
@@ -157,7 +167,7 @@ def _runs(blocks: int, p: SuffixParams):
             chunk = docs.column("chunk")[0].as_py()
             data, offsets = text_bytes(docs.column("text"))
             first, last, grams, digests = suffixes(data, offsets, p)
-            own, counts, _ = _distinct(grams, digests)
+            own, counts, _, _ = _distinct(grams, digests)
             order = np.argsort(answers.column("block").to_numpy(), kind="stable")
             sizes = answers.column("n").to_numpy()
             unbits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(answers.column(name)[int(k)].as_py(), np.uint8), count=sizes[k]) for k in order] + [np.zeros(0, np.uint8)]) > 0
@@ -404,8 +414,8 @@ def repeated_ranges(docs: DataFrame, p: SuffixParams = SuffixParams()) -> tuple[
     """The documents dealt into blocks (doc_id, text, chunk), and the byte ranges to remove by block: packed rows of the block as ``sorted_rows`` has it, starts and ends."""
     blocks = blocks_for(input_bytes(docs), p.block_bytes)
     dealt = with_chunk(docs, blocks)
-    counted = dealt.groupBy("chunk").applyInArrow(_count(3 * blocks, p), "block int, chunk int, grams binary, wide binary")
-    answers = counted.groupBy("block").applyInArrow(_answer, "chunk int, block int, n int, often binary, wide binary")
+    counted = dealt.groupBy("chunk").applyInArrow(_count(3 * blocks, p), "block int, chunk int, grams binary, different binary, mark binary")
+    answers = counted.groupBy("block").applyInArrow(_answer(p), "chunk int, block int, n int, often binary, wide binary")
     runs = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_runs(3 * blocks, p), RUNS)
     return dealt, runs.groupBy("block").applyInArrow(_reduce(p), RANGES)
 
