@@ -32,15 +32,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         groups = ngram_join.near_duplicates(docs)
         gone = groups.filter("component_id <> doc_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
-    # Rows that their id doesn't tell apart are named by a digest of id and text.
+    # Rows that their id doesn't tell apart are told apart by a digest of their text as well. Each row that is left is then
+    # numbered, so that no name of one can be that of another.
     rows = docs.select("doc_id", "text", whole(docs).alias("row"))
     alone = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     marked = rows.filter(~alone).join(odd.filter("repeated is not null"), F.col("doc_id") == F.col("repeated"), "left")
-    name = F.when(F.col("doc_id").isNull() | F.col("repeated").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
-    one = cut(marked.groupBy(name.alias("name")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")))
+    digest = F.when(F.col("doc_id").isNull() | F.col("repeated").isNotNull(), F.sha2("text", 256))
+    first = marked.groupBy("doc_id", digest.alias("digest")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    one = cut(first.select(F.monotonically_increasing_id().alias("name"), "doc_id", "digest", "row"))
     groups = ngram_join.near_duplicates(one.select(F.col("name").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("name"), "component_id")
-    ids = one.select("name", F.col("row.doc_id").alias("doc_id")).join(groups, "name")
-    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("b")).select(F.col("b.name").alias("name"))
+    ids = one.select("name", "doc_id", "digest").join(groups, "name")
+    best = ids.groupBy("component_id").agg(F.min_by("name", F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("name"))
     return one.join(best, "name", "left_semi").select("row.*").unionByName(rows.filter(alone).select("row.*"))
 
 
