@@ -66,6 +66,8 @@ def q110(t, spark):
 
 
 CHANGE = "round((price - size) / 10, 2)"
+#: The same as binary numbers have it, which is how the SQL rounds: Spark's own round goes by the shortest decimals, so 0.285 becomes 0.29 there and 0.28 here.
+CHANGE_SPARK = "round((price - size) / 10 * 100) / 100"
 
 
 @query("q111_market_digest", f"""WITH q AS (SELECT 'I' || item_id AS symbol, {CHANGE} AS change FROM items WHERE price IS NOT NULL AND size IS NOT NULL), d AS (SELECT *, row_number() OVER (ORDER BY change, symbol) AS r FROM q WHERE change <= -3), u AS (SELECT *, row_number() OVER (ORDER BY change DESC, symbol) AS r FROM q WHERE change >= 5),
@@ -73,7 +75,7 @@ a AS (SELECT kind, arg_min(name, item_id) AS name FROM items WHERE kind IS NOT N
 SELECT 'drops' AS list, CAST(r AS INTEGER) AS rank, symbol AS name, change FROM d WHERE r <= 3 UNION ALL SELECT 'rallies', CAST(r AS INTEGER), symbol, change FROM u WHERE r <= 3 UNION ALL SELECT 'article', 1, kind || ': ' || name, NULL FROM a""")
 def q111(t, spark):
     items = t("items")
-    quotes = items.filter("price IS NOT NULL AND size IS NOT NULL").select(F.format_string("I%d", "item_id").alias("symbol"), F.lit("equity").alias("kind"), F.expr(CHANGE).alias("change_pct"))
+    quotes = items.filter("price IS NOT NULL AND size IS NOT NULL").select(F.format_string("I%d", "item_id").alias("symbol"), F.lit("equity").alias("kind"), F.expr(CHANGE_SPARK).alias("change_pct"))
     return reports.market_digest(quotes, items.filter("kind IS NOT NULL").select(F.col("kind").alias("category"), F.col("item_id").alias("place"), F.col("name").alias("title")))
 
 
