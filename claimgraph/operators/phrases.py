@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Letters that are written otherwise but count as these, in any case; all are one character for one.
 ALIKE = {0x130: "i", 0x131: "i", 0x212A: "k", 0x17F: "s"}
 PLURALS = ("", "s", "es")
+#: Texts that are Python objects at a time.
+STEP = 256
 PLACES = "array<struct<text:int,n:int,at:int>>"
 
 
@@ -93,6 +96,29 @@ def matcher(patterns: tuple[Pattern, ...], joined: str) -> Matcher:
     return _BUILT[patterns, joined]
 
 
+def spots(m: Matcher, column: pa.Array) -> pa.Array:
+    """``spotted`` of a batch."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rows, ns, places = array("q"), array("i"), array("i")
+    texts = column.flatten()
+    # A few texts at a time are taken out of the batch, and hits are held as numbers: a batch has 10,000 rows.
+    for start in range(0, len(texts), STEP):
+        for i, text in enumerate(texts.slice(start, STEP).to_pylist(), start):
+            if text:
+                for n, place in sorted(m.places(text).items()):
+                    rows.append(i)
+                    ns.append(n)
+                    places.append(place)
+    at = np.array(rows, np.int64)
+    row_of = np.repeat(np.arange(len(sizes)), sizes)
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(np.bincount(row_of[at], minlength=len(sizes)), out=offsets[1:])
+    parts = [at - begins[at], np.array(ns, np.int32), np.array(places, np.int32)]
+    values = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in parts], ["text", "n", "at"])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
 def spotted(texts: Column, patterns: Sequence[Pattern], joined: str = "") -> Column:
     """Of an array of texts, array<struct<text, n, at>>: which patterns, by number, stand in which texts, and where each stands first in it (all from 0), in this order.
 
@@ -103,21 +129,6 @@ def spotted(texts: Column, patterns: Sequence[Pattern], joined: str = "") -> Col
 
     @F.arrow_udf(PLACES)
     def found(column: pa.Array) -> pa.Array:
-        m = matcher(held, joined)
-        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        rows: list[int] = []
-        found: list[tuple[int, int]] = []
-        for i, text in enumerate(column.flatten().to_pylist()):
-            if text and (here := m.places(text)):
-                found += sorted(here.items())
-                rows += [i] * len(here)
-        at = np.array(rows, np.int64)
-        row_of = np.repeat(np.arange(len(sizes)), sizes)
-        offsets = np.zeros(len(sizes) + 1, np.int32)
-        np.cumsum(np.bincount(row_of[at], minlength=len(sizes)), out=offsets[1:])
-        parts = [at - begins[at], [n for n, _ in found], [p for _, p in found]]
-        values = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in parts], ["text", "n", "at"])
-        return pa.ListArray.from_arrays(pa.array(offsets), values)
+        return spots(matcher(held, joined), column)
 
     return found(texts)
