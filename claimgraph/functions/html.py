@@ -97,7 +97,8 @@ def outbound(html: Column, url: Column, most: int = 200) -> Column:
     scheme = F.coalesce(first_match(F.lower(url), r"^(https?):"), F.lit("https"))
     links = F.transform(F.regexp_extract_all(region, F.lit(LINK), 1), lambda x: T.unescape(F.trim(x)))
     whole = F.transform(links, lambda x: F.when(x.startswith("//"), F.concat(scheme, F.lit(":"), x)).otherwise(x))
-    return F.slice(F.array_distinct(F.filter(whole, lambda x: x.rlike("^https?://") & (hostname(x) != "") & (hostname(x) != hostname(url)))), 1, most)
+    outside = lambda own: F.filter(whole, lambda x: x.rlike("^https?://") & T.let(hostname(x), lambda h: (h != "") & (h != own)))
+    return F.slice(F.array_distinct(T.let(hostname(url), outside)), 1, most)
 
 
 # How records are named.

@@ -59,9 +59,15 @@ def link_kinds(links: Column, scope: Column, entity: Column, primary: Sequence[s
     """struct<primary, subject_own, other>: the links of an article by kind; those of a wider region than the article aren't counted."""
     kept = F.when(scope == "article", links).otherwise(F.array().cast("array<string>"))
     mine = lambda h: F.coalesce(*[F.when(entity == k, within(h, v)) for k, v in own.items()], F.lit(False))
-    kind = lambda u: F.when(within(hostname(u), primary), "primary").when(mine(hostname(u)), "subject_own").otherwise("other")
-    of = lambda k: F.filter(kept, lambda u: kind(u) == k).alias(k)
-    return F.struct(of("primary"), of("subject_own"), of("other"))
+    kind = lambda h: F.when(within(h, primary), "primary").when(mine(h), "subject_own").otherwise("other")
+    # Each link's host is read once, however many sites it is held against and however often the result is named.
+    told = F.transform(kept, lambda u: F.struct(u.alias("u"), T.let(hostname(u), kind).alias("kind")))
+
+    def dealt(links: Column) -> Column:
+        of = lambda k: F.transform(F.filter(links, lambda x: x["kind"] == k), lambda x: x["u"]).alias(k)
+        return F.struct(of("primary"), of("subject_own"), of("other"))
+
+    return T.let(told, dealt)
 
 
 def named_source_figures(sentences: Column) -> Column:
