@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimgraph.functions.text import unescape
+from claimgraph.functions.text import let, unescape
 
 # Shapes of dates, and the form that reads each: only one is tried, since a text that fails to parse costs many times one that does.
 DAY = r"[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}"
@@ -88,13 +88,17 @@ def published(text: Column) -> Column:
         form = F.when(x.rlike("^[A-Za-z]{3} "), "MMM d, yyyy").otherwise("MMMM d, yyyy")
         return F.when(iso != "", F.try_to_timestamp(iso, F.lit("yyyyMMdd"))).when(x.rlike("^[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}$"), F.try_to_timestamp(F.initcap(x), form)).cast("date")
 
-    plain = F.regexp_replace(F.trim(F.when(text.contains("&"), unescape(text)).otherwise(text)), r"\s+", " ")
-    return F.when(text.rlike("[0-9]"), F.transform(F.array(plain), parsed)[0])
+    plain = lambda x: F.regexp_replace(F.trim(F.when(x.contains("&"), unescape(x)).otherwise(x)), r"\s+", " ")
+    return let(text, lambda x: F.when(x.rlike("[0-9]"), let(plain(x), parsed)))
 
 
 def page_date(html: Column) -> Column:
     """The day a page says it was published: datePublished of its JSON, else its meta tags, else the date in words nearest to the first h1, of those within NEAR characters; of equally near ones the first. Null if there is none."""
-    raw = F.coalesce(html, F.lit(""))
+    return let(F.coalesce(html, F.lit("")), day_of_page)
+
+
+def day_of_page(raw: Column) -> Column:
+    """``page_date`` of a page that is there; each part of it is found once, and later ones only where earlier ones say nothing."""
 
     def of_meta(tag: Column) -> Column:
         attr = lambda name: F.coalesce(F.try_element_at(F.regexp_extract_all(tag, F.lit(rf"(?i)(?<![:\w-]){name}\s*=\s*[\"']([^\"']*)[\"']"), 1), F.lit(-1)), F.lit(""))
@@ -102,15 +106,21 @@ def page_date(html: Column) -> Column:
         return F.when(key.isin(*META_KEYS), published(attr("content")))
 
     metas = F.filter(F.transform(F.regexp_extract_all(raw, F.lit(r"(?i)<meta\b[^>]*>"), 0), of_meta), lambda d: d.isNotNull())
-    parts = F.split(raw, r"(?i)<h1\b", 2)
-    at = F.length(F.get(parts, F.lit(0)))
-    begin = F.greatest(at - NEAR, F.lit(0))
-    region = F.substr(raw, begin + 1, at + NEAR - begin)
-    told, between = F.regexp_extract_all(region, F.lit(IN_WORDS), 0), F.split(region, IN_WORDS)
-    # A match begins after the matches before it and the text between them.
-    length = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    places = F.transform(told, lambda d, i: F.struct(F.abs(begin + length(between, i + 1) + length(told, i) - at).alias("off"), i.alias("i"), d.alias("d")))
-    near = F.when(F.size(parts) > 1, published(F.array_min(places)["d"]))
+
+    def nearest(at: Column) -> Column:
+        begin = F.greatest(at - NEAR, F.lit(0))
+        # A match begins after the matches before it and the text between them.
+        length = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+
+        def placed(x: Column) -> Column:
+            told, between = x["told"], x["between"]
+            return F.transform(told, lambda d, i: F.struct(F.abs(begin + length(between, i + 1) + length(told, i) - at).alias("off"), i.alias("i"), d.alias("d")))
+
+        split = lambda region: F.struct(F.regexp_extract_all(region, F.lit(IN_WORDS), 0).alias("told"), F.split(region, IN_WORDS).alias("between"))
+        places = let(let(F.substr(raw, begin + 1, at + NEAR - begin), split), placed)
+        return published(F.array_min(places)["d"])
+
+    near = let(F.split(raw, r"(?i)<h1\b", 2), lambda parts: F.when(F.size(parts) > 1, let(F.length(F.get(parts, F.lit(0))), nearest)))
     return F.coalesce(published(F.regexp_extract(raw, r"(?i)[\"']datePublished[\"']\s*:\s*[\"']([^\"']+)[\"']", 1)), F.get(metas, F.lit(0)), near)
 
 

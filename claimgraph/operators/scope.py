@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions.dates import date_in_url, page_date, too_old
 
-from claimgraph.operators.relational import top_per
+from claimgraph.operators.relational import top_per, unused
 
 # The words that put a feed's title in scope, those that put a gazette's notice in scope, and routine notices.
 FEED_SCOPE = (
@@ -93,5 +93,7 @@ def fresh_items(items: DataFrame, feed_date: Column, url: Column, html: Column,
     feed = feed_date.cast("date")
     first = items.filter(~too_old(age(feed), limit))
     own = F.when(asks, F.coalesce(page_date(html), date_in_url(url)))
-    dated = first.withColumn("effective_date", F.coalesce(own, feed))
-    return dated.filter(~too_old(age(F.col("effective_date")), limit))
+    # The day is judged where it is found: a filter behind would be pushed below, and the page read again in it.
+    name = unused("day", items)
+    days = F.filter(F.array(F.coalesce(own, feed)), lambda day: ~too_old(age(day), limit))
+    return first.select("*", F.explode(days).alias(name)).withColumn("effective_date", F.col(name)).drop(name)
