@@ -19,8 +19,16 @@ from pyspark.sql import types as T
 from claimgraph.storage import Table, names_in, put_once, remove, text_at
 
 DIGITS = 8
-#: (old row, new row), structs of which one may be null, to the row that stays; null if none does.
-Combine = Callable[[Column, Column], Column]
+#: (old row, new row), structs of which one may be null, to the row that stays; null if none does. A third is what stands beside the new row.
+Combine = Callable[..., Column]
+
+
+@dataclass(frozen=True)
+class Arriving:
+    """Rows for a merge that are read from tables as they are, so that they needn't be written down first. ``beside`` tells more of keys that they have, one row each: it meets them in the merge itself, and ``combine`` has it as a third row, null where there is none."""
+
+    rows: DataFrame
+    beside: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -48,33 +56,45 @@ class KeyedStore:
         paths = [self.path(b) for b in (sorted(self.at) if buckets is None else buckets) if b in self.at]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def part(self, wanted: DataFrame) -> DataFrame:
-        """The rows of the keys in ``wanted``, which has the columns that a bucket goes by; buckets of none of them aren't read."""
+    def part(self, wanted: DataFrame, columns: Sequence[Column] | None = None) -> DataFrame:
+        """The rows of the keys in ``wanted``, which has the columns that a bucket goes by; buckets of none of them aren't read. ``columns``: what of the rows is taken beside those columns, all if nothing is named."""
         names = list(self.by or self.keys)
         one = wanted.select(*[F.col(f"`{k}`") for k in names]).distinct()
         buckets = sorted(r["part"] for r in one.select(self.bucket().alias("part")).distinct().collect() if r["part"] is not None)
-        return self.rows(buckets).join(one, names, "left_semi")
+        rows = self.rows(buckets)
+        return (rows if columns is None else rows.select(*[F.col(f"`{k}`") for k in names], *columns)).join(one, names, "left_semi")
 
-    def merge(self, new: DataFrame, combine: Combine) -> KeyedStore:
+    def merge(self, new: DataFrame | Arriving, combine: Combine) -> KeyedStore:
         """The store after each key of ``new``, of which ``new`` has one row, is combined with what the store has of it.
 
         Rows without a key, or with a null in it, are passed over. Keys that ``new`` doesn't have keep their rows, and
-        buckets of which it has no key their files.
+        buckets of which it has no key their files. ``new`` is written down first, as it is read twice, unless it
+        says otherwise.
         """
+        beside, written, new = (new.beside, False, new.rows) if isinstance(new, Arriving) else (None, True, new)
         name = self.schema.names
-        incoming = Table(new.select(F.struct(*[F.col(f"`{k}`") for k in self.keys]).alias("key"), F.struct(*[F.col(f"`{c}`") for c in new.columns]).alias("new"), self.bucket().alias("part")).filter(" AND ".join(f"key.`{k}` IS NOT NULL" for k in self.keys)))
-        touched = sorted(r["part"] for r in incoming.df.select("part").distinct().collect())
+        keyed = lambda df, at: df.select(F.struct(*[F.col(f"`{k}`") for k in self.keys]).alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(at), self.bucket().alias("bucket"))
+        arriving = keyed(new, "new").filter(" AND ".join(f"key.`{k}` IS NOT NULL" for k in self.keys))
+        table = Table(arriving) if written else None
+        incoming = table.df if table else arriving
+        touched = sorted(r["bucket"] for r in incoming.select("bucket").distinct().collect())
         if not touched:
-            incoming.drop()
+            if table:
+                table.drop()
             return self
-        held = self.rows(touched).select(F.struct(*[F.col(f"`{k}`") for k in self.keys]).alias("key"), F.struct(*[F.col(f"`{c}`") for c in name]).alias("old"), self.bucket().alias("part"))
-        both = held.join(incoming.df.withColumnRenamed("part", "to"), "key", "full")
-        kept = F.when(F.col("new").isNull(), F.col("old")).otherwise(combine(F.col("old"), F.col("new")))
-        merged = both.select(F.coalesce("part", "to").alias("bucket"), F.pmod(F.xxhash64("key.*"), F.lit(self.buckets * self.files)).alias("file"), kept.cast(self.schema).alias("row")).filter("row IS NOT NULL")
+        file = F.pmod(F.xxhash64("key.*"), F.lit(self.buckets * self.files)).alias("file")
+        parts = ["old", "new"] if beside is None else ["old", "new", "beside"]
+        both = keyed(self.rows(touched).select(*name), "old").unionByName(incoming, allowMissingColumns=True)
+        if beside is not None:
+            both = both.unionByName(keyed(beside, "beside"), allowMissingColumns=True)
+        both = both.select("key", *parts, "bucket", file)
+        # Rows go where they will be written and meet there, so that they are sent once.
+        met = both.repartition("bucket", "file").groupBy("bucket", "file", "key").agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts])
+        kept = F.when(F.col("new").isNull(), F.col("old")).otherwise(combine(*map(F.col, parts)))
         after = self.version + 1
-        dealt = merged.repartition("bucket", "file").select("bucket", "row.*")
+        dealt = met.select("bucket", kept.cast(self.schema).alias("row")).filter("row IS NOT NULL").select("bucket", "row.*")
         own = f"v={after:0{DIGITS}d}-{uuid.uuid4().hex[:8]}"  # whoever writes the same version writes elsewhere
-        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/data/{own}")
+        dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.folder}/data/{own}")
         there = {int(n[7:]) for n in names_in(self.spark, f"{self.folder}/data/{own}") if n.startswith("bucket=")}
         at = {b: v for b, v in self.at.items() if b not in touched} | dict.fromkeys(there, own)
         done = KeyedStore(self.spark, self.folder, self.keys, self.schema, self.buckets, self.files, after, at, self.by)
@@ -86,7 +106,8 @@ class KeyedStore:
         for b in touched:
             if b in self.at:
                 remove(self.spark, self.path(b))
-        incoming.drop()
+        if table:
+            table.drop()
         return done
 
     def _publish(self) -> None:
