@@ -12,7 +12,10 @@ and bytes are compared only beyond them. Equal suffixes come out next to each ot
 without being equal are then compared window by window.
 
 An anchor with many different suffixes (an often used passage in different surroundings) would gather in one reducer. Its
-suffixes are cut into single windows, each dealt by its own hash.
+suffixes are cut by where the anchor stands in the window, and each part is dealt by the hash of the bytes that all windows
+of such a part have around the anchor. The parts are counted as the anchors were: what occurs once is left out, and what
+still is of many different parts is cut again, in the end into single windows, of which only those that repeat are sent. So
+a window costs its 100 bytes only where nothing shorter would do.
 """
 
 from __future__ import annotations
@@ -41,13 +44,22 @@ class SuffixParams:
     gram: int = 32
     #: Input bytes in a block of documents.
     block_bytes: int = 6 << 20
-    #: So many different suffixes of one anchor, in all blocks of documents together, cut them into windows.
+    #: Blocks' worth of hashes that are counted in one task: more make fewer and longer rows.
+    counted_blocks: int = 4
+    #: So many different suffixes of one anchor, in all blocks of documents together, cut them into parts.
     wide: int = 24
+    #: Parts into which they are cut first; what is still wide then is cut into windows.
+    parts: int = 4
 
     @property
     def longest(self) -> int:
         return 2 * self.length - self.gram
 
+    @property
+    def levels(self) -> tuple[int, ...]:
+        """Parts of a suffix when it is cut for the first and for the second time."""
+        return (self.parts, self.length - self.gram + 1)
+
 
 def sorted_rows(docs: pa.Table) -> pa.Table:
     """By doc_id (nulls last), then text: the same order wherever the block is read."""
@@ -55,7 +67,7 @@ def sorted_rows(docs: pa.Table) -> pa.Table:
 
 
 def suffixes(data: np.ndarray, offsets: np.ndarray, p: SuffixParams):
-    """start and end (of the first and the last window), gram hash and digest of each suffix, in order; places are in ``data``."""
+    """First and last window, anchor, gram hash and digest of each suffix, in order; places are in ``data``."""
     parts = []
     for i, j in batches(offsets, 1 << 19):
         a, b = int(offsets[i]), int(offsets[j])
@@ -86,12 +98,39 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, p: SuffixParams):
             new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(start) != 1)]))
             first, last = start[new], start[np.append(new[1:], len(start)) - 1]
             # Anchors have the smallest hashes around, so those are spread anew: dealt by ranges as they are, the lowest range would hold most.
-            parts.append((first + lo, last + lo, mix(h[own[new]] ^ SPREAD), range_hash(prefix, first, last + p.length)))
+            parts.append((first + lo, last + lo, own[new] + lo, mix(h[own[new]] ^ SPREAD), range_hash(prefix, first, last + p.length)))
     if not parts:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        return (*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], for which parts of the data are gone through one by one."""
+    out = np.zeros(len(start), np.uint64)
+    order = np.argsort(start, kind="stable")
+    at = np.searchsorted(start[order], np.arange(0, len(data) + (1 << 19), 1 << 19))
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        if i < j:
+            own = order[i:j]
+            lo, hi = int(start[own[0]]), int(end[own].max())
+            out[own] = range_hash(prefix_hash(data[lo:hi]), start[own] - lo, end[own] - lo)
+    return out
+
+
+def parted(data: np.ndarray, cut, parts: int, p: SuffixParams):
+    """The suffixes of ``cut`` by where the anchor stands in the window: first and last window, anchor, hash of what all windows of the part have around the anchor, digest."""
+    first, last, anchor = cut[:3]
+    # Windows of part j start edge[j] to edge[j + 1] - 1 bytes before the anchor.
+    edge = np.arange(parts + 1) * (p.length - p.gram + 1) // parts
+    far, near = (np.searchsorted(edge, anchor - x, "right") - 1 for x in (first, last))
+    n = far - near + 1
+    i = np.repeat(np.arange(len(n)), n)
+    j = far[i] - (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+    anchor = anchor[i]
+    first, last = np.maximum(first[i], anchor - edge[j + 1] + 1), np.minimum(last[i], anchor - edge[j])
+    return first, last, anchor, _hashes(data, anchor - edge[j], anchor - edge[j + 1] + 1 + p.length), _hashes(data, first, last + p.length)
+
+
 def _distinct(grams: np.ndarray, digests: np.ndarray):
     """The grams' distinct leading bits, how many suffixes each has, how many different ones, and a byte that marks the first of these."""
     top = grams >> U(64 - BITS)
@@ -107,20 +146,66 @@ def _cuts(values: np.ndarray, blocks: int) -> np.ndarray:
     return np.searchsorted(values, np.array([(k << BITS) // blocks for k in range(blocks)] + [1 << BITS], np.uint64))
 
 
-def _count(blocks: int, p: SuffixParams):
-    def run(docs: pa.Table) -> pa.Table:
+COUNTS = "block int, chunk int, level int, grams binary, different binary, mark binary, told binary"
+ANSWERS = "chunk int, block int, level int, n int, often binary, wide binary, told binary"
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, level: int, answers: pa.Table, p: SuffixParams):
+    """What is known when ``level`` levels are answered: the suffixes and parts to be sent, the parts to be counted next, and the levels' answers for the block, packed.
+
+    ``answers`` holds those of the last level by ranges of hashes, and those of the levels before as they were packed here.
+    """
+    cut, sent, told = suffixes(data, offsets, p), [], {}
+    fresh = answers.filter(pc.is_null(answers.column("told"))) if level else answers
+    packed = {r["level"]: r["told"] for r in answers.filter(pc.is_valid(answers.column("told"))).select(["level", "told"]).to_pylist()} if level else {}
+    for k in range(level):
+        if k < level - 1:
+            keep, wide = np.unpackbits(np.frombuffer(packed[k], np.uint8), count=2 * len(cut[0])).reshape(2, -1) > 0
+        else:
+            own, counts, _, _ = _distinct(*cut[3:])
+            order = np.argsort(fresh.column("block").to_numpy(), kind="stable")
+            sizes = fresh.column("n").to_numpy()
+            unbits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(fresh.column(name)[int(x)].as_py(), np.uint8), count=sizes[x]) for x in order] + [np.zeros(0, np.uint8)]) > 0  # noqa: B023, E731
+            often, wide = unbits("often"), unbits("wide")
+            if len(often) != len(own):
+                raise ValueError("the counts don't belong to these documents")
+            which = np.searchsorted(own, cut[3] >> U(64 - BITS))
+            keep = (often | (counts > 1))[which]
+            wide = wide[which] & keep & (k < len(p.levels))
+        told[k] = np.packbits(np.stack([keep, wide])).tobytes()
+        sent.append(tuple(x[keep & ~wide] for x in cut))
+        if k < len(p.levels):
+            cut = parted(data, [x[wide] for x in cut], p.levels[k], p)
+    return sent, cut, told
+
+
+def _count(blocks: int, p: SuffixParams, level: int = 0):
+    def run(docs: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        kinds = {"block": pa.int32(), "chunk": pa.int32(), "level": pa.int32()}
+        names = [k.split()[0] for k in COUNTS.split(", ")]
+        if not docs.num_rows:
+            return pa.table({k: pa.array([], kinds.get(k, pa.binary())) for k in names})
+        docs = sorted_rows(docs)
         chunk = docs.column("chunk")[0].as_py()
-        data, offsets = text_bytes(sorted_rows(docs).column("text"))
-        _, _, grams, digests = suffixes(data, offsets, p)
-        own, _, different, mark = _distinct(grams, digests)
+        _, cut, told = _cut(*text_bytes(docs.column("text")), level, answers, p)
+        own, _, different, mark = _distinct(*cut[3:])
         different = np.minimum(different, 255).astype(np.uint8)
         cuts = _cuts(own, blocks)
         some = np.flatnonzero(np.diff(cuts))
-        part = lambda f: pa.array([f(slice(cuts[k], cuts[k + 1])) for k in some], pa.binary())
-        columns = {"grams": part(lambda x: pack(own[x])), "different": part(lambda x: different[x].tobytes()), "mark": part(lambda x: mark[x].tobytes())}
-        return pa.table({"block": some.astype(np.int32), "chunk": np.full(len(some), chunk, np.int32)} | columns)
-
-    return run
+        part = lambda f: [f(slice(cuts[k], cuts[k + 1])) for k in some]
+        known = list(told.items())
+        columns = {
+            "block": some.tolist() + [chunk % blocks] * len(known),
+            "chunk": [chunk] * (len(some) + len(known)),
+            "level": [level] * len(some) + [k for k, _ in known],
+            "grams": part(lambda x: pack(own[x])) + [None] * len(known),
+            "different": part(lambda x: different[x].tobytes()) + [None] * len(known),
+            "mark": part(lambda x: mark[x].tobytes()) + [None] * len(known),
+            "told": [None] * len(some) + [v for _, v in known],
+        }
+        return pa.table({k: pa.array(columns[k], kinds.get(k, pa.binary())) for k in names})
+
+    return (lambda docs: run(docs)) if not level else run
 
 
 def _answer(p: SuffixParams):
@@ -141,6 +226,26 @@ def _answer(p: SuffixParams):
     return run
 
 
+def _answers(p: SuffixParams):
+    """``_answer`` of what is asked; what is known of earlier levels goes through."""
+    answer = _answer(p)
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = table.filter(pc.is_null(table.column("told")))
+        known = table.filter(pc.is_valid(table.column("told")))
+        names = [k.split()[0] for k in ANSWERS.split(", ")]
+        kinds = {"chunk": pa.int32(), "block": pa.int32(), "level": pa.int32(), "n": pa.int32()}
+        none = lambda k, n: pa.nulls(n, kinds.get(k, pa.binary()))
+        out = [pa.table({k: known.column(k) if k in known.column_names else none(k, known.num_rows) for k in names})]
+        if asked.num_rows:
+            got = answer(asked).append_column("level", asked.column("level")).append_column("told", none("told", asked.num_rows))
+            out.append(got.select(names))
+        schema = pa.schema([(k, kinds.get(k, pa.binary())) for k in names])
+        return pa.concat_tables([t.cast(schema) for t in out])
+
+    return run
+
+
 RUNS = "block int, chunk int, n int, shared binary, sizes binary, rest binary, grams binary, ids binary, rows binary, starts binary, ends binary"
 
 
@@ -166,31 +271,9 @@ def _runs(blocks: int, p: SuffixParams):
             docs = sorted_rows(docs)
             chunk = docs.column("chunk")[0].as_py()
             data, offsets = text_bytes(docs.column("text"))
-            first, last, grams, digests = suffixes(data, offsets, p)
-            own, counts, _, _ = _distinct(grams, digests)
-            order = np.argsort(answers.column("block").to_numpy(), kind="stable")
-            sizes = answers.column("n").to_numpy()
-            unbits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(answers.column(name)[int(k)].as_py(), np.uint8), count=sizes[k]) for k in order] + [np.zeros(0, np.uint8)]) > 0
-            often, wide = unbits("often"), unbits("wide")
-            if len(often) != len(own):
-                raise ValueError("the counts don't belong to these documents")
-            which = np.searchsorted(own, grams >> U(64 - BITS))
-            keep = (often | (counts > 1))[which]
-            wide = wide[which] & keep
-            # Suffixes of wide anchors, window by window.
-            prefix_of = []
-            n = (last - first + 1)[wide]
-            single = np.repeat(first[wide], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            for i in range(0, len(single), 1 << 16):
-                part = single[i : i + (1 << 16)]
-                lo, hi = part[0], part[-1] + p.length
-                prefix_of.append(range_hash(prefix_hash(data[lo:hi]), part - lo, part - lo + p.length) if hi - lo < 1 << 22 else np.concatenate([range_hash(prefix_hash(data[x : x + p.length]), np.array([0]), np.array([p.length])) for x in part]))
-            single_hash = np.concatenate([*prefix_of, np.zeros(0, np.uint64)])
-            whole = keep & ~wide
-            start = np.concatenate([first[whole], single])
-            size = np.concatenate([(last - first)[whole] + p.length, np.full(len(single), p.length)])
-            gram = np.concatenate([grams[whole], single_hash])
-            digest = np.concatenate([digests[whole], single_hash])
+            sent, _, _ = _cut(data, offsets, len(p.levels) + 1, answers, p)
+            start, last, _, gram, digest = (np.concatenate(x) for x in zip(*sent, strict=True))
+            size = last - start + p.length
             order = np.argsort(start, kind="stable")
             start, size, gram, digest = start[order], size[order], gram[order], digest[order]
             row = np.searchsorted(offsets, start, "right") - 1
@@ -414,9 +497,12 @@ def repeated_ranges(docs: DataFrame, p: SuffixParams = SuffixParams()) -> tuple[
     """The documents dealt into blocks (doc_id, text, chunk), and the byte ranges to remove by block: packed rows of the block as ``sorted_rows`` has it, starts and ends."""
     blocks = blocks_for(input_bytes(docs), p.block_bytes)
     dealt = with_chunk(docs, blocks)
-    counted = dealt.groupBy("chunk").applyInArrow(_count(3 * blocks, p), "block int, chunk int, grams binary, different binary, mark binary")
-    answers = counted.groupBy("block").applyInArrow(_answer(p), "chunk int, block int, n int, often binary, wide binary")
-    runs = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_runs(3 * blocks, p), RUNS)
+    ranges = -(-blocks // p.counted_blocks)
+    answers = dealt.groupBy("chunk").applyInArrow(_count(ranges, p), COUNTS).groupBy("block").applyInArrow(_answers(p), ANSWERS)
+    for level in range(1, len(p.levels) + 1):
+        counted = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_count(ranges, p, level), COUNTS)
+        answers = counted.groupBy("block").applyInArrow(_answers(p), ANSWERS)
+    runs = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_runs(blocks, p), RUNS)
     return dealt, runs.groupBy("block").applyInArrow(_reduce(p), RANGES)
 
 

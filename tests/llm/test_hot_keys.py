@@ -95,3 +95,29 @@ def test_different_suffixes_add_up():
         rows = {"block": [0] * blocks, "chunk": list(range(blocks)), "grams": [grams] * blocks, "different": [bytes([1, 1])] * blocks, "mark": [bytes([int(m), 7]) for m in marks]}
         out = suffix._answer(p)(pa.table(rows)).column("wide").to_pylist()
         assert {tuple(np.unpackbits(np.frombuffer(b, np.uint8), count=2)) for b in out} == {(want, 0)}
+
+
+@pytest.mark.parametrize(("phrase", "copies"), [(88, 1), (95, 1), (95, 2)])
+def test_wide_anchors_send_what_repeats(spark, monkeypatch, phrase, copies):
+    """A phrase in ever different surroundings sends next to nothing if no window of it repeats; copies of the surroundings are found as by plain Python."""
+    rng = np.random.default_rng(6)
+    noise = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    same = noise(phrase)
+    texts = [noise(150) + same + noise(150) for _ in range(120)]
+    rows = [(i, f"{texts[i % 120]}{i // 120}{noise(30)}") for i in range(120 * copies)]
+    docs, p = spark.createDataFrame(rows, IDS), suffix.SuffixParams(block_bytes=4_000)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.op5(docs, p).collect()}
+    size = 300 + phrase
+    assert got == {i: (size, 1) if i >= 120 else (0, 0) for i, _ in rows}
+
+    def weighed(p):
+        def run(table):
+            n = sum(len(x) for x in table.column("rest").to_pylist())
+            return pa.table({"chunk": pa.array([n], pa.int32())} | {k: pa.array([b""], pa.binary()) for k in ("rows", "starts", "ends")})
+
+        return run
+
+    monkeypatch.setattr(suffix, "_reduce", weighed)
+    sent = sum(r.chunk for r in suffix.repeated_ranges(docs, p)[1].collect())
+    # Suffixes of anchors that few texts have are sent whole; windows would be 100 bytes each.
+    assert copies > 1 or sent <= sum(len(t) for _, t in rows)
